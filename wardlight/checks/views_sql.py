@@ -47,8 +47,8 @@ SELECT event_id AS call_id, ts AS created_at, CAST(floor(event_id / 4) AS BIGINT
  value AS duration_ms, CASE WHEN (event_id * 31) % 20 = 0 THEN 0 ELSE 1 END AS success,
  CASE WHEN event_type IN ('click', 'view') THEN NULL ELSE event_id % 500 END AS prompt_tokens,
  CASE WHEN event_type IN ('click', 'view') THEN NULL ELSE event_id % 90 END AS completion_tokens,
- CASE WHEN (event_id * 31) % 20 = 0 THEN concat('ProviderError: the upstream service gave no answer for stage ',
-  event_type, ' of user ', CAST(user_id AS STRING)) END AS error
+ CASE WHEN (event_id * 31) % 20 = 0 THEN concat('ProviderError at stage ', event_type,
+  ': the upstream service gave no answer for user ', CAST(user_id AS STRING)) END AS error
 FROM events""",
     "message": """
 SELECT conv_id, conv_id * 100 + turn AS msg_seq, role, text,

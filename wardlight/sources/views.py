@@ -167,9 +167,9 @@ class Tables:
             F.when(
                 failed,
                 F.concat(
-                    F.lit("ProviderError: the upstream service gave no answer for stage "),
+                    F.lit("ProviderError at stage "),
                     F.col("event_type"),
-                    F.lit(" of user "),
+                    F.lit(": the upstream service gave no answer for user "),
                     F.col("user_id").cast("string"),
                 ),
             ).alias("error"),
