@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.plans.sizing import broadcast_if_small
-
 
 def value_lists(enums: DataFrame) -> DataFrame:
     """One row per (table, column) with its sorted values."""
@@ -87,6 +85,6 @@ def scope_dictionary(enums: DataFrame) -> DataFrame:
 
 
 def dictionary_beside(df: DataFrame, lists: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Left join of a dictionary list under a new name; dictionaries are small
-    by definition and their row count is checked before the hint."""
-    return df.join(broadcast_if_small(lists.withColumnRenamed("allowed", name)), on, "left")
+    """Left join of a dictionary list under a new name. Detected dictionaries are
+    literal tables, so the planner knows their size."""
+    return df.join(lists.withColumnRenamed("allowed", name), on, "left")

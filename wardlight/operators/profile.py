@@ -31,8 +31,11 @@ def detect_enums(tables: dict[str, DataFrame], max_values: int = ENUM_VALUES) ->
 
     A sketch pass drops the wide columns, whose values would all have to move;
     its error is far below the factor of two it is given. The exact distinct
-    pass then moves a few values per column and task.
+    pass then moves a few values per column and task. The result is bounded by
+    the schema (``max_values`` per column), so it becomes a literal table that
+    later joins broadcast by its known size.
     """
+    spark = next(iter(tables.values())).sparkSession
     found = []
     for name, df in tables.items():
         columns = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
@@ -51,12 +54,16 @@ def detect_enums(tables: dict[str, DataFrame], max_values: int = ENUM_VALUES) ->
             .where(F.col("value").isNotNull())
             .distinct()
         )
-    if not found:
-        first = next(iter(tables.values()))
-        return first.sparkSession.createDataFrame([], "table string, column string, value string")
-    values = _stack(found)
-    kept = values.groupBy("table", "column").count().where(F.col("count") <= max_values)
-    return values.join(kept, ["table", "column"], "left_semi")
+    listed = []
+    if found:
+        per_column = (
+            _stack(found)
+            .groupBy("table", "column")
+            .agg(F.count("*").alias("n"), F.collect_list("value").alias("values"))
+            .where(F.col("n") <= max_values)
+        )
+        listed = [(r["table"], r["column"], v) for r in per_column.collect() for v in r["values"]]
+    return spark.createDataFrame(listed, "table string, column string, value string")
 
 
 def enum_lists(enums: DataFrame) -> DataFrame:

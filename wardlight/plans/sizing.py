@@ -23,3 +23,10 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row count; beyond it the join shuffles and AQE
     splits the skewed partitions."""
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give work that is heavy per row at least one task per core. Only a scan
+    with fewer splits than cores is shuffled; a large table never is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -1,0 +1,35 @@
+"""Compare two tables cell by cell without pairing their rows.
+
+Both sides are hashed into tiles of bounded size. Each (left tile, right tile)
+cell is one task that sees both tiles as pandas frames and returns only what it
+finds, so no pair table is ever written.
+"""
+
+from __future__ import annotations
+
+from math import ceil
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def tiled(left: DataFrame, right: DataFrame, left_id: str, right_id: str, find, schema: str,
+          left_rows: int, right_rows: int) -> DataFrame:
+    """``find(left_pdf, right_pdf) -> pdf`` for every cell. Tiles hold about
+    ``left_rows`` and ``right_rows`` rows; a side that fits in one tile lets the
+    other side travel once."""
+    n_left = max(1, ceil(left.count() / left_rows))
+    n_right = max(1, ceil(right.count() / right_rows))
+
+    def cut(df, key, own, own_tiles, other, other_tiles):
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_tiles)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(other_tiles - 1)))
+        )
+
+    a = cut(left, left_id, "_lt", n_left, "_rt", n_right)
+    b = cut(right, right_id, "_rt", n_right, "_lt", n_left)
+    return (
+        a.groupBy("_lt", "_rt")
+        .cogroup(b.groupBy("_lt", "_rt"))
+        .applyInPandas(lambda x, y: find(x, y), schema)
+    )
