@@ -16,10 +16,12 @@ def norm(vector: Column) -> Column:
 
 def l2(vector: Column) -> Column:
     """The vector at unit length; a zero vector stays as it is."""
-    length = norm(vector)
-    return F.when(length > 0, F.transform(as_double(vector), lambda x: x / length)).otherwise(
-        as_double(vector)
+    # the length is bound once by the outer lambda, not computed per element
+    scaled = F.transform(
+        F.array(norm(vector)),
+        lambda n: F.transform(as_double(vector), lambda x: F.when(n > 0, x / n).otherwise(x)),
     )
+    return F.element_at(scaled, 1)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

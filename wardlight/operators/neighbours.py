@@ -80,7 +80,11 @@ def embed(
     """
     prefixed = F.concat(F.lit(prefix), F.col(text))
     if encoder is not None:
-        return df.withColumn("vector", l2(encoder(prefixed)))
+        return (
+            df.withColumn("_raw", encoder(prefixed))
+            .withColumn("vector", l2(F.col("_raw")))
+            .drop("_raw")
+        )
     ready = df.withColumn("_tokens", tokens(prefixed))
     fitted = model if model is not None else fit_tfidf(df, prefix, text)
     return (

@@ -98,9 +98,9 @@ def containment_gold(passages: DataFrame, docs: DataFrame) -> DataFrame:
         if runs
         else anchors.select(F.lit(0).cast("long").alias("doc_id"), "size", "gram").limit(0)
     )
-    spread = held.groupBy("size", "gram").agg(F.count("*").alias("n_docs"))
+    holders = held.groupBy("size", "gram").agg(F.count("*").alias("n_docs"))
     # a run no document holds has no row here: its passage is in no document
-    rated = anchors.join(spread, ["size", "gram"], "left")
+    rated = anchors.join(holders, ["size", "gram"], "left")
     rarest = rated.groupBy("text_id", "passage").agg(
         F.min_by(
             F.struct("size", "gram"), F.struct(F.coalesce("n_docs", F.lit(0)), "gram")
