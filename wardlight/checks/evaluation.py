@@ -10,7 +10,7 @@ from wardlight.operators import evaluation as e
 
 _SCORED = """s AS (SELECT *, round(CASE WHEN n_facts > 0 THEN least(1.0, CAST(n_covered AS DOUBLE) / n_facts) ELSE 0.0 END, 2) AS coverage,
  round(CASE WHEN claims IS NULL THEN NULL WHEN claims <= 0 THEN 1.0 ELSE least(1.0, CAST(supported AS DOUBLE) / claims) END, 2) AS faithfulness,
- round(greatest(0.0, least(1.0, TRY_CAST(relevance_text AS DOUBLE))), 2) AS rel FROM run_verdict)"""
+ CASE WHEN TRY_CAST(relevance_text AS DOUBLE) IS NOT NULL THEN round(greatest(0.0, least(1.0, TRY_CAST(relevance_text AS DOUBLE))), 2) END AS rel FROM run_verdict)"""
 _CASES = f"""{_SCORED}, c AS (SELECT case_id, count(*) AS runs, avg(coverage) AS coverage, min(coverage) AS worst, avg(grade) AS grade,
  avg(seconds) AS seconds, bool_or(hallucinated = 1) AS hallucinated, avg(faithfulness) AS faithfulness, avg(rel) AS relevance,
  arg_max(routed, run) AS routed, arg_max(cited, run) AS cited_raw, max(run) AS last_run FROM s GROUP BY 1),

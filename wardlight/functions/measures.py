@@ -12,9 +12,6 @@ def percent(condition: Column, digits: int | None = None) -> Column:
     return share if digits is None else F.round(share, digits)
 
 
-def share(condition: Column) -> Column:
-    return F.avg(F.when(condition, 1.0).otherwise(0.0))
-
-
 def clamp01(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Clamped to [0, 1]; null stays null, which greatest and least alone skip."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))

@@ -12,7 +12,7 @@ from wardlight.functions.text import comparable
 
 def coverage(covered: Column, facts: Column) -> Column:
     """Covered share of the expected facts, 0 when none is expected."""
-    return F.when(facts > 0, F.least(F.lit(1.0), covered / facts)).otherwise(0.0)
+    return F.when(facts > 0, clamp01(F.coalesce(covered, F.lit(0)) / facts)).otherwise(0.0)
 
 
 def faithfulness(claims: Column, supported: Column, has_context: Column) -> Column:
@@ -20,7 +20,7 @@ def faithfulness(claims: Column, supported: Column, has_context: Column) -> Colu
     return (
         F.when(~has_context | claims.isNull(), F.lit(None).cast("double"))
         .when(claims <= 0, 1.0)
-        .otherwise(F.least(F.lit(1.0), supported / claims))
+        .otherwise(clamp01(F.coalesce(supported, F.lit(0)) / claims))
     )
 
 
