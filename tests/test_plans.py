@@ -27,7 +27,8 @@ def skewed(spark):
 def test_salted_join(spark, skewed):
     right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 300, 2)], "k int, name string")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        assert rows(salted_join(skewed, right, ["k"], how, salts=5)) == rows(skewed.join(right, ["k"], how))
+        assert "_salt" in salted_join(skewed, right, ["k"], how, 5, 100)._jdf.queryExecution().toString()
+        assert rows(salted_join(skewed, right, ["k"], how, salts=5, hot_rows=100)) == rows(skewed.join(right, ["k"], how))
 
 
 def test_numbered_by_range_equals_window(skewed):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.operators import evaluation, journal, kpi, memory, metrics, profile, traces
+from wardlight.sources.files import append_history, read_history
 from wardlight.sources.journal import append_calls, metrics_matrix, normalise_calls
 from wardlight.sources.tables import load_tables, refresh_tables, save_tables
 
@@ -178,10 +179,20 @@ def test_scores(frame):
 
 
 def test_overall_on_empty(frame):
-    cases = frame([], "coverage double, routed int, cited int, hallucinated boolean, grade double, seconds double, faithfulness double, relevance double")
+    cases = frame([], "coverage double, routed int, cited int, hallucinated boolean, grade double, seconds double, faithfulness double, relevance double, sql_correct double")
     assert evaluation.overall(cases).first()["cases"] == 0
 
 
+def test_history_row(frame, spark, tmp_path):
+    cases = frame([(0.5, 1, None, False, 4.0, 2.04, None, 0.9, 1.0), (1.0, 0, 1, True, 5.0, 4.0, 0.7, None, None)],
+                  "coverage double, routed int, cited int, hallucinated boolean, grade double, seconds double, faithfulness double, relevance double, sql_correct double")
+    for runs in (1, 3):
+        append_history(evaluation.history_row(cases, runs, "2026-01-01 00:00:00"), str(tmp_path / "h"))
+    got = read_history(spark, str(tmp_path / "h")).orderBy("runs").collect()
+    assert [r["runs"] for r in got] == [1, 3]
+    assert (got[1]["coverage"], got[1]["routing"], got[1]["hallucination"], got[1]["sql_correct"]) == (0.75, 0.5, 0.5, 1.0)
+
+
 def test_sql_correctness(frame):
     rows = [(1, s, r) for s, r in (("reference", ["1", "A"]), ("generated", ["1.0", "a "]))]
     rows += [(2, "reference", ["5"]), (2, "generated", ["5"]), (2, "generated", ["5"]), (3, "reference", ["7"])]

@@ -12,7 +12,7 @@ _SCORED = """s AS (SELECT *, round(CASE WHEN n_facts > 0 THEN least(1.0, CAST(n_
  round(CASE WHEN claims IS NULL THEN NULL WHEN claims <= 0 THEN 1.0 ELSE least(1.0, CAST(supported AS DOUBLE) / claims) END, 2) AS faithfulness,
  CASE WHEN TRY_CAST(relevance_text AS DOUBLE) IS NOT NULL THEN round(greatest(0.0, least(1.0, TRY_CAST(relevance_text AS DOUBLE))), 2) END AS rel FROM run_verdict)"""
 _CASES = f"""{_SCORED}, c AS (SELECT case_id, count(*) AS runs, avg(coverage) AS coverage, min(coverage) AS worst, avg(grade) AS grade,
- avg(seconds) AS seconds, bool_or(hallucinated = 1) AS hallucinated, avg(faithfulness) AS faithfulness, avg(rel) AS relevance,
+ avg(seconds) AS seconds, bool_or(hallucinated = 1) AS hallucinated, avg(faithfulness) AS faithfulness, avg(rel) AS relevance, avg(sql_correct) AS sql_correct,
  arg_max(routed, run) AS routed, arg_max(cited, run) AS cited_raw, max(run) AS last_run FROM s GROUP BY 1),
 cc AS (SELECT c.*, (SELECT s.cited FROM s WHERE s.case_id = c.case_id AND s.run = c.last_run) AS cited FROM c)"""
 
@@ -35,17 +35,18 @@ def _(t):
 @check("eve_04_per_case", over("run_verdict", f"""WITH {_CASES}
 SELECT case_id, runs, round(coverage, 3) AS coverage, CAST(worst AS DOUBLE) AS worst, round(grade, 3) AS grade,
  round(seconds, 3) AS seconds, hallucinated, round(faithfulness, 3) AS faithfulness,
- round(relevance, 3) AS relevance, routed, cited FROM cc"""))
+ round(relevance, 3) AS relevance, round(sql_correct, 3) AS sql_correct, routed, cited FROM cc"""))
 def _(t):
     cases = e.per_case(e.with_scores(t.run_verdict))
-    rounded = ["coverage", "grade", "seconds", "faithfulness", "relevance"]
+    rounded = ["coverage", "grade", "seconds", "faithfulness", "relevance", "sql_correct"]
     return cases.withColumns({c: F.round(c, 3) for c in rounded})
 
 
 @check("eve_05_overall", over("run_verdict", f"""WITH {_CASES}
 SELECT count(*) AS cases, round(avg(coverage), 3) AS coverage, round(avg(routed), 3) AS routing, round(avg(cited), 3) AS citation,
  round(avg(CASE WHEN hallucinated THEN 1 ELSE 0 END), 3) AS hallucination, round(avg(grade), 2) AS grade,
- round(avg(seconds), 1) AS latency, round(avg(faithfulness), 3) AS faithfulness, round(avg(relevance), 3) AS relevance FROM cc"""))
+ round(avg(seconds), 1) AS latency, round(avg(faithfulness), 3) AS faithfulness, round(avg(relevance), 3) AS relevance,
+ round(avg(sql_correct), 3) AS sql_correct FROM cc"""))
 def _(t):
     return e.overall(e.per_case(e.with_scores(t.run_verdict)))
 

@@ -8,6 +8,7 @@ from wardlight.checks import check
 from wardlight.functions.vectors import l2
 from wardlight.operators import fusion, lexical, neighbours, relevance
 from wardlight.plans.session import scratch_path
+from wardlight.plans.sizing import spread
 
 K = 4
 
@@ -47,7 +48,7 @@ _GOLD = "gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d O
 
 def _units(t):
     """Whole documents as retrieval units."""
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         F.col("doc_id").alias("chunk_id"), "text", "source", F.lit("").alias("section")
     )
 
@@ -183,7 +184,7 @@ vec AS (SELECT item_id AS query_id, doc_id AS chunk_id, CAST(rk AS INTEGER) AS r
 {_CASES.format(hits='hits')},
 {_CASES.format(hits='vec').replace('first AS', 'vfirst AS').replace('JOIN first', 'JOIN vfirst').replace('ranked AS', 'vranked AS').replace('FROM ranked', 'FROM vranked').replace('cases AS', 'vcases AS')},
 al AS (SELECT 'hybrid' AS model, * FROM cases UNION ALL SELECT 'vectors', * FROM vcases)
-SELECT model, count(*) AS cases, round(avg(CASE WHEN hit1 THEN 1 ELSE 0 END), 4) AS hit1, round(avg(CASE WHEN hit3 THEN 1 ELSE 0 END), 4) AS hit3,
+SELECT model, (SELECT count(*) FROM documents) AS chunks, count(*) AS cases, round(avg(CASE WHEN hit1 THEN 1 ELSE 0 END), 4) AS hit1, round(avg(CASE WHEN hit3 THEN 1 ELSE 0 END), 4) AS hit3,
  round(avg(reciprocal), 4) AS mrr, round(avg(top1_distance), 3) AS mean_top1_distance FROM al GROUP BY 1""")
 def _(t):
     gold = _golden(t)
@@ -191,4 +192,4 @@ def _(t):
         relevance.rank_cases(_hits_as_docs(_hybrid(t, index)), gold).withColumn("model", F.lit(model))
         for model, index in (("hybrid", _index(t)), ("vectors", None))
     ]
-    return relevance.retrieval_report(both[0].unionByName(both[1]))
+    return relevance.retrieval_report(both[0].unionByName(both[1]), t.documents.count())

@@ -79,7 +79,8 @@ SELECT CAST(floor(event_id / 3) AS BIGINT) AS case_id, event_id % 3 + 1 AS run,
  CAST(event_id % 13 AS DOUBLE) / 10 - 0.1 AS relevance,
  CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE CAST(CAST(event_id % 13 AS DOUBLE) / 10 - 0.1 AS VARCHAR) END AS relevance_text,
  CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 4 < 3 THEN 1 ELSE 0 END AS cited,
- CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END AS routed
+ CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END AS routed,
+ CASE WHEN event_id % 4 <> 0 THEN CAST(CASE WHEN event_id % 9 <> 0 THEN 1 ELSE 0 END AS DOUBLE) END AS sql_correct
 FROM events""",
     "query_log": "SELECT e.event_id AS query_id, t.question, t.sql_text, t.route FROM events e JOIN (VALUES "
     + ", ".join(f"({i}, {_q(q)}, {_q(s)}, {_q(r)})" for i, q, s, r in LOGGED_REQUESTS)

@@ -26,12 +26,16 @@ PREDICTION_TERMS = (
     r".*\bfalsos? positiv\w*"
 )
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-SPACES = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
+# fixed values: what counts as white space at the ends of a text
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(value: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(value, SPACES, "")
+    return F.btrim(value, F.lit(WHITE))
 
 
 def fold(value: Column) -> Column:

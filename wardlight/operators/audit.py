@@ -101,7 +101,8 @@ def literal_findings(df: DataFrame, enums: DataFrame) -> DataFrame:
         ]
     )
     used = (
-        df.select("query_id", _sources(F.col("sql_text")).alias("names"),
+        df.where(F.col("sql_text").contains("'"))
+        .select("query_id", _sources(F.col("sql_text")).alias("names"),
                   F.posexplode(literals).alias("pos", "found"))
         .select("query_id", "pos", "names", "found.*")
         .withColumn("qualifier", F.regexp_replace("prefix", r"\.$", ""))

@@ -55,6 +55,7 @@ def per_case(scored: DataFrame) -> DataFrame:
         F.bool_or(F.col("hallucinated") == 1).alias("hallucinated"),
         F.avg("faithfulness").alias("faithfulness"),
         F.avg("relevance").alias("relevance"),
+        F.avg("sql_correct").alias("sql_correct"),
         F.max_by(F.struct("routed", "cited"), "run").alias("_last"),
     ).select("*", "_last.routed", "_last.cited").drop("_last")
 
@@ -72,6 +73,16 @@ def overall(cases: DataFrame) -> DataFrame:
         F.round(F.avg("seconds"), 1).alias("latency"),
         F.round(F.avg("faithfulness"), 3).alias("faithfulness"),
         F.round(F.avg("relevance"), 3).alias("relevance"),
+        F.round(F.avg("sql_correct"), 3).alias("sql_correct"),
+    )
+
+
+def history_row(cases: DataFrame, runs: int, ran_at: str) -> DataFrame:
+    """The overall figures of an evaluation as one row of the run history."""
+    return overall(cases).select(
+        F.lit(ran_at).cast("timestamp").alias("ran_at"), F.lit(runs).alias("runs"),
+        "cases", "coverage", "routing", "hallucination", "grade", "latency",
+        "faithfulness", "relevance", "sql_correct",
     )
 
 

@@ -17,7 +17,7 @@ from wardlight.functions.vectors import l2
 from wardlight.plans.ordering import top_per_group
 from wardlight.plans.tiles import tiled
 
-QUERY_TILE, CORPUS_TILE = 2_000, 8_192
+QUERY_TILE, CORPUS_TILE, QUERY_BLOCK = 20_000, 8_192, 512
 DIGITS = 6
 
 
@@ -44,15 +44,17 @@ def knn(
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "chunk_id": [], "distance": []}
         if len(q) and len(c):
-            ids = c["chunk_id"].to_numpy()
-            away = np.round(1.0 - _unit(q["vector"]) @ _unit(c["vector"]).T, DIGITS) + 0.0
+            ids, corpus_side = c["chunk_id"].to_numpy(), _unit(c["vector"]).T
             n = min(k, len(ids))
-            for name, row in zip(q["query_id"].to_numpy(), away):
-                near = np.flatnonzero(row <= np.partition(row, n - 1)[n - 1])
-                near = near[np.lexsort((ids[near], row[near]))[:n]]
-                out["query_id"].extend([name] * n)
-                out["chunk_id"].extend(ids[near])
-                out["distance"].extend(row[near])
+            for start in range(0, len(q), QUERY_BLOCK):
+                block = q.iloc[start : start + QUERY_BLOCK]
+                away = np.round(1.0 - _unit(block["vector"]) @ corpus_side, DIGITS) + 0.0
+                for name, row in zip(block["query_id"].to_numpy(), away):
+                    near = np.flatnonzero(row <= np.partition(row, n - 1)[n - 1])
+                    near = near[np.lexsort((ids[near], row[near]))[:n]]
+                    out["query_id"].extend([name] * n)
+                    out["chunk_id"].extend(ids[near])
+                    out["distance"].extend(row[near])
         return pd.DataFrame(out)
 
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *corpus.schema)}

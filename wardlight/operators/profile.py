@@ -36,24 +36,32 @@ def detect_enums(tables: dict[str, DataFrame], max_values: int = ENUM_VALUES) ->
     later joins broadcast by its known size.
     """
     spark = next(iter(tables.values())).sparkSession
+    texts = {
+        name: columns
+        for name, df in tables.items()
+        if (columns := [f.name for f in df.schema if isinstance(f.dataType, StringType)])
+    }
+    sketches = [
+        tables[name].agg(
+            F.map_from_arrays(
+                F.array(*map(F.lit, columns)), F.array(*map(F.approx_count_distinct, columns))
+            ).alias("sketch")
+        ).select(F.lit(name).alias("table"), "sketch")
+        for name, columns in texts.items()
+    ]
     found = []
-    for name, df in tables.items():
-        columns = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
-        if not columns:
-            continue
-        sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-        narrow = [c for c in columns if 0 < sketch[c] <= 2 * max_values]
-        if not narrow:
-            continue
-        found.append(
-            df.select(*narrow)
-            .select(F.explode(F.array(*[
-                F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in narrow
-            ])).alias("cell"))
-            .select(F.lit(name).alias("table"), "cell.column", "cell.value")
-            .where(F.col("value").isNotNull())
-            .distinct()
-        )
+    for name, sketch in _stack(sketches).collect() if sketches else []:
+        narrow = [c for c in texts[name] if 0 < sketch[c] <= 2 * max_values]
+        if narrow:
+            cells = F.array(
+                *[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in narrow]
+            )
+            found.append(
+                tables[name].select(F.explode(cells).alias("cell"))
+                .select(F.lit(name).alias("table"), "cell.column", "cell.value")
+                .where(F.col("value").isNotNull())
+                .distinct()
+            )
     listed = []
     if found:
         per_column = (

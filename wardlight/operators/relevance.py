@@ -36,10 +36,11 @@ def rank_cases(hits: DataFrame, golden: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
-def retrieval_report(cases: DataFrame) -> DataFrame:
-    """Per model: cases, hit@1, hit@3, mean reciprocal rank, mean top-1
-    distance. ``cases`` are ranked cases with a column ``model``."""
+def retrieval_report(cases: DataFrame, n_chunks: int) -> DataFrame:
+    """Per model: chunks searched, cases, hit@1, hit@3, mean reciprocal rank,
+    mean top-1 distance. ``cases`` are ranked cases with a column ``model``."""
     return cases.groupBy("model").agg(
+        F.lit(n_chunks).cast("long").alias("chunks"),
         F.count("*").alias("cases"),
         F.round(F.avg(F.col("hit1").cast("int")), 4).alias("hit1"),
         F.round(F.avg(F.col("hit3").cast("int")), 4).alias("hit3"),

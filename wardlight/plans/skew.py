@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.01
+HOT_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
@@ -19,35 +19,34 @@ def salted_join(
     on: list[str],
     how: str = "inner",
     salts: int = 64,
-    share: float = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join whose hot keys are spread over ``salts`` tasks.
 
-    Rows of hot keys on the left get a salt hashed from the whole row, the matching rows on
-    the right are repeated once per salt. A key is hot above ``share`` of the
-    left rows, so there are at most ``1 / share`` of them and their list is
-    always small enough to broadcast. ``how`` may be inner, left, left_semi or
+    One narrow counting pass finds the keys with more than ``hot_rows`` rows on
+    the left; there are at most ``rows / hot_rows`` of them, so their list is
+    small by construction. Without any, this is a plain join. Else the rows of
+    hot keys get a salt hashed from the whole row, and the matching rows on the
+    right are repeated once per salt. ``how`` may be inner, left, left_semi or
     left_anti.
     """
-    total = left.count()
-    hot = F.broadcast(
-        hot_keys(left, on, max(int(total * share), 1)).withColumn("_hot", F.lit(True))
-    )
+    spark = left.sparkSession
+    found = hot_keys(left, on, hot_rows).collect()
+    if not found:
+        return left.join(right, on, how)
+    keys = spark.createDataFrame(found, left.select(*on).schema)
+    hot = F.broadcast(keys.withColumn("_hot", F.lit(True)))
     # hashed, not counted: a rerun task must send each row to the same place
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     salted_left = left.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(0)
     )
-    salted_right = (
-        right.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted_right = right.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
+    )
+    return (
+        salted_left.drop("_hot")
+        .join(salted_right.drop("_hot"), [*on, "_salt"], how)
+        .drop("_salt")
     )
-    return salted_left.drop("_hot").join(salted_right, [*on, "_salt"], how).drop("_salt")

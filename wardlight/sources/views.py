@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight.plans.sizing import spread
+
 RAW = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -263,6 +265,7 @@ class Tables:
             .alias("relevance_text"),
             F.when(eid % 3 == 0, F.lit(None)).otherwise((eid % 4 < 3).cast("int")).alias("cited"),
             (eid % 5 != 0).cast("int").alias("routed"),
+            F.when(eid % 4 != 0, (eid % 9 != 0).cast("double")).alias("sql_correct"),
         )
 
     @cached_property
@@ -274,7 +277,7 @@ class Tables:
             )
         )
         return (
-            self.raw("events")
+            spread(self.raw("events"), "event_id")
             .select(
                 F.col("event_id").alias("query_id"),
                 (F.col("event_id") % len(LOGGED_REQUESTS)).alias("tid"),
