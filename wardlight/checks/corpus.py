@@ -44,11 +44,14 @@ def _(t):
     return c.split_long(t.documents.select("doc_id", F.col("text").alias("body")))
 
 
-@check("ret_03_chunks", f"""WITH RECURSIVE {_BLOCKS.replace("documents", "(SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE text <> '')")},
+_CHUNKS = f"""{_BLOCKS.replace("documents", "(SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE text <> '')")},
 nm AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_no) - 1 AS INTEGER) AS chunk_no, block
- FROM bl WHERE length(regexp_replace(block, '^\\s+|\\s+$', '', 'g')) >= 40)
-SELECT CAST(doc_id AS VARCHAR) || '::' || CASE WHEN chunk_no < 1000 THEN lpad(CAST(chunk_no AS VARCHAR), 3, '0') ELSE CAST(chunk_no AS VARCHAR) END AS chunk_id,
- doc_id, source, chunk_no, 'Introducao' AS section, block AS text FROM nm JOIN (SELECT doc_id, source FROM documents) d USING (doc_id)""")
+ FROM bl WHERE length(regexp_replace(block, '^\\s+|\\s+$', '', 'g')) >= 40),
+ch AS (SELECT CAST(doc_id AS VARCHAR) || '::' || CASE WHEN chunk_no < 1000 THEN lpad(CAST(chunk_no AS VARCHAR), 3, '0') ELSE CAST(chunk_no AS VARCHAR) END AS chunk_id,
+ doc_id, source, chunk_no, 'Introducao' AS section, block AS text FROM nm JOIN (SELECT doc_id, source FROM documents) d USING (doc_id))"""
+
+
+@check("ret_03_chunks", f"WITH RECURSIVE {_CHUNKS} SELECT * FROM ch")
 def _(t):
     return c.chunks(t.documents)
 

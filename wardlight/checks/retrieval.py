@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.checks import check
+from wardlight.checks.corpus import _CHUNKS
 from wardlight.functions.vectors import l2
 from wardlight.operators import fusion, lexical, neighbours, relevance
 from wardlight.plans.session import scratch_path
@@ -134,6 +135,16 @@ def _(t):
     )
 
 
+@check("ret_12_embed_letters", f"""
+WITH v AS (SELECT doc_id, [{_LETTERS}] AS v FROM documents)
+SELECT doc_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS p,
+ round(unnest(v) / CASE WHEN list_sum(list_transform(v, lambda e: e * e)) > 0 THEN sqrt(list_sum(list_transform(v, lambda e: e * e))) ELSE 1 END, 6) AS x FROM v""")
+def _(t):
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    vectors = neighbours.embed(docs, neighbours.letter_profile)
+    return vectors.select("doc_id", F.posexplode("vector").alias("p", "x")).withColumn("x", F.round("x", 6))
+
+
 @check("ret_12_embed_tfidf")
 def _(t):
     docs = t.documents.select("doc_id", "text")
@@ -147,13 +158,16 @@ def _(t):
     return fusion.evidence(_hybrid(t, _index(t)))
 
 
-@check("ret_14_reindex")
+_CHUNK_TERMS = _BM25.replace("FROM documents)", "FROM ch)").replace("count(*) FROM documents", "count(*) FROM ch").replace("doc_id", "chunk_id")
+
+
+@check("ret_14_reindex", f"WITH RECURSIVE {_CHUNKS}, {_CHUNK_TERMS} SELECT tk AS token, df, round(idf, 9) AS idf FROM idf")
 def _(t):
     path = scratch_path(t.spark, "index")
     fusion.reindex(t.documents, path)
     fusion.reindex(t.documents, path)
     index = lexical.load_index(t.spark, path)
-    return index.terms
+    return index.terms.withColumn("idf", F.round("idf", 9))
 
 
 def _hits_as_docs(hits):

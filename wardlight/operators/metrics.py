@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.measures import percent
 from wardlight.plans.ordering import GROUP_ROWS, numbered
+from wardlight.plans.session import materialise
 from wardlight.plans.skew import salted_join
 
 # fixed values: (lowest CVSS, class, days to fix), highest band first
@@ -229,8 +230,8 @@ def load_by_environment(inc: DataFrame, vul: DataFrame, ast: DataFrame) -> DataF
         )
 
     both = load(inc, "incidents").join(load(vul, "vulns"), place, "full")
-    counts = both.na.fill(0, ["incidents", "vulns"])
-    # a handful of environment rows: their totals are one row per whole table
+    # a handful of environment rows, written once: totals and shares read that copy
+    counts = materialise(both.na.fill(0, ["incidents", "vulns"]))
     total = counts.agg(F.sum("incidents").alias("ti"), F.sum("vulns").alias("tv")).first()
     return counts.select(
         *place,
