@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from __spark_entry__ import oracle_sql, queries
+from compare import compare, connect
 from tests.conftest import SMALL
 from wardlight.operators import fp_model, lexical, metrics, neighbours, relevance
+from wardlight.plans import skew
 from wardlight.plans.ordering import numbered
 from wardlight.plans.skew import salted_join
 
@@ -41,6 +43,33 @@ def test_yearly_ids_by_range(tables):
     assert rows(metrics.yearly_ids(tables.incident, group_rows=10)) == rows(metrics.yearly_ids(tables.incident))
 
 
+def test_timelines_by_range(tables):
+    from wardlight.operators.journal import request_timeline
+
+    plain = request_timeline(tables.llm_call)
+    assert rows(request_timeline(tables.llm_call, group_rows=2).select(*plain.columns)) == rows(plain)
+
+
+HOT = ["kpi_14_critical_open_assets", "met_07_repeat_vulns", "met_10_watch_hits", "met_11_duplicates",
+       "prf_04_orphans", "ml_01_fp_features"]
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_hot_keys_change_nothing(spark, monkeypatch, name):
+    """With every repeated key treated as hot, the SQL still agrees."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    con = connect(SMALL)
+    found, _, _ = compare(queries()[name](spark, SMALL), con, oracle_sql()[name])
+    assert not found
+
+
+def test_salted_null_keys(spark):
+    left = spark.createDataFrame([(None if i % 3 == 0 else i % 4, i) for i in range(60)], "k int, id int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, name string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(salted_join(left, right, ["k"], how, 4, hot_rows=5)) == rows(left.join(right, ["k"], how))
+
+
 def test_duplicates_with_hot_key(spark):
     rnd = random.Random(3)
     data = [(0 if rnd.random() < 0.4 else rnd.randrange(1, 30), "a", i, rnd.randrange(60)) for i in range(800)]

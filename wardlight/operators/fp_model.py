@@ -21,6 +21,7 @@ from wardlight.operators.relevance import containment_gold
 from wardlight.plans.ordering import top_per_group
 from wardlight.plans.session import materialise
 from wardlight.plans.sizing import small_values
+from wardlight.plans.skew import salted_join
 
 SEED = 42
 # fixed values: severity order, level of unknown severities, class labels
@@ -43,9 +44,14 @@ def fp_features(inc: DataFrame, ast: DataFrame) -> DataFrame:
     """Incidents with the profile of their asset, binary label and ordinal
     severity; incidents of unknown assets stay."""
     profile = ast.select("asset_id", "environment", "criticality", "os", "internet_exposed")
-    return (
+    # a stream cannot be counted ahead; its micro-batches are small
+    joined = (
         inc.join(profile, "asset_id", "left")
-        .withColumn("label", (F.lower(strip(F.col("false_positive"))) == "yes").cast("int"))
+        if inc.isStreaming
+        else salted_join(inc, profile, ["asset_id"], "left")
+    )
+    return (
+        joined.withColumn("label", (F.lower(strip(F.col("false_positive"))) == "yes").cast("int"))
         .withColumn("severity_level", severity_level(F.col("severity")))
     )
 

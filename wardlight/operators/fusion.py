@@ -9,6 +9,8 @@ from wardlight.operators.corpus import chunks as make_chunks
 from wardlight.operators.lexical import LexicalIndex, bm25_index, bm25_search, save_index
 from wardlight.operators.neighbours import knn
 from wardlight.plans.ordering import top_per_group
+from wardlight.plans.session import materialise
+from wardlight.plans.sizing import broadcast_if_small
 
 RANK_OFFSET = 60
 DEFAULT_K = 4
@@ -45,9 +47,17 @@ def rrf(vector_hits: DataFrame, lexical_hits: DataFrame | None, k: int) -> DataF
 
 def hydrate(hits: DataFrame, distances: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with text, source and section; distance to 3 decimals, -1 for hits
-    that only the lexical list found."""
+    that only the lexical list found.
+
+    The hits are few against the chunks: their ids pick the chunks first, so
+    only texts that were hit are moved.
+    """
+    hits = materialise(hits)
+    wanted = broadcast_if_small(hits.select("chunk_id").distinct())
     near = distances.select("query_id", "chunk_id", "distance")
-    about = chunks.select("chunk_id", "text", "source", "section")
+    about = chunks.select("chunk_id", "text", "source", "section").join(
+        wanted, "chunk_id", "left_semi"
+    )
     return (
         hits.join(near, ["query_id", "chunk_id"], "left")
         .join(about, "chunk_id", "left")
@@ -67,7 +77,7 @@ def hybrid_search(
     """Vector and lexical search fused. ``queries`` is (query_id, text, vector),
     ``chunks`` (chunk_id, text, source, section, vector); without a lexical
     index the vector list decides alone."""
-    near = knn(queries, chunks, k)
+    near = materialise(knn(queries, chunks, k))  # read by the fusion and for distances
     lexical = None if index is None else bm25_search(index, queries, k)
     return hydrate(rrf(near, lexical, k), near, chunks)
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from wardlight.plans.skew import salted_join
+
 ENUM_VALUES = 10
 
 
@@ -139,7 +141,7 @@ def _key_counts(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose key is not in the parent table."""
-    return child.join(parent.select(key).distinct(), key, "left_anti")
+    return salted_join(child, parent.select(key).distinct(), [key], "left_anti")
 
 
 def orphan_summary(child: DataFrame, parent: DataFrame, key: str, row_id: str) -> DataFrame:
@@ -147,4 +149,4 @@ def orphan_summary(child: DataFrame, parent: DataFrame, key: str, row_id: str) -
     counted = child.groupBy(key).agg(
         F.count("*").alias("n_rows"), F.min(row_id).alias("sample_id")
     )
-    return orphans(counted, parent, key)
+    return counted.join(parent.select(key).distinct(), key, "left_anti")

@@ -107,7 +107,10 @@ def containment_gold(passages: DataFrame, docs: DataFrame) -> DataFrame:
             F.struct("size", "gram"), F.struct(F.coalesce("n_docs", F.lit(0)), "gram")
         ).alias("_a")
     ).select("text_id", "passage", "_a.size", "_a.gram")
-    candidates = held.join(rarest, ["size", "gram"]).select("doc_id", "text_id", "passage")
+    # few against the documents: their texts then need not be shuffled
+    candidates = broadcast_if_small(
+        materialise(held.join(rarest, ["size", "gram"]).select("doc_id", "text_id", "passage"))
+    )
     found = (
         candidates.join(docs.select("doc_id", "text"), "doc_id")
         .where(F.contains("text", "passage"))

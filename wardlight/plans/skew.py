@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,27 +21,29 @@ def salted_join(
     on: list[str],
     how: str = "inner",
     salts: int = 64,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join whose hot keys are spread over ``salts`` tasks.
 
-    One narrow counting pass finds the keys with more than ``hot_rows`` rows on
-    the left; there are at most ``rows / hot_rows`` of them, so their list is
+    One narrow counting pass finds the keys with more than ``hot_rows`` rows
+    (default ``HOT_ROWS``) on the left; there are at most ``rows / hot_rows`` of them, so their list is
     small by construction. Without any, this is a plain join. Else the rows of
     hot keys get a salt hashed from the whole row, and the matching rows on the
     right are repeated once per salt. ``how`` may be inner, left, left_semi or
     left_anti.
     """
     spark = left.sparkSession
-    found = hot_keys(left, on, hot_rows).collect()
+    found = hot_keys(left, on, HOT_ROWS if hot_rows is None else hot_rows).collect()
     if not found:
         return left.join(right, on, how)
     keys = spark.createDataFrame(found, left.select(*on).schema)
     hot = F.broadcast(keys.withColumn("_hot", F.lit(True)))
     # hashed, not counted: a rerun task must send each row to the same place
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    # null keys match nothing, so they may go anywhere
+    loose = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     salted_left = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
+        "_salt", F.when(F.col("_hot") | loose, spread).otherwise(0)
     )
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_right = right.join(hot, on, "left").withColumn(
