@@ -22,6 +22,10 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
+# fixed values: the five primes of xxHash64
+_XX = (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
+)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,7 +71,21 @@ def parts_for(amount: int, each: int, least: int = 1) -> int:
 
 def part_of(column: str, parts: int):
     """Part of a row by the hash of a column; null goes to a part as well."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(parts)).cast("int")
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(parts)).cast("int")
+
+
+def parts_of_ids(ids: np.ndarray, parts: int) -> np.ndarray:
+    """``part_of`` of long values, for rows that are dealt out inside a task: the
+    public 64-bit xxHash of eight bytes, with Spark's seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in _XX)
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = np.full(len(ids), 42 + 8, np.uint64) + p5
+    h ^= turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    h ^= h >> np.uint64(32)
+    return (h.view(np.int64) % parts).astype(np.int32)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import lines, nearest, packing, pii, quality
+from wardlight.llm import lines, nearest, packing, pii, quality, suffix_array, suffix_trees
 from wardlight.llm.common import prepared, read, texts_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,18 @@ def op7(table):
     return packing.packed(table("documents"))
 
 
+@query("op8_suffix_trees")
+def op8(table):
+    found = suffix_trees.remove_repeats(table("documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_array")
+def op10(table):
+    found = suffix_array.remove_repeats(table("documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_line_dedup", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
