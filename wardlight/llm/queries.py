@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import jaccard, lines, nearest, packing, pii, quality, suffix_array, suffix_trees
+from wardlight.llm import jaccard, language, lines, nearest, packing, pii, quality, suffix_array, suffix_trees
 from wardlight.llm.common import prepared, read, texts_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op1(table):
     return pii.find_pii(table("documents"))
 
 
+@query("op2_language_score")
+def op2(table):
+    return language.scored(table("documents"))
+
+
 @query("op3_jaccard_join")
 def op3(table):
     return jaccard.link_classes(table("documents"))
