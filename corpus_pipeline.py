@@ -1,8 +1,66 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline over ``documents``: quality, lines, near duplicates, benchmark, packing.
 
-STAGES = []
+Each stage takes all its predecessor kept, as written, and its decisions take effect.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardlight.llm import decontaminate, jaccard, lines, packing, quality
+from wardlight.llm.common import prepared, read, written
+
+
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model does not reject."""
+    prepared(spark)
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines; ``n_chars`` follows the text. A
+    document of repeated lines only stays, with an empty text."""
+    prepared(spark)
+    out = lines.LineIndex.build(docs).clean(docs)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect the one with the smallest id."""
+    prepared(spark)
+    found = jaccard.link_classes(docs)
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of benchmark items."""
+    prepared(spark)
+    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    prepared(spark)
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality classifier", accept_quality),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-").lower())
+    return docs

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlight.llm.common import WHITE, slices, span_hashes, text_buffer, word_spans, written
 
@@ -226,3 +227,24 @@ def scored(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFr
         "doc_id", (~F.coalesce(learnable(), F.lit(True))).alias("held_out"), score.alias("score"),
         F.when(score >= accept, 1).otherwise(0).alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, unchanged. Statistics and score are
+    made beside each row, so no text is shuffled."""
+    score = train(written(statistics(docs), "quality-statistics"), labels).score()
+    at, names = docs.columns.index("text"), docs.columns
+    row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    schema = T.StructType([*row.fields, *(T.StructField(s, T.DoubleType()) for s in STATS)])
+
+    def measured(batches):
+        for batch in batches:
+            data, off = text_buffer(batch.column(at))
+            found = [measures(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off, 4 << 20)]
+            values = np.concatenate(found) if found else np.zeros((0, len(STATS)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(values[:, k]) for k in range(len(STATS)))], schema.names
+            )
+
+    kept = docs.mapInArrow(measured, schema).where(score >= accept)
+    return kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import jaccard, language, lines, nearest, packing, pii, quality, suffix_array, suffix_trees
+from wardlight.llm import decontaminate, jaccard, language, lines, nearest, packing, pii, quality, suffix_array, suffix_trees
 from wardlight.llm.common import prepared, read, texts_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op5(table):
     return nearest.top_k(table("embeddings"), 20, 20)
 
 
+@query("op6_decontamination")
+def op6(table):
+    return decontaminate.find_leaks(table("documents"), table("benchmark"))
+
+
 @query("op7_packing")
 def op7(table):
     return packing.packed(table("documents"))
