@@ -23,10 +23,12 @@ def verdict(frame, sql):
 
 
 @pytest.mark.parametrize("sql", [
-    "DELETE FROM incident", "DROP TABLE asset", "UPDATE asset SET criticality = 'Low'",
-    "INSERT INTO asset VALUES ('x')", "SELECT 1; DROP TABLE asset", "CREATE TABLE t AS SELECT 1",
-    "COPY incident TO '/tmp/x.csv'", "ATTACH 'other.db' AS o", "VAMOS SELECIONAR TUDO",
-    "SELECT replace(kind, 'a', 'b') FROM incident", "selects",
+    "TRUNCATE TABLE asset", "WITH a AS (SELECT 1) SELECT * FROM a; SELECT 2", "EXPLAIN SELECT 1",
+    "WITH gone AS (DELETE FROM asset RETURNING *) SELECT * FROM gone", "select * from glob('/etc/*')",
+    "SELECT kind FROM incident UNION SELECT * FROM read_parquet('x')", "SHOW TABLES", "", "selection",
+    "SELECT * FROM parquet.`/data/x`", "SELECT * FROM csv . `s3://b/x`", "SELECT n FROM `file:/etc/hosts`",
+    "SELECT reflect('java.lang.Runtime', 'x')", "SELECT java_method('a', 'b')",
+    "SELECT TRANSFORM(a, b) USING 'cat' AS c FROM incident",
 ])
 def test_guard_blocks(frame, sql):
     assert verdict(frame, sql) != "ok"
@@ -41,9 +43,16 @@ def test_guard_accepts_and_orders_reasons(frame):
 
 def test_run_select(spark, frame):
     t = {"numbers": frame([(i,) for i in range(600)], "n int")}
-    assert adhoc.run_select(spark, "SELECT n FROM numbers;", t).count() == 500
+    assert adhoc.run_select(spark, "SELECT n FROM numbers;", t).count() == 600
+    assert adhoc.run_select(spark, "SELECT n FROM numbers", t, 500).count() == 500
+    assert adhoc.run_select(spark, "WITH x AS (SELECT n FROM numbers) SELECT max(n) AS m FROM x", t).first()["m"] == 599
     with pytest.raises(adhoc.BlockedSQLError):
         adhoc.run_select(spark, "SELECT 1; SELECT 2", t)
+    frame([(1,)], "n int").createOrReplaceTempView("not_given")
+    with pytest.raises(adhoc.BlockedSQLError):
+        adhoc.run_select(spark, "SELECT * FROM not_given", t)
+    with pytest.raises(adhoc.BlockedSQLError):
+        adhoc.run_select(spark, "SELECT * FROM numbers WHERE n IN (SELECT n FROM not_given)", t)
 
 
 def test_lints(frame):
@@ -107,6 +116,7 @@ def test_retry_summary(frame):
     assert (got[1]["attempts"], got[1]["self_corrected"], got[1]["failed"]) == (1, False, False)
     assert (got[2]["attempts"], got[2]["self_corrected"], got[2]["reasons"]) == (2, True, "json")
     assert (got[3]["failed"], got[3]["reasons"]) == (True, "a; b; c")
+    assert [got[i]["logged"] for i in (1, 2, 3)] == [1, 2, 4]
 
 
 def test_same_result(frame):

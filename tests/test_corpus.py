@@ -41,13 +41,14 @@ def test_empty_text_has_no_section(frame):
 
 
 def test_blocks_cover_text_and_end():
-    text = "\n".join(f"linha {i} " + "x" * 40 for i in range(40))
-    blocks = corpus.blocks_of(text, 300, 60)
-    assert 3 <= len(blocks) <= 12 and all(blocks)
-    assert not any(blocks.count(b) > 2 for b in set(blocks))
-    points = list(corpus.cut_points(text, 300, 60))
+    text = "".join(f"{w}\n" * 3 + "." * (7 * i % 31) + "\n" for i, w in enumerate(["alpha", "be", "gamma ray", "d"] * 25))
+    points = list(corpus.cut_points(text, 170, 35))
     assert points[0][0] == 0 and points[-1][1] == len(text)
-    assert all(b[0] <= a[1] for a, b in zip(points, points[1:]))
+    assert all(b[0] <= a[1] and b[0] > a[0] for a, b in zip(points, points[1:]))
+    assert all(b - a <= 170 for a, b in points)
+    assert "".join(text[a:b] for (a, _), (b, _) in zip(points, points[1:])) + text[points[-1][0]:] == text
+    # a block ends at the last line break of its second half, if it has one
+    assert list(corpus.cut_points("aaaaaa\nbbb\ncccccc", 12, 2))[0] == (0, 10)
     assert corpus.blocks_of("z" * 1100) == ["z" * 1100]
     assert [len(b) for b in corpus.blocks_of("z" * 1101)] == [900, 321]
     # an overlap larger than the block still moves on

@@ -41,15 +41,15 @@ def test_train_save_load(spark, labelled, tmp_path):
     assert 50.0 < row["auc"] <= row["ceiling_auc"] + 5 and row["accuracy"] <= row["ceiling_accuracy"] + 5
     again, saved = fp_model.load_or_fit(spark, str(tmp_path / "m"), labelled)
     assert saved.first()["threshold"] == row["threshold"]
-    low = ("T-1", "Social Engineering", "Low", "T1598", "MACHINERY", "Medium", "OS-1", "Yes")
-    critical = ("T-2", "Malware", "Critical", "T1204", "BUILDING", "High", "OS-2", "No")
-    odd = ("T-9", "New Kind", "Medium", "T9999", "Staging", "Low", "Container", "No")
+    low = ("calm", "DDoS", "Low", "T1498", "FURNITURE", "Low", "OS-3", "No")
+    critical = ("hot", "Phishing", "Critical", "T1566", "AUTOMOBILE", "Medium", "OS-4", "Yes")
+    odd = ("odd", "Never Seen", "High", "T0000", "Nowhere", "High", "OS-99", "No")
     ddl = "incident_id string, kind string, severity string, technique string, environment string, criticality string, os string, internet_exposed string"
     df = spark.createDataFrame([critical, low, odd], ddl).withColumn("severity_level", fp_model.severity_level(F.col("severity")))
     got = fp_model.ranked(fp_model.score_fp(again, df, row["threshold"])).collect()
     assert [r["probability"] for r in got] == sorted((r["probability"] for r in got), reverse=True)
     p = {r["incident_id"]: r["probability"] for r in got}
-    assert p["T-1"] > p["T-2"] and 0 <= p["T-9"] <= 1
+    assert p["calm"] > p["hot"] and 0 <= p["odd"] <= 1
     assert all(0.5 <= r["confidence"] <= 1 for r in got)
     first = fp_model.score_fp(model, df, 0.2).collect()
     assert sorted(first) == sorted(fp_model.score_fp(again, df, 0.2).collect())

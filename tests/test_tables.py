@@ -6,6 +6,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from wardlight.plans.ordering import numbered
 from wardlight.operators import evaluation, journal, kpi, memory, metrics, profile, traces
 from wardlight.sources.files import append_history, read_history
 from wardlight.sources.journal import append_calls, metrics_matrix, normalise_calls
@@ -92,19 +93,19 @@ def test_enum_limit(frame):
 
 def test_journal(frame, spark, tmp_path):
     raw = frame([
-        (1, dt.datetime(2026, 1, 1, 10), "ab12", "triador", "roteamento", "m", 812.44, True, 120, 45, None),
-        (2, dt.datetime(2026, 1, 2, 10), None, None, "", "m", 2400.0, False, None, None, "E" * 400),
+        (1, dt.datetime(2026, 1, 1, 10), "r-7", "triador", "fila", "m", 640.5, True, 70, 9, None),
+        (2, dt.datetime(2026, 1, 2, 10), None, None, "", "m", 1800.0, False, None, None, "E" * 400),
     ], CALL.replace("success int", "succeeded boolean"))
     calls = normalise_calls(raw)
     two = calls.where("call_id = 2").first()
     assert (two["agent"], two["stage"], two["request_id"], two["success"], len(two["error"])) == ("sistema", "llm", "—", 0, 300)
     row = journal.call_summary(calls).first()
-    assert (row["calls"], row["requests"], row["ok"], row["failures"], row["prompt_tokens"]) == (2, 2, 1, 1, 120)
+    assert (row["calls"], row["requests"], row["ok"], row["failures"], row["prompt_tokens"]) == (2, 2, 1, 1, 70)
     assert row["max_ms"] >= row["mean_ms"] > 0
     empty = journal.call_summary(calls.limit(0)).first()
     assert (empty["calls"], empty["mean_ms"], empty["ok"], empty["prompt_tokens"]) == (0, 0.0, 0, None)
     rates = {r["stage"]: r for r in journal.call_rates(calls, ("stage",)).collect()}
-    assert rates["roteamento"]["tokens_total"] == 165 and rates["llm"]["tokens_total"] is None
+    assert rates["fila"]["tokens_total"] == 79 and rates["llm"]["tokens_total"] is None
     assert [r["call_id"] for r in journal.latest(calls, 1).collect()] == [2]
     assert journal.failures(calls).first()["error_start"] == "E" * 60
     append_calls(raw, str(tmp_path / "j"))
@@ -120,16 +121,16 @@ def test_metrics_matrix(frame):
 
 def test_traces(frame):
     text = ('[{"tipo":"request","id":"ab"},{"tipo":"agente","papel":"triador","acao":"x"},{"tipo":"sql","sql":"SELECT 1","linhas":1},'
-            '{"tipo":"rag","consulta":"q","fontes":["playbook.md :: 5.1"]},{"tipo":"tempo","etapa":"roteamento","segundos":1.411},'
-            '{"tipo":"agente","papel":"redator"},{"tipo":"agente","papel":"triador"},{"tipo":"coisado","detalhe":"z"},'
-            '{"tipo":"contexto","reescrita":"r"},{"tipo":"ml","filtro":"f","incidentes":3,"prob_media":41.6}]')
+            '{"tipo":"rag","consulta":"lote 7","fontes":["guide.md :: 2"]},{"tipo":"tempo","etapa":"fila","segundos":2.26},'
+            '{"tipo":"agente","papel":"redator"},{"tipo":"agente","papel":"triador"},{"tipo":"novo","detalhe":"w"},'
+            '{"tipo":"contexto","reescrita":"turno da noite"},{"tipo":"ml","filtro":"lote","incidentes":8,"prob_media":12.2}]')
     answers = frame([(1, text), (2, "[]"), (3, "nope"), (4, None)], "id int, trace string")
     events = traces.trace_events(answers, "id", "trace")
     assert events.select("answer_id").distinct().count() == 1
     lines = {r["pos"]: r["line"] for r in traces.event_table(events).collect()}
-    assert 0 not in lines and lines[4] == "roteamento · 1.4s" and lines[7] == "detail=z"
-    assert lines[3] == "consulta: q · 1 trechos" and lines[8] == "seguimento reformulado → r"
-    assert lines[9] == "filtro: f · 3 incidentes · FP médio 42%"
+    assert 0 not in lines and lines[4] == "fila · 2.3s" and lines[7] == "detail=w"
+    assert lines[3] == "consulta: lote 7 · 1 trechos" and lines[8] == "seguimento reformulado → turno da noite"
+    assert lines[9] == "filtro: lote · 8 incidentes · FP médio 12%"
     assert traces.roles(events).first()["roles"] == "triador+redator"
     want = frame([(1, ["sql", "rag"]), (2, ["sql"]), (5, [])], "answer_id int, tools array<string>")
     assert {r["answer_id"]: r["routing_ok"] for r in traces.routing_ok(events, want).collect()} == {1: True, 2: False, 5: True}
@@ -158,9 +159,9 @@ def test_memory(frame, spark, tmp_path):
 
 def test_facts(frame):
     known = frame([], "fact string, created_at timestamp, updated_at timestamp")
-    offered = frame([(1, "Analista atua na triagem N1"), (2, "analista atua na triagem n1."), (3, "ab"), (4, ""), (5, "y" * 201)], "seq int, fact string")
+    offered = frame([(1, "Prefers tables by Region"), (2, "prefers tables by region."), (3, "ab"), (4, ""), (5, "y" * 201)], "seq int, fact string")
     profile_, added = memory.upsert_facts(known, offered, "2026-01-01 00:00:00")
-    assert [r["fact"] for r in added.collect()] == ["Analista atua na triagem N1"]
+    assert [r["fact"] for r in added.collect()] == ["Prefers tables by Region"]
     again, none = memory.upsert_facts(profile_, offered, "2026-01-02 00:00:00")
     assert none.count() == 0 and again.count() == 1
     assert memory.clear_profile(again).count() == 0
@@ -196,8 +197,23 @@ def test_history_row(frame, spark, tmp_path):
 def test_sql_correctness(frame):
     rows = [(1, s, r) for s, r in (("reference", ["1", "A"]), ("generated", ["1.0", "a "]))]
     rows += [(2, "reference", ["5"]), (2, "generated", ["5"]), (2, "generated", ["5"]), (3, "reference", ["7"])]
-    got = {r["case_id"]: r["sql_correct"] for r in evaluation.sql_correctness(frame(rows, "case_id int, side string, row array<string>")).collect()}
-    assert got == {1: 1.0, 2: 0.0, 3: None}
+    # 4 ran and returned nothing, 5 likewise and rightly so, 6 never ran
+    rows += [(4, "reference", ["7"])]
+    cases = frame([(1, True), (2, True), (3, False), (4, True), (5, True), (6, False)], "case_id int, ran boolean")
+    got = evaluation.sql_correctness(cases, frame(rows, "case_id int, side string, row array<string>"))
+    assert {r["case_id"]: r["sql_correct"] for r in got.collect()} == {1: 1.0, 2: 0.0, 3: None, 4: 0.0, 5: 1.0, 6: None}
+
+
+def test_numbered_gives_one_result(frame):
+    """Both paths agree with null keys and values over several slices."""
+    rows = [(None if i % 4 == 0 else i % 3, i, float(i) if 20 < i < 60 else None) for i in range(400)]
+    df = frame(rows, "g int, k int, v double").repartition(7)
+    for group in (["g"], []):
+        by = group or ["one"]
+        given = df if group else df.withColumn("one", F.lit(None).cast("int"))
+        plain = numbered(given, by, ["k"], "no", {"run": "v"}).orderBy("k").collect()
+        sliced = numbered(given, by, ["k"], "no", {"run": "v"}, group_rows=10).orderBy("k").collect()
+        assert plain == sliced and len(plain) == 400
 
 
 def test_trend_with_few_runs(frame):

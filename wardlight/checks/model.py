@@ -70,7 +70,7 @@ def _(t):
 
 @check("ml_05_cross_validate")
 def _(t):
-    mean_f1 = m.cross_validate(_parts(t).where("part = 'train'"), "incident_id", folds=3)
+    mean_f1 = m.cross_validate(_parts(t).where("part = 'train'"), "incident_id")
     return frame(t).agg(F.count("*").alias("n")).withColumn("cv_f1", F.lit(mean_f1))
 
 
@@ -167,6 +167,22 @@ def _(t):
     return m.score_summary(scored)
 
 
+@check("ml_10_selection_summary", over("asset incident", f"""WITH {_MATCHED}, {_PICKED},
+sc AS (SELECT question_id, incident_id, severity, round(((incident_id * 37) % 997) / CAST(997 AS DOUBLE), 3) AS p FROM pk),
+sv AS (SELECT question_id, severity, sum(p) AS total, count(*) AS n FROM sc GROUP BY 1, 2),
+ov AS (SELECT question_id, CAST(sum(n) AS BIGINT) AS n, round(sum(total) / sum(n), 3) AS mean_probability,
+ string_agg(severity || ': ' || CAST(CAST(round(100 * (total / n), 0) AS BIGINT) AS VARCHAR) || '% (n=' || CAST(n AS VARCHAR) || ')', ', '
+  ORDER BY round(total / n, 6) DESC, severity) AS by_severity FROM sv GROUP BY 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY p DESC, incident_id) AS r FROM sc),
+tp AS (SELECT question_id, string_agg(CAST(incident_id AS VARCHAR) || ' (' || CAST(CAST(round(100 * p, 0) AS BIGINT) AS VARCHAR) || '%)', ', ' ORDER BY r) AS likeliest
+ FROM rk WHERE r <= 5 GROUP BY 1)
+SELECT question_id, n, mean_probability, by_severity, likeliest FROM ov JOIN tp USING (question_id)"""))
+def _(t):
+    rows = frame(t)
+    scored = rows.withColumn("probability", F.expr("round(((incident_id * 37) % 997) / 997.0D, 3)"))
+    return m.selection_summary(m.match_filters(questions(t), rows), scored)
+
+
 def _kdd_parts(t):
     records = connections(t).withColumn("attack", (F.col("label") != "normal").cast("int"))
     held = m.draw("row_id") % 4 == 0
@@ -183,7 +199,7 @@ def _(t):
 @check("ml_11_kdd_boosting")
 def _(t):
     train, test = _kdd_parts(t)
-    fitted = intrusion.fit_kdd(train, "boosting", trees=5)
+    fitted = intrusion.fit_kdd(train, "boosting")
     return intrusion.evaluate_kdd(fitted, train, test, "boosting")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.sources.views import KINDS, LOGGED_REQUESTS
+from wardlight.sources.views import KINDS, LOGGED_REQUESTS, SAID_FROM
 
 
 def _q(text: str) -> str:
@@ -82,9 +82,16 @@ SELECT CAST(floor(event_id / 3) AS BIGINT) AS case_id, event_id % 3 + 1 AS run,
  CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END AS routed,
  CASE WHEN event_id % 4 <> 0 THEN CAST(CASE WHEN event_id % 9 <> 0 THEN 1 ELSE 0 END AS DOUBLE) END AS sql_correct
 FROM events""",
-    "query_log": "SELECT e.event_id AS query_id, t.question, t.sql_text, t.route FROM events e JOIN (VALUES "
+    "query_log": """
+SELECT e.event_id AS query_id, concat_ws(' ', t.question, e.event_type, CAST(e.user_id AS VARCHAR)) AS question,
+ CASE WHEN contains(t.sql_text, 'WHERE') THEN concat(t.sql_text, ' AND asset_id = ', CAST(e.user_id AS VARCHAR))
+  ELSE t.sql_text END AS sql_text, t.route
+FROM events e JOIN (VALUES """
     + ", ".join(f"({i}, {_q(q)}, {_q(s)}, {_q(r)})" for i, q, s, r in LOGGED_REQUESTS)
-    + f") AS t(tid, question, sql_text, route) ON e.event_id % {len(LOGGED_REQUESTS)} = t.tid",
+    + f""") AS t(tid, question, sql_text, route) ON e.event_id % {len(LOGGED_REQUESTS)} = t.tid
+UNION ALL SELECT {SAID_FROM} + conv_id * 100 + turn, text,
+ concat('SELECT 1 FROM incident i WHERE i.kind = ''', replace(text, '''', ''), ''''),
+ CASE WHEN turn % 2 = 0 THEN 'direto' ELSE 'consultar' END FROM conversations""",
 }
 
 

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: Latin letters with marks and the letters they fold to
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _fold_table() -> tuple[str, str]:
+    """Letters that decompose into a plain letter and marks, and those letters, from
+    Unicode's own decomposition; Latin, Greek and Cyrillic letters with marks and the
+    Vietnamese block are in it. What decomposes into several letters is left alone."""
+    marked, bare = [], []
+    for code in (*range(0x00C0, 0x0590), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(code).lower())
+        kept = "".join(c for c in parts if not unicodedata.combining(c))
+        if len(parts) > 1 and len(kept) == 1 and kept != chr(code):
+            marked.append(chr(code))
+            bare.append(kept)
+    return "".join(marked), "".join(bare)
+
+
+MARKED, PLAIN = _fold_table()
 
 # fixed values: patterns that decide the flags below; (?U) makes \b and \w see
 # accented letters
@@ -39,7 +55,7 @@ def strip(value: Column) -> Column:
 
 
 def fold(value: Column) -> Column:
-    """Lower case without accents; combining marks are dropped too."""
+    """Lower case without accents, of any script; combining marks are dropped too."""
     return F.regexp_replace(F.translate(F.lower(value), MARKED, PLAIN), r"\p{Mn}", "")
 
 

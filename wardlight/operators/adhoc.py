@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.functions.text import comparable
 from wardlight.operators.audit import OK, clean_statement, read_only_verdict
 
-MAX_ROWS = 500
-
-
 class BlockedSQLError(ValueError):
     """The statement is not a single read-only SELECT."""
 
@@ -26,13 +27,37 @@ def check_select(spark: SparkSession, sql: str) -> str:
 
 
 def run_select(
-    spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int = MAX_ROWS
+    spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int | None = None
 ) -> DataFrame:
-    """Run one SELECT/WITH over the given tables, at most ``max_rows`` rows."""
+    """Run one SELECT/WITH over the given tables; all rows unless ``max_rows`` is given.
+
+    Besides the words checked in the text, file paths as tables are switched off for
+    the call, and every relation of the plan must be one of ``tables`` or a name
+    the statement defines itself.
+    """
     text = check_select(spark, sql)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text).limit(max_rows)
+    before = spark.conf.get("spark.sql.runSQLOnFiles")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        found = spark.sql(text)
+        found.schema  # analysed while files are off
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", before)
+    known = {f"view (`{n.lower()}`" for n in tables}.union(*(_relations(df) for df in tables.values()))
+    if unknown := _relations(found) - known:
+        raise BlockedSQLError(f"unknown table {sorted(unknown)[0]}")
+    return found if max_rows is None else found.limit(max_rows)
+
+
+def _relations(df: DataFrame) -> set[str]:
+    """Views and stored relations in the analysed plan, as Spark explains it."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("extended")
+    plan = out.getvalue().partition("== Analyzed Logical Plan ==")[2].partition("== Optimized")[0].lower()
+    return set(re.findall(r"view \(`[^`]+`|relation [\w.`]+(?=\[)", plan))
 
 
 def cells(df: DataFrame) -> DataFrame:

@@ -20,12 +20,18 @@ FORBIDDEN = (
     r"(?iU)\b(insert|update|delete|drop|alter|create|replace|copy|export|import|attach|detach|"
     r"pragma|call|set|prepare|execute|read_csv|read_parquet|glob)\b"
 )
+# Spark's own ways out of a query: files as tables, reflection, scripts, table functions over files
+OUTSIDE = (
+    r"(?iU)\b(reflect|try_reflect|java_method|transform\s*\([^)]*\)\s*using|read_files|cloud_files|"
+    r"(parquet|csv|json|orc|text|binaryfile|avro|xml|delta|jdbc)\s*\.\s*`)|`\s*[a-z0-9+]*:?/"
+)
 READS = r"(?iU)^(select|with)\b"
 # fixed values: table with optional alias after FROM/JOIN, and words that are no alias
 SOURCE = r"(?iU)\b(?:FROM|JOIN)\s+([a-zA-Z_]\w*)(?:\s+(?:AS\s+)?([a-zA-Z_]\w*))?"
 NOT_ALIAS = (
     "ON USING WHERE GROUP ORDER LIMIT INNER LEFT RIGHT FULL CROSS NATURAL SET VALUES"
 ).split()
+# fixed values: a column compared with a text literal
 EQUALS_TEXT = r"(?iU)((?:\w+\.)?)(\w+)\s*=\s*'([^']*)'"
 
 OK, NOT_SELECT, SEVERAL, BLOCKED = "ok", "not_select", "several_statements", "blocked_word"
@@ -41,7 +47,7 @@ def read_only_verdict(sql: Column) -> Column:
     return (
         F.when(~text.rlike(READS), NOT_SELECT)
         .when(text.contains(";"), SEVERAL)
-        .when(text.rlike(FORBIDDEN), BLOCKED)
+        .when(text.rlike(FORBIDDEN) | text.rlike(OUTSIDE), BLOCKED)
         .otherwise(OK)
     )
 
@@ -61,13 +67,18 @@ def lint_ratio(df: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: the condition of a CASE, and a division by all rows
+CASE_CONDITION = r"(?i)CASE WHEN ([^)]+)"
+BY_ALL_ROWS = "/COUNT(*)"
+
+
 def lint_denominator(df: DataFrame) -> DataFrame:
     """Divides by a bare COUNT(*) while the CASE condition narrows the group."""
     squeezed = F.regexp_replace(F.upper("sql_text"), r"(?U)\s+", "")
-    condition = F.regexp_extract("sql_text", r"(?i)CASE WHEN ([^)]+)", 1)
+    condition = F.regexp_extract("sql_text", CASE_CONDITION, 1)
     return df.withColumn(
         "wide_denominator",
-        squeezed.contains("/COUNT(*)") & F.upper(condition).contains(" AND "),
+        squeezed.contains(BY_ALL_ROWS) & F.upper(condition).contains(" AND "),
     )
 
 
@@ -176,14 +187,16 @@ def reroute(df: DataFrame) -> DataFrame:
 def retry_summary(attempts: DataFrame, tries: int = 3) -> DataFrame:
     """Per query over its numbered attempts (query_id, attempt, ok, reason):
     the attempt that worked, whether it was a self-correction, whether all
-    tries failed, and the reasons in order. Attempts after success and beyond
-    ``tries`` do not count, so each query folds into ``tries`` slots."""
+    tries failed, the reasons in order, and the number of logged attempts, those
+    after success and beyond ``tries`` included. The verdict looks at the first
+    ``tries`` only, so each query folds into ``tries`` slots."""
     slots = [F.max(F.when((F.col("attempt") == i) & ~F.col("ok"), F.col("reason"))).alias(f"_r{i}")
              for i in range(1, tries + 1)]
-    inside = attempts.where(F.col("attempt").between(1, tries))
-    per_query = inside.groupBy("query_id").agg(
-        F.min(F.when(F.col("ok"), F.col("attempt"))).alias("solved_at"),
-        F.max("attempt").alias("_last"),
+    inside = F.col("attempt").between(1, tries)
+    per_query = attempts.groupBy("query_id").agg(
+        F.count("*").alias("logged"),
+        F.min(F.when(inside & F.col("ok"), F.col("attempt"))).alias("solved_at"),
+        F.max(F.when(inside, F.col("attempt"))).alias("_last"),
         *slots,
     )
     used = F.coalesce(F.col("solved_at"), F.col("_last"))
@@ -195,6 +208,7 @@ def retry_summary(attempts: DataFrame, tries: int = 3) -> DataFrame:
         used.alias("attempts"),
         "solved_at",
         F.coalesce(F.col("solved_at") > 1, F.lit(False)).alias("self_corrected"),
-        (F.col("solved_at").isNull() & (F.col("_last") >= tries)).alias("failed"),
+        (F.col("solved_at").isNull() & (F.coalesce("_last", F.lit(0)) >= tries)).alias("failed"),
         F.array_join(reasons, "; ").alias("reasons"),
+        "logged",
     )

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_VALUES = 10  # ``detect_enums`` lists no column with more
+
+
 def value_lists(enums: DataFrame) -> DataFrame:
     """One row per (table, column) with its sorted values."""
     return enums.groupBy("table", "column").agg(
@@ -36,39 +39,38 @@ def one_edit_away(allowed: Column, value: Column) -> Column:
     )
 
 
-def _scoped(enums: DataFrame, table: str, column: str) -> DataFrame:
-    return (
-        value_lists(enums)
-        .where((F.col("table") == table) & (F.col("column") == column))
-        .select("column", "allowed")
+def _allowed(enums: DataFrame, table: str, column: str) -> Column | None:
+    """Values of one column as a literal: a dictionary has at most ten of them."""
+    found = (
+        enums.where((F.col("table") == table) & (F.col("column") == column))
+        .select("value").distinct().orderBy("value").limit(MAX_VALUES).collect()
     )
+    return F.array(*[F.lit(r["value"]) for r in found]) if found else None
 
 
 def canonicalise(df: DataFrame, table: str, column: str, enums: DataFrame) -> DataFrame:
     """Replace values by the dictionary value equal ignoring case. Unknown and
-    already right values stay. The dictionary of one column is one row."""
-    listed = F.broadcast(_scoped(enums, table, column))
-    return (
-        df.withColumn("_column", F.lit(column))
-        .join(listed.withColumnRenamed("column", "_column"), "_column", "left")
-        .withColumn(
-            column, F.coalesce(same_ignoring_case(F.col("allowed"), F.col(column)), F.col(column))
-        )
-        .select(*df.columns)
+    already right values stay."""
+    allowed = _allowed(enums, table, column)
+    if allowed is None:
+        return df
+    return df.withColumn(
+        column, F.coalesce(same_ignoring_case(allowed, F.col(column)), F.col(column))
     )
 
 
 def near_misses(df: DataFrame, table: str, column: str, enums: DataFrame) -> DataFrame:
     """Values outside the dictionary but one edit from an allowed one, with the
     suggestion and the number of rows. Values are made distinct first."""
-    listed = F.broadcast(_scoped(enums, table, column))
+    allowed = _allowed(enums, table, column)
+    if allowed is None:
+        allowed = F.array().cast("array<string>")
     return (
         df.where(F.col(column).isNotNull())
         .groupBy(F.col(column).alias("value"))
         .agg(F.count("*").alias("n_rows"))
         .withColumn("column", F.lit(column))
-        .join(listed, "column")
-        .withColumn("suggestion", one_edit_away(F.col("allowed"), F.col("value")))
+        .withColumn("suggestion", one_edit_away(allowed, F.col("value")))
         .where(F.col("suggestion").isNotNull())
         .select("column", "value", "suggestion", "n_rows")
     )
@@ -85,6 +87,6 @@ def scope_dictionary(enums: DataFrame) -> DataFrame:
 
 
 def dictionary_beside(df: DataFrame, lists: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Left join of a dictionary list under a new name. Detected dictionaries are
-    literal tables, so the planner knows their size."""
-    return df.join(lists.withColumnRenamed("allowed", name), on, "left")
+    """Left join of a dictionary list under a new name: a row per enumerated column,
+    with at most ten values each, so it is always broadcast."""
+    return df.join(F.broadcast(lists.withColumnRenamed("allowed", name)), on, "left")

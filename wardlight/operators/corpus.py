@@ -6,6 +6,8 @@ largest thing a task holds.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,19 +49,20 @@ def split_sections(docs: DataFrame, heading: str = HEADING) -> DataFrame:
 
 
 def cut_points(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Start and end of the blocks of a long text. A block prefers to end at the
-    last line break of its second half and starts ``overlap`` before the end of
-    the block in front."""
-    start, end = 0, 0
-    while end < len(text):
-        end = start + size
-        if end < len(text):
-            line_end = text.rfind("\n", start + size // 2, end)
-            end = line_end if line_end > start else end
-        else:
-            end = len(text)
-        yield start, end
-        start = max(start + 1, end - overlap)
+    """Start and end of the blocks of a long text. A block ends at the last line
+    break of its second half, else at full size, and the next one starts
+    ``overlap`` characters before that end, at least one further on."""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    at = 0
+    for _ in range(len(text)):
+        if at + size >= len(text):
+            yield at, len(text)
+            return
+        # break positions inside [at + size // 2, at + size); the first place never counts
+        found = breaks[bisect_left(breaks, max(at + 1, at + size // 2)) : bisect_left(breaks, at + size)]
+        stop = found[-1] if found else at + size
+        yield at, stop
+        at = max(at + 1, stop - overlap)
 
 
 def blocks_of(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP) -> list[str]:

@@ -105,20 +105,18 @@ def uncovered(runs: DataFrame) -> DataFrame:
     return runs.select("case_id", F.explode("missing").alias("fact"))
 
 
-def sql_correctness(results: DataFrame) -> DataFrame:
+def sql_correctness(cases: DataFrame, results: DataFrame) -> DataFrame:
     """Per case: do the rows of the generated query equal those of the reference
-    query as multisets of comparable cells? ``results`` has (case_id, side, row)
-    with side ``generated`` or ``reference`` and row an array of cells; null
-    when a case has no generated rows."""
+    query as multisets of comparable cells? ``cases`` has (case_id, ran), ran telling
+    whether a generated query ran; ``results`` has (case_id, side, row) with side
+    ``generated`` or ``reference`` and row an array of cells. A query that ran and
+    returned nothing is wrong unless the reference is empty too; null when none ran."""
     sign = F.when(F.col("side") == "generated", 1).otherwise(-1)
     balance = results.groupBy(
         "case_id", F.transform("row", lambda c: comparable(c)).alias("cells")
-    ).agg(
-        F.sum(sign).alias("balance"),
-        F.count_if(F.col("side") == "generated").alias("generated"),
-    )
-    return balance.groupBy("case_id").agg(
-        F.when(F.sum("generated") > 0, F.bool_and(F.col("balance") == 0).cast("double")).alias(
-            "sql_correct"
-        )
+    ).agg(F.sum(sign).alias("balance"))
+    apart = balance.groupBy("case_id").agg(F.bool_and(F.col("balance") == 0).alias("_same"))
+    return cases.join(apart, "case_id", "left").select(
+        "case_id",
+        F.when(F.col("ran"), F.coalesce("_same", F.lit(True)).cast("double")).alias("sql_correct"),
     )

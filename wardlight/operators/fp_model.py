@@ -32,6 +32,8 @@ FALSE_ALARM, REAL = "falso positivo", "incidente real"
 CATEGORIES = ["kind", "technique", "environment", "criticality", "os", "internet_exposed"]
 FILTER_FIELDS = ["kind", "severity", "environment", "technique"]
 RECENT = 200
+# how Spark says that a path does not exist
+NOTHING_THERE = ("PATH_NOT_FOUND", "Input path does not exist", "Path does not exist")
 LISTED_VALUES = 1_000
 
 
@@ -90,8 +92,8 @@ def stratified_split(
         raise ValueError("a class label has at most 10,000 values")
     spark = df.sparkSession
     kind = df.schema[label].dataType.simpleString()
-    edge = spark.createDataFrame(
-        [tuple(e) for e in edges], f"_label {kind}, _edge long, _room long"
+    edge = F.broadcast(  # one row per label, at most 10,000
+        spark.createDataFrame([tuple(e) for e in edges], f"_label {kind}, _edge long, _room long")
     )
     placed = drawn.join(edge, drawn[label].eqNullSafe(edge["_label"]), "left").drop("_label")
     side = F.when(F.col("_range") < F.col("_edge"), "train").otherwise("test")
@@ -174,9 +176,22 @@ def binary_metrics(pred: DataFrame) -> DataFrame:
     return confusion_metrics(pred).withColumn("auc", F.lit(auc(pred)))
 
 
+def stratified_folds(df: DataFrame, label: str, row_id: str, folds: int, seed: int = SEED) -> DataFrame:
+    """Adds ``fold``: rows of each label, in the order of their draws, go to equal
+    stretches. Draws are counted in 65,536 ranges and a range goes to one fold, so
+    folds differ per label by the rows of a range at most."""
+    drawn = df.withColumn("_range", F.shiftright(draw(row_id, seed), 16))
+    counts = drawn.groupBy(F.col(label).alias("_label"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_label").orderBy("_r"))
+    whole = F.sum("_n").over(Window.partitionBy("_label"))
+    placed = counts.select("_label", "_r", F.floor((upto - 1) * folds / whole).cast("int").alias("fold"))
+    same = drawn[label].eqNullSafe(placed["_label"]) & (drawn["_range"] == placed["_r"])
+    return drawn.join(placed, same).select(*df.columns, "fold")
+
+
 def cross_validate(train: DataFrame, row_id: str, folds: int = 5, seed: int = SEED) -> float:
-    """Mean F1 of the positive class over hashed folds, in percent."""
-    folded = train.withColumn("fold", F.pmod(draw(row_id, seed), F.lit(folds)).cast("int"))
+    """Mean F1 of the positive class over stratified folds, in percent."""
+    folded = stratified_folds(train, "label", row_id, folds, seed)
     judge = MulticlassClassificationEvaluator(
         labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0
     )
@@ -359,6 +374,27 @@ def score_summary(scored: DataFrame, top: int = 5) -> DataFrame:
     per_severity = scored.groupBy("question_id", "severity").agg(
         F.sum("probability").alias("total"), F.count("*").alias("n")
     )
+    best = scored.select("question_id", "incident_id", "probability")
+    return _summary(per_severity, best, top)
+
+
+def selection_summary(filters: DataFrame, scored_profile: DataFrame, top: int = 5) -> DataFrame:
+    """``score_summary`` over the whole selection of each question, however large.
+    Incidents are added up and ranked per cell; questions add up their cells, so no
+    row is made per question and incident."""
+    cells = materialise(asked_cells(filters))
+    held = _profile_cells(scored_profile, cells)
+    asked = cells.select("question_id", "cell")
+    sums = held.groupBy("cell", "severity").agg(F.sum("probability").alias("total"), F.count("*").alias("n"))
+    per_severity = asked.join(sums, "cell").groupBy("question_id", "severity").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n")
+    )
+    order = [F.desc("probability"), "incident_id"]
+    kept = top_per_group(held.select("cell", "incident_id", "probability"), ["cell"], order, top, "_r").drop("_r")
+    return _summary(per_severity, asked.join(kept, "cell").drop("cell"), top)
+
+
+def _summary(per_severity: DataFrame, best: DataFrame, top: int) -> DataFrame:
     mean = F.col("total") / F.col("n")
     line = F.concat(
         "severity", F.lit(": "), F.round(100 * mean, 0).cast("long").cast("string"),
@@ -379,15 +415,12 @@ def score_summary(scored: DataFrame, top: int = 5) -> DataFrame:
             ", ",
         ).alias("by_severity"),
     )
-    best = top_per_group(
-        scored.select("question_id", "incident_id", "probability"),
-        ["question_id"], [F.desc("probability"), "incident_id"], top, "_r",
-    )
+    ranked_ = top_per_group(best, ["question_id"], [F.desc("probability"), "incident_id"], top, "_r")
     item = F.concat(
         F.col("incident_id").cast("string"), F.lit(" ("),
         F.round(100 * F.col("probability"), 0).cast("long").cast("string"), F.lit("%)"),
     )
-    likeliest = best.groupBy("question_id").agg(
+    likeliest = ranked_.groupBy("question_id").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("_r", item.alias("item")))), lambda s: s["item"]
@@ -411,12 +444,13 @@ def save_model(model: PipelineModel, metrics: DataFrame, path: str) -> None:
 
 
 def load_or_fit(spark: SparkSession, path: str, frame: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    """The saved model with its metrics, or a new one fitted on ``frame`` and
-    saved."""
+    """The saved model with its metrics; a new one, fitted on ``frame`` and saved, when
+    nothing is there. Any other failure to load is the caller's to see."""
     try:
         return PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/metrics")
-    except (PySparkException, Py4JJavaError):
-        pass
+    except (PySparkException, Py4JJavaError) as failed:
+        if not any(mark in str(failed) for mark in NOTHING_THERE):
+            raise
     model, metrics = train_fp(frame)
     save_model(model, metrics, path)
     return model, metrics

@@ -9,6 +9,8 @@ ones before.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,23 +66,29 @@ def _by_range(df, group, order, number, running):
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
+    # a sum before stays null while no earlier slice has a value, as a window's would
     shift = totals.select(
-        *group,
-        "_slice",
+        *[F.col(c).alias(f"_g_{c}") for c in group],
+        F.col("_slice").alias("_s"),
         "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in running],
+        *[F.sum(n).over(before).alias(f"_b_{n}") for n in running],
     )
     inside = Window.partitionBy("_slice", *group).orderBy("_at").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     for name, value in running.items():
         rows = rows.withColumn(f"_r_{name}", F.sum(value).over(inside))
-    out = rows.join(shift, [*group, "_slice"]).withColumn(
+    # groups may be null: the join must be null-safe
+    same = reduce(
+        lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], F.col("_slice") == F.col("_s")
+    )
+    out = rows.join(shift, same).withColumn(
         number, F.col("_before") + F.col("_at") - F.col("_first") + 1
     )
     for name in running:
-        out = out.withColumn(name, F.col(f"_b_{name}") + F.col(f"_r_{name}"))
+        earlier, here = F.col(f"_b_{name}"), F.col(f"_r_{name}")
+        out = out.withColumn(name, F.coalesce(earlier + here, here, earlier))
     return out.select(*df.columns, number, *running)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -20,7 +21,26 @@ RUNTIME_CONF = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once per application: they need not share
+    the driver's Python path. Spark's own file server carries it."""
+    context = spark.sparkContext
+    if getattr(context, "_wardlight_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="wardlight-ship-"), "wardlight.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(target)
+    context._wardlight_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
+    ship(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -19,10 +23,16 @@ def small_values(df: DataFrame, rows: int) -> list | None:
     return got if len(got) <= rows else None
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count; beyond it the join shuffles and AQE
-    splits the skewed partitions."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint behind a count of rows and of the bytes in texts and arrays;
+    beyond either the join shuffles and AQE splits the skewed partitions."""
+    wide = [
+        F.coalesce(F.octet_length(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 * F.size(f.name), F.lit(0))
+        for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType))
+    ]
+    size = reduce(lambda x, y: x + y, wide, F.lit(0)).cast("long")
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["size"] <= most else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

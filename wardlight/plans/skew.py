@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+MOST_HOT = 100_000  # keys that get salts; beyond, the most frequent ones
 
 
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
@@ -20,37 +21,42 @@ def salted_join(
     right: DataFrame,
     on: list[str],
     how: str = "inner",
-    salts: int = 64,
+    salts: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Join whose hot keys are spread over ``salts`` tasks.
+    """Join whose hot keys are spread over as many tasks as their rows need.
 
     One narrow counting pass finds the keys with more than ``hot_rows`` rows
-    (default ``HOT_ROWS``) on the left; there are at most ``rows / hot_rows`` of them, so their list is
-    small by construction. Without any, this is a plain join. Else the rows of
-    hot keys get a salt hashed from the whole row, and the matching rows on the
-    right are repeated once per salt. ``how`` may be inner, left, left_semi or
-    left_anti.
+    (default ``HOT_ROWS``) on the left, the ``MOST_HOT`` most frequent of them at most;
+    a key left out then has no more than ``rows / MOST_HOT`` rows. Without any, this
+    is a plain join. Else a hot key gets one salt per ``hot_rows`` of its rows (or
+    ``salts``), its rows a salt hashed from the whole row, and the matching rows
+    on the right are repeated once per salt. ``how`` may be inner, left,
+    left_semi or left_anti.
     """
     spark = left.sparkSession
-    found = hot_keys(left, on, HOT_ROWS if hot_rows is None else hot_rows).collect()
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    counted = left.groupBy(*on).count().where(F.col("count") > limit)
+    found = counted.orderBy(F.desc("count"), *on).limit(MOST_HOT).collect()
     if not found:
         return left.join(right, on, how)
-    keys = spark.createDataFrame(found, left.select(*on).schema)
-    hot = F.broadcast(keys.withColumn("_hot", F.lit(True)))
+    keys = spark.createDataFrame(found, counted.schema).select(
+        *on, (F.lit(salts) if salts else F.ceil(F.col("count") / limit)).cast("int").alias("_salts")
+    )
+    hot = F.broadcast(keys)  # at most MOST_HOT rows
     # hashed, not counted: a rerun task must send each row to the same place
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64(*left.columns), n).cast("int")
     # null keys match nothing, so they may go anywhere
     loose = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     salted_left = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | loose, spread).otherwise(0)
+        "_salt",
+        F.when(loose, spread(F.lit(1 << 20))).when(F.col("_salts").isNotNull(), spread(F.col("_salts"))).otherwise(0),
     )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_right = right.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )
     return (
-        salted_left.drop("_hot")
-        .join(salted_right.drop("_hot"), [*on, "_salt"], how)
+        salted_left.drop("_salts")
+        .join(salted_right.drop("_salts"), [*on, "_salt"], how)
         .drop("_salt")
     )

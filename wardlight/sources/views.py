@@ -31,6 +31,8 @@ KINDS = [
     ("Social Engineering", "T1598"),
 ]
 
+SAID_FROM = 1_000_000_000_000  # query ids of conversation turns start here
+
 # (template id, question, SQL or model text, route) of the logged requests
 LOGGED_REQUESTS = [
     (0, "how many incidents", "SELECT COUNT(*) FROM incident;", "consultar"),
@@ -57,6 +59,9 @@ LOGGED_REQUESTS = [
     (10, "oi tudo bem", "no sql", "direto"),
     (11, "open ones", "SELECT 1 FROM vulnerability AS v WHERE v.status = 'fixed'", "consultar"),
     (12, "which", "SELECT 1 FROM incident WHERE status = 'OPEN' AND kind = 'Malwar'", "consultar"),
+    (13, "a file", "SELECT COUNT(*) FROM parquet.`/data/incident`", "consultar"),
+    (14, "a class", "SELECT reflect('java.lang.System', 'exit')", "consultar"),
+    (15, "a script", "SELECT TRANSFORM(kind) USING 'cat' AS kind FROM incident", "consultar"),
 ]
 
 
@@ -270,18 +275,37 @@ class Tables:
 
     @cached_property
     def query_log(self) -> DataFrame:
-        """One logged request per event."""
-        templates = F.broadcast(  # fixed list above
+        """Logged requests: one per event, a fixed form filled with the event's type and
+        user, and one per turn of the conversations, whose text is the question and a
+        literal of the statement."""
+        forms = F.broadcast(  # fixed list above
             self.spark.createDataFrame(
                 LOGGED_REQUESTS, "tid long, question string, sql_text string, route string"
             )
         )
-        return (
+        user = F.col("user_id").cast("string")
+        asked = (
             spread(self.raw("events"), "event_id")
+            .withColumn("tid", F.col("event_id") % len(LOGGED_REQUESTS))
+            .join(forms, "tid")
             .select(
                 F.col("event_id").alias("query_id"),
-                (F.col("event_id") % len(LOGGED_REQUESTS)).alias("tid"),
+                F.concat_ws(" ", "question", "event_type", user).alias("question"),
+                F.when(
+                    F.col("sql_text").contains("WHERE"),
+                    F.concat("sql_text", F.lit(" AND asset_id = "), user),
+                ).otherwise(F.col("sql_text")).alias("sql_text"),
+                "route",
             )
-            .join(templates, "tid")
-            .drop("tid")
         )
+        said = self.raw("conversations").select(
+            (F.lit(SAID_FROM) + F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
+            F.col("text").alias("question"),
+            F.concat(
+                F.lit("SELECT 1 FROM incident i WHERE i.kind = '"),
+                F.replace("text", F.lit("'"), F.lit("")),
+                F.lit("'"),
+            ).alias("sql_text"),
+            F.when(F.col("turn") % 2 == 0, "direto").otherwise("consultar").alias("route"),
+        )
+        return asked.unionByName(said)
