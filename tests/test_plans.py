@@ -146,7 +146,8 @@ PLANNED = [
     "met_10_watch_hits", "met_11_duplicates", "met_13_load_by_environment", "prf_03_key_relations",
     "aud_04_literal_findings", "trc_02_cited", "eve_08_sql_correctness", "mem_08_context_window",
     "ret_03_chunks", "ret_06_bm25_search", "ret_10_hybrid_search", "evr_03_containment_gold",
-    "ml_08_selection_counts", "ml_09_most_recent", "sql_02_same_result",
+    "ml_08_selection_counts", "ml_09_most_recent", "sql_02_same_result", "can_01_canonicalise",
+    "can_02_near_misses", "ml_02_stratified_split", "ml_10_selection_summary",
 ]
 
 
@@ -157,6 +158,15 @@ def test_no_crossing_steps(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_small_sides_are_broadcast(spark, tables):
+    """Neither the label nor the dictionary column is a shuffle key of the rows."""
+    rows_ = fp_model.fp_features(tables.incident, tables.asset)
+    plan = fp_model.stratified_split(rows_, "label", "incident_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [label" not in plan
+    plan = queries()["aud_04_literal_findings"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(table" not in plan.replace("#", "(").replace("((", "(") or "BroadcastHashJoin" in plan
+
+
 def test_pushdown(spark, tables):
     plan = tables.raw("lineitem")
     from wardlight.operators import kpi

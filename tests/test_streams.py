@@ -42,7 +42,7 @@ def test_dedupe_across_batches_and_rerun(spark, tmp_path):
     got = {(r["incident_id"], r["previous_on"]) for r in out.where("duplicate").collect()}
     everything = alerts(spark, [r for b in batches for r in b])
     assert got == {(r["incident_id"], r["previous_on"]) for r in duplicates(everything, 7).collect()}
-    # keys out of reach have left the state
+    # days out of reach have left the state
     state = spark.read.parquet(f"{path}/state/v2")
     assert {r["asset_id"] for r in state.collect()} == {1, 3}
     # a batch run again gives the same rows
@@ -51,6 +51,18 @@ def test_dedupe_across_batches_and_rerun(spark, tmp_path):
     assert sorted(again.collect()) == sorted(first.select(*again.columns).collect())
 
 
+def test_late_alert_finds_its_predecessor(spark, tmp_path):
+    path = str(tmp_path)
+    for rows in ([(1, 1, 0), (2, 2, 1)], [(1, 3, 20)], [(1, 4, 5), (2, 5, 30)]):
+        alerts(spark, rows).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(alerts(spark, rows).schema).parquet(f"{path}/in")
+        finish(dedupe.stream_dedupe(arriving, f"{path}/out", f"{path}/state", f"{path}/mark", 7, late_days=20))
+    out = {r["incident_id"]: r for r in spark.read.parquet(f"{path}/out").collect()}
+    # 4 comes after 3 but belongs before it
+    assert out[4]["duplicate"] and out[4]["previous_on"] == dt.date(2026, 1, 1)
+    assert not out[3]["duplicate"] and not out[5]["duplicate"]
+
+
 def test_empty_batch(spark):
     flagged, newest = dedupe.flag_batch(alerts(spark, []), None, 7, ("asset_id", "kind"))
     assert flagged.count() == 0 and newest.agg(F.max("last_on")).first()[0] is None

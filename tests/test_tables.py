@@ -150,7 +150,9 @@ def test_memory(frame, spark, tmp_path):
     ctx = {r["conv_id"]: r["context"] for r in memory.context_window(msgs).collect()}
     assert ctx[1] == "analista: hello\nassistente: sao 12" and len(ctx[2]) == 310
     assert {r["conv_id"] for r in memory.due_for_facts(msgs).collect()} == {1}
-    memory.write_transcripts(memory.transcripts(msgs), str(tmp_path / "t"))
+    memory.write_transcripts(memory.transcripts(msgs), str(tmp_path / "t"), None)
+    memory.write_transcripts(memory.transcripts(msgs), str(tmp_path / "u"), 3)
+    assert spark.read.text(str(tmp_path / "u")).count() == spark.read.text(str(tmp_path / "t")).count()
     written = spark.read.text(str(tmp_path / "t" / "conv_id=1")).collect()
     assert [r[0] for r in written if r[0]][:3] == ["# Conversa", "**Analista**", "  hello "]
     conv = frame([(1, "t" * 200, dt.datetime(2026, 1, 1))], "conv_id int, title string, updated_at timestamp")

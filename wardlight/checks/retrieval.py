@@ -8,7 +8,8 @@ from wardlight.checks import check
 from wardlight.checks.corpus import _CHUNKS
 from wardlight.functions.vectors import l2
 from wardlight.operators import fusion, lexical, neighbours, relevance
-from wardlight.plans.session import scratch_path
+from wardlight.operators.corpus import chunks
+from wardlight.plans.session import materialise, scratch_path
 from wardlight.plans.sizing import spread
 
 K = 4
@@ -170,6 +171,64 @@ def _(t):
     return index.terms.withColumn("idf", F.round("idf", 9))
 
 
+@check("ret_14_reindex_chunks", f"WITH RECURSIVE {_CHUNKS} SELECT chunk_id, doc_id, source, section, md5(text) AS text_md5 FROM ch")
+def _(t):
+    path = scratch_path(t.spark, "index")
+    fusion.reindex(t.documents, path)
+    saved = t.spark.read.parquet(f"{path}/chunks")
+    return saved.select("chunk_id", "doc_id", "source", "section", F.md5("text").alias("text_md5"))
+
+
+@check("ret_14_reindex_postings", f"""WITH RECURSIVE {_CHUNKS}, {_CHUNK_TERMS}
+SELECT chunk_id, dl AS length, tk AS token, tf FROM tf JOIN dl USING (chunk_id)""")
+def _(t):
+    path = scratch_path(t.spark, "index")
+    fusion.reindex(t.documents, path)
+    return lexical.load_index(t.spark, path).postings
+
+
+# the same searches over the chunks of the documents
+def _over_chunks(sql):
+    for old, new in (
+        ("FROM documents", "FROM ch"), ("JOIN documents", "JOIN ch"), ("'' AS section", "d.section"),
+        ("doc_id", "chunk_id"), ("| Secao: ]'", "| Secao: ' || section || ']'"),
+    ):
+        sql = sql.replace(old, new)
+    return sql
+
+
+_CHUNK_SEARCH, _CHUNK_NEAR, _CHUNK_FUSED = map(_over_chunks, (_SEARCH, _NEAR, _FUSED))
+
+
+def _chunk_hits(t):
+    units = materialise(chunks(t.documents))
+    index = lexical.bm25_index(units)
+    vectors = neighbours.embed(units, neighbours.letter_profile)
+    asked = neighbours.embed(_asked(t), neighbours.letter_profile)
+    return fusion.hybrid_search(asked, vectors, index, K)
+
+
+@check("ret_06_chunk_search", f"""WITH RECURSIVE {_CHUNKS}, {_CHUNK_SEARCH}
+SELECT item_id AS query_id, chunk_id, score, CAST(rk AS INTEGER) AS rank FROM lex""")
+def _(t):
+    return lexical.bm25_search(lexical.bm25_index(chunks(t.documents)), _asked(t), K)
+
+
+@check("ret_10_chunk_hybrid", f"""WITH RECURSIVE {_CHUNKS}, {_CHUNK_SEARCH}, {_CHUNK_NEAR}, {_CHUNK_FUSED}
+SELECT query_id, rank, chunk_id, source, section, md5(text) AS text_md5, distance FROM hits""")
+def _(t):
+    return _chunk_hits(t).select(
+        "query_id", "rank", "chunk_id", "source", "section", F.md5("text").alias("text_md5"), "distance"
+    )
+
+
+@check("ret_13_chunk_evidence", f"""WITH RECURSIVE {_CHUNKS}, {_CHUNK_SEARCH}, {_CHUNK_NEAR}, {_CHUNK_FUSED}
+SELECT query_id, string_agg('[Fonte: ' || source || ' | Secao: ' || section || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS evidence
+FROM hits GROUP BY 1""")
+def _(t):
+    return fusion.evidence(_chunk_hits(t))
+
+
 def _hits_as_docs(hits):
     return hits.select("query_id", F.col("chunk_id").alias("doc"), "rank", "distance")
 

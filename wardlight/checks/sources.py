@@ -18,21 +18,29 @@ def _three(t):
     }
 
 
-@check("src_01_load_tables", over("incident", """
-SELECT incident_id, asset_id, opened_on, kind, severity, technique, status, hours_to_resolve, false_positive FROM incident"""))
-def _(t):
-    path = scratch_path(t.spark, "csv")
-    tables.save_tables(_three(t), path, "csv")
-    return tables.load_tables(t.spark, path, "csv", views=False)["incident"]
+def _columns(name):
+    return ", ".join(c.split()[0] for c in tables.SCHEMAS[name].split(", "))
 
 
-@check("src_02_refresh_tables", over("vulnerability", """
-SELECT vuln_id, asset_id, cve, cvss, detected_on, status, sla_days FROM vulnerability"""))
-def _(t):
-    source, target = scratch_path(t.spark, "csv"), scratch_path(t.spark, "tables")
-    tables.save_tables(_three(t), source, "csv")
-    tables.refresh_tables(t.spark, source, target)
-    return tables.refresh_tables(t.spark, source, target)["vulnerability"]
+def _register(name):
+    """Both ways of loading, compared table by table."""
+
+    @check(f"src_01_load_{name}", over(name, f"SELECT {_columns(name)} FROM {name}"))
+    def _(t):
+        path = scratch_path(t.spark, "csv")
+        tables.save_tables(_three(t), path, "csv")
+        return tables.load_tables(t.spark, path, "csv", views=False)[name]
+
+    @check(f"src_02_refresh_{name}", over(name, f"SELECT {_columns(name)} FROM {name}"))
+    def _(t):
+        source, target = scratch_path(t.spark, "csv"), scratch_path(t.spark, "tables")
+        tables.save_tables(_three(t), source, "csv")
+        tables.refresh_tables(t.spark, source, target)
+        return tables.refresh_tables(t.spark, source, target)[name]
+
+
+for _name in ("asset", "incident", "vulnerability"):
+    _register(_name)
 
 
 @check("src_03_read_corpus", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text || chr(10)) AS text_md5 FROM documents")
@@ -42,7 +50,7 @@ def _(t):
     docs = t.documents.select("doc_id", F.col("text").alias("value"))
     spread(docs, "doc_id").write.partitionBy("doc_id").text(path)
     # Spark names the part files, so the id is read from the folder
-    return files.read_corpus(t.spark, path, "*.txt").select(
+    return files.read_corpus(t.spark, f"{path}/*", "*.txt").select(
         F.regexp_extract("path", r"doc_id=(\d+)/", 1).alias("doc_id"), F.md5("text").alias("text_md5")
     )
 

@@ -20,7 +20,7 @@ from wardlight.functions.text import fold, strip
 from wardlight.operators.relevance import containment_gold
 from wardlight.plans.ordering import top_per_group
 from wardlight.plans.session import materialise
-from wardlight.plans.sizing import small_values
+from wardlight.plans.sizing import broadcast_if_small, small_values
 from wardlight.plans.skew import salted_join
 
 SEED = 42
@@ -336,7 +336,9 @@ def _profile_cells(profile: DataFrame, cells: DataFrame) -> DataFrame:
     ).withColumn(
         "cell", _cell(F.col("pattern"), {f: F.col(f) for f in FILTER_FIELDS}, exposed)
     )
-    return spread.join(cells.select("cell").distinct(), "cell", "left_semi")
+    # asked cells are few; a question without filters asks for one that all incidents hold,
+    # so incidents should not be shuffled by cell
+    return spread.join(broadcast_if_small(cells.select("cell").distinct()), "cell", "left_semi")
 
 
 def selection_counts(filters: DataFrame, profile: DataFrame) -> DataFrame:

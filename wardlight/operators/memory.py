@@ -145,13 +145,17 @@ def transcripts(msgs: DataFrame, heading: str = "# Conversa", assistant: str = "
     return heads.unionByName(spoken)
 
 
-def write_transcripts(blocks: DataFrame, path: str) -> None:
-    """One folder per conversation, its files and lines in block order."""
+def write_transcripts(blocks: DataFrame, path: str, buckets: int | None = 256) -> None:
+    """Files and lines in block order, conversations one after the other, in
+    ``buckets`` folders by hashed conversation; with None one folder each, for small
+    exports only."""
+    by = ["conv_id"] if buckets is None else ["bucket"]
+    placed = blocks if buckets is None else blocks.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets)))
     (
-        blocks.repartitionByRange("conv_id", "block_no")
-        .sortWithinPartitions("conv_id", "block_no")
-        .select("conv_id", "block")
-        .write.mode("overwrite").partitionBy("conv_id").text(path)
+        placed.repartitionByRange(*by, *([] if buckets is None else ["conv_id"]), "block_no")
+        .sortWithinPartitions(*by, "conv_id", "block_no")
+        .select(*by, "block")
+        .write.mode("overwrite").partitionBy(*by).text(path)
     )
 
 

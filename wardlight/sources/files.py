@@ -18,15 +18,14 @@ HISTORY = (
 
 
 def read_corpus(spark: SparkSession, directory: str, pattern: str = "*.md") -> DataFrame:
-    """One row per document file: doc_id (name without suffix), source (file
-    name), path, text. No matching file is an error."""
+    """One row per document file right in the folder, or in the folders a pattern in
+    ``directory`` names: doc_id (name without suffix), source (file name), path, text.
+    No matching file is an error."""
     try:
-        docs = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(
-            directory, wholetext=True
-        )
+        docs = spark.read.option("pathGlobFilter", pattern).text(directory, wholetext=True)
     except AnalysisException as exc:
         raise FileNotFoundError(f"no {pattern} under {directory}") from exc
-    if not docs.inputFiles():
+    if docs.isEmpty():
         raise FileNotFoundError(f"no {pattern} under {directory}")
     name = F.col("_metadata.file_name")
     return docs.select(

@@ -1,7 +1,7 @@
 """Duplicate alerts on a stream.
 
-The exact gap rule needs the last day every key was seen. That small table, one
-row per key, is versioned by micro-batch in the shared folder; a batch joins it
+The exact gap rule needs the days on which every key was seen lately. That table, one
+row per key and day within reach, is versioned by micro-batch in the shared folder; a batch joins it
 after its own alerts are folded to one row per key and day, so no key's alerts
 meet in one task. A batch run again reads the same version and overwrites its
 own output.
@@ -19,8 +19,8 @@ from wardlight.plans.skew import salted_join
 def flag_batch(
     alerts: DataFrame, seen: DataFrame | None, days: int, keys: tuple[str, ...]
 ) -> tuple[DataFrame, DataFrame]:
-    """Alerts with ``previous_on`` and ``duplicate``, and the new last-seen
-    table. ``seen`` is (keys, last_on) from earlier batches."""
+    """Alerts with ``previous_on`` and ``duplicate``, and the days on which each key
+    has been seen. ``seen`` is (keys, last_on), those days from earlier batches."""
     by_day = alerts.groupBy(*keys, "opened_on").agg(F.min("incident_id").alias("_first"))
     if seen is not None:
         past = seen.select(*keys, F.col("last_on").alias("opened_on"))
@@ -46,8 +46,7 @@ def flag_batch(
         )
         .select(*alerts.columns, "previous_on", "duplicate")
     )
-    newest = by_day.groupBy(*keys).agg(F.max("opened_on").alias("last_on"))
-    return flagged, newest
+    return flagged, by_day.select(*keys, F.col("opened_on").alias("last_on"))
 
 
 def stream_dedupe(
@@ -57,13 +56,13 @@ def stream_dedupe(
     checkpoint: str,
     days: int,
     keys: tuple[str, ...] = ("asset_id", "kind"),
-    keep_days: int | None = None,
+    late_days: int = 0,
 ) -> StreamingQuery:
-    """Flag every arriving alert. Batches follow each other in time; inside a
-    batch, alerts are ordered by day and id. Keys not seen for ``keep_days``
-    (default: ``days``) before the newest alert can no longer match and leave
-    the state."""
-    horizon = days if keep_days is None else keep_days
+    """Flag every arriving alert; inside a batch, alerts are ordered by day and id.
+    An alert may arrive up to ``late_days`` after a newer one and still finds its
+    predecessor; alerts flagged before it arrived stay as they were written. Days
+    further back than that can no longer match and leave the state."""
+    horizon = days + late_days
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
