@@ -134,7 +134,7 @@ def test_traces(frame):
     assert traces.roles(events).first()["roles"] == "triador+redator"
     want = frame([(1, ["sql", "rag"]), (2, ["sql"]), (5, [])], "answer_id int, tools array<string>")
     assert {r["answer_id"]: r["routing_ok"] for r in traces.routing_ok(events, want).collect()} == {1: True, 2: False, 5: True}
-    docs = frame([(1, "playbook.md"), (2, "playbook.md")], "answer_id int, doc string")
+    docs = frame([(1, "guide.md"), (2, "guide.md")], "answer_id int, doc string")
     assert {r["answer_id"]: r["cited"] for r in traces.cited(events, docs).collect()} == {1: True, 2: False}
     assert traces.first_sql(events).first()["sql"] == "SELECT 1"
 
