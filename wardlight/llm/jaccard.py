@@ -5,12 +5,15 @@ A document's set is its distinct word shingles. Two documents link when
 links connect, so copies are never expanded into pairs.
 
 1. Documents with equal sets are one class at once and go on as one.
-2. Under a global order of shingles, rare first, two linked sets share a shingle of
-   their prefixes. The order needs frequencies, not exactly: every shingle of every
-   document is counted in a table of fixed size that all tasks share.
-3. Prefix shingles meet in buckets; each task sends one document per shingle, the
-   others are tied to it, so a shingle in a third of all documents is a few rows.
-   The ties' components are *candidate classes*: no link leaves one.
+2. Every shingle's number of documents is counted exactly, up to rare clashes that
+   only raise a count. Texts travel to parts, parts send their shingles to buckets as
+   packed arrays, and buckets return a level for each.
+3. A set of n links only if at least ceil(threshold * n) of its shingles are found
+   elsewhere; other documents are done. Under the order of shingles by level, rare
+   first, two linked sets share a shingle of their prefixes. Prefix shingles meet in
+   buckets; each task sends one document per shingle, the others are tied to it, so a
+   shingle in a third of all documents is a few rows. The ties' components are
+   *candidate classes*: no link leaves one.
 4. Sets of candidate classes travel once, to the class. There each document is
    searched in the inverted lists of its class: T-occurrence search merges the short
    lists with a heap and probes the long ones by binary search. Classes too large for
@@ -28,16 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import (
-    blob, gram_hashes, joined, mix, part_of, parts_for, ranges, runs_of, span_hashes, text_buffer, texts_of,
+    blob, gram_hashes, joined, mix, parts_for, parts_of_ids, ranges, runs_of, span_hashes, text_buffer, texts_of,
     total_bytes, word_spans, written,
 )
 from wardlight.llm.components import components
+from wardlight.plans.sizing import broadcast_if_small
 
 WORDS, PERCENT = 5, 75
-COUNTER_BITS = 22  # counters of the shared frequency table
-COUNTER_PARTS = 16
-BUCKET_BYTES = 16 << 20
+PART_BYTES, BUCKET_BYTES = 12 << 20, 4 << 20
+KEY_BITS = 24  # of a shingle's hash inside its bucket, which holds some hundred thousand
 CLASS_DOCS = 1_024  # documents of a block; classes up to two blocks are one cell
+HEAPED = 2_000  # postings merged by a heap
+TRIED = 24  # documents compared directly before a search
 MU = 0.01  # weight of the long lists' length in DivideSkip's choice of how many to skip
 
 
@@ -71,70 +76,127 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
-def frequencies(texts: DataFrame, words: int, bits: int) -> np.ndarray:
-    """Counters by shingle hash over all documents, on a scale of logarithms. The
-    table has one size whatever the corpus."""
-    size, part = 1 << bits, (1 << bits) // COUNTER_PARTS
+def _parcels(texts: DataFrame, parts: int) -> DataFrame:
+    """``part, ids, off, body``: texts of a batch by part of their ids, compressed."""
 
-    def count(batches):
-        held = np.zeros(size, np.uint32)
+    def pack(batches):
         for batch in batches:
-            values, _ = shingles(*text_buffer(batch.column(1)), words)
-            held += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
-        for p in range(COUNTER_PARTS):
-            mine = held[p * part : (p + 1) * part]
-            if mine.any():
-                small = np.minimum(mine, 255).astype(np.uint8)
-                over = np.flatnonzero(mine >= 255)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            part = parts_of_ids(ids, parts)
+            order = np.argsort(part, kind="stable")
+            first, length = runs_of(part[order])
+            for f, n in zip(first, length):
+                pick = order[f : f + n]
+                data, off = text_buffer(batch.column(1).take(pa.array(pick)))
+                body = pa.compress(data.tobytes(), "zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32()), *(pa.array([blob(v)], pa.binary()) for v in (small, over, mine[over]))],
-                    ["p", "small", "at", "n"],
+                    [pa.array([part[pick[0]]], pa.int32()), *(pa.array([v], pa.binary()) for v in (blob(ids[pick]), blob(off), body))],
+                    ["part", "ids", "off", "body"],
                 )
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(part, np.int64)
-        for small, at, n in zip(*(table.column(c).to_pylist() for c in ("small", "at", "n"))):
-            mine = np.frombuffer(small, np.uint8).astype(np.int64)
-            mine[np.frombuffer(at, np.int64)] = np.frombuffer(n, np.uint32)
-            total += mine
-        level = np.round(8 * np.log2(total + 1)).clip(0, 255).astype(np.uint8)
-        return pa.table({"p": pa.array([table.column("p")[0].as_py()], pa.int32()), "level": [blob(level)]})
+    return texts.mapInArrow(pack, "part int, ids binary, off binary, body binary")
 
-    rows = texts.mapInArrow(count, "p int, small binary, at binary, n binary")
-    levels = np.zeros(size, np.uint8)
-    for row in rows.groupBy("p").applyInArrow(add, "p int, level binary").collect():  # 4 MB at most
-        levels[row.p * part : (row.p + 1) * part] = np.frombuffer(row.level, np.uint8)
-    return levels
 
+def _opened(table: pa.Table):
+    """Ids, text bytes and offsets of each parcel of a part."""
+    for ids, off, body in zip(*(table.column(c).to_pylist() for c in ("ids", "off", "body"))):
+        off = np.frombuffer(off, np.int64)
+        data = pa.decompress(body, int(off[-1]), "zstd", asbytes=True) if off[-1] else b""
+        yield np.frombuffer(ids, np.int64), np.frombuffer(data, np.uint8), off
 
-def _rare_first(values: np.ndarray, doc: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
-    """Order of the shingles inside each document, rare first, ties by hash."""
-    level = levels[(values >> np.uint64(64 - bits)).astype(np.int64)]
-    return np.lexsort((values, level, doc))
 
+def _keys(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and short hash of a shingle in one number."""
+    short = values >> np.uint64(64 - KEY_BITS)
+    return ((values % np.uint64(buckets)) << np.uint64(KEY_BITS)) | short
 
-def described(texts: DataFrame, levels: np.ndarray, words: int, percent: int, bits: int) -> DataFrame:
-    """``doc_id, n_shingles, same, prefix``: set size, digest of the set, prefix shingles."""
-    shared = texts.sparkSession.sparkContext.broadcast(levels)
 
-    def describe(batches):
-        for batch in batches:
-            values, at = shingles(*text_buffer(batch.column(1)), words)
-            n = np.diff(at)
-            doc = np.repeat(np.arange(len(n)), n)
-            order = _rare_first(values, doc, shared.value, bits)
-            keep = n - np.array([least_overlap(int(k), percent) for k in n], np.int64) + (n > 0)
-            same = [blake2b(blob(values[a:b]), digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
-            first = values[order][ranges(at[:-1], keep)]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum(keep))).astype(np.int32)), pa.array(first.view(np.int64))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists],
-                ["doc_id", "n_shingles", "same", "prefix"],
-            )
+def _part_keys(table: pa.Table, words: int, buckets: int):
+    """Sorted distinct keys of a part, each with its number of documents there."""
+    found = [_keys(shingles(data, off, words)[0], buckets) for _, data, off in _opened(table)]
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+
+
+def levels(parcels: DataFrame, words: int, buckets: int) -> DataFrame:
+    """``part, bucket, level``: for the keys of each part, in order, the logarithm of
+    the number of documents, 0 for a shingle of one document."""
+
+    def send(table: pa.Table) -> pa.Table:
+        keys, count = _part_keys(table, words, buckets)
+        bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
+        short = (keys & np.uint64((1 << KEY_BITS) - 1)).astype(np.uint32)
+        first, length = runs_of(bucket)
+        part = table.column("part")[0].as_py()
+        out: dict[str, list] = {"bucket": [], "keys": [], "n": []}
+        for f, n in zip(first, length):
+            mine = short[f : f + n]
+            out["bucket"].append(int(bucket[f]))
+            # bytes of one rank side by side: sorted keys repeat their high bytes
+            out["keys"].append(b"".join(blob((mine >> s).astype(np.uint8)) for s in (16, 8, 0)))
+            out["n"].append(blob(np.minimum(count[f : f + n], 65535).astype(np.uint16)))
+        return pa.table({"part": pa.array([part] * len(first), pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()),
+                         "keys": pa.array(out["keys"], pa.binary()), "n": pa.array(out["n"], pa.binary())})
 
-    return texts.mapInArrow(describe, "doc_id long, n_shingles long, same binary, prefix array<long>")
+    def meet(table: pa.Table) -> pa.Table:
+        planes = [np.frombuffer(k, np.uint8).reshape(3, -1).astype(np.uint32) for k in table.column("keys").to_pylist()]
+        keys = [(p[0] << 16) | (p[1] << 8) | p[2] for p in planes]
+        total = np.zeros(1 << KEY_BITS, np.int32)
+        for k, n in zip(keys, table.column("n").to_pylist()):
+            total[k] += np.frombuffer(n, np.uint16)  # keys of a part are distinct
+        level = np.ceil(8 * np.log2(np.maximum(total, 1))).clip(0, 255).astype(np.uint8)
+        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"),
+                         "level": pa.array([blob(level[k]) for k in keys], pa.binary())})
+
+    sent = parcels.groupBy("part").applyInArrow(send, "part int, bucket int, keys binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "part int, bucket int, level binary")
+
+
+def described(parcels: DataFrame, found: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+    """``doc_id, n_shingles, same, prefix, set``: set size and digest; for documents
+    that may link their shared prefix shingles and, once per set of a part, the set."""
+
+    def describe(table: pa.Table, returned: pa.Table) -> pa.Table:
+        keys, _ = _part_keys(table, words, buckets)
+        level = joined(returned.sort_by("bucket").column("level"), np.uint8)
+        ids_, n_, same_, prefix_, count_, set_ = [], [], [], [], [], []
+        seen: dict[bytes, int] = {}
+        for ids, data, off in _opened(table):
+            values, at = shingles(data, off, words)
+            mine = level[np.searchsorted(keys, _keys(values, buckets))]
+            n = np.diff(at)
+            shared = np.concatenate(([0], np.cumsum(mine > 0)))
+            shared = shared[at[1:]] - shared[at[:-1]]
+            for d in range(len(n)):
+                s, own = values[at[d] : at[d + 1]], mine[at[d] : at[d + 1]]
+                digest = blake2b(blob(s), digest_size=16).digest()
+                need = least_overlap(int(n[d]), percent)
+                kept, held = np.zeros(0, np.uint64), None
+                if n[d] and shared[d] >= need:
+                    order = np.lexsort((s, own))[: n[d] - need + 1]
+                    kept, held = s[order[own[order] > 0]], len(set_)
+                    # of equal sets of a part the smallest id carries the set
+                    if digest in seen and ids_[seen[digest]] <= ids[d]:
+                        held = None
+                    elif digest in seen:
+                        set_[seen[digest]] = None
+                if held is not None:
+                    seen[digest] = held
+                ids_.append(int(ids[d]))
+                n_.append(int(n[d]))
+                same_.append(digest)
+                prefix_.append(kept)
+                count_.append(len(kept))
+                set_.append(blob(s) if held is not None else None)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(count_))).astype(np.int32)),
+            pa.array(np.concatenate(prefix_ or [np.zeros(0, np.uint64)]).view(np.int64)),
+        )
+        return pa.table({"doc_id": pa.array(ids_, pa.int64()), "n_shingles": pa.array(n_, pa.int64()),
+                         "same": pa.array(same_, pa.binary()), "prefix": lists, "set": pa.array(set_, pa.binary())})
+
+    return parcels.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(
+        describe, "doc_id long, n_shingles long, same binary, prefix array<long>, set binary"
+    )
 
 
 def _tie(h: np.ndarray, doc: np.ndarray):
@@ -233,35 +295,38 @@ class Lists:
             return []
         terms = terms[np.argsort(self.length[terms], kind="stable")]
         long_ = min(need - 1, len(terms), int(need / (MU * np.log2(self.longest + 1) + 1)))
-        lists = [self.docs[self.first[t] : self.first[t] + self.length[t]] for t in terms]
-        short, long_lists = lists[: len(lists) - long_], lists[len(lists) - long_ :]
-        found = []
-        merged = heapq.merge(*(x.tolist() for x in short))
-        last, seen = -1, 0
-        for x in merged:
-            if x == last:
-                seen += 1
-                continue
-            if last >= 0 and seen >= need - long_:
-                found.append((last, seen))
-            last, seen = x, 1
-        if last >= 0 and seen >= need - long_:
-            found.append((last, seen))
-        out = []
-        for x, seen in found:
-            if x == d or not wanted[x]:
-                continue
-            left = len(long_lists)
-            for one in long_lists:
-                if seen + left < need:
-                    break
-                spot = int(np.searchsorted(one, x))
-                seen += spot < len(one) and one[spot] == x
-                left -= 1
-            size = int(self.n[d] + self.n[x])
-            if seen >= need and 100 * seen >= self.percent * (size - seen):
-                out.append(x)
-        return out
+        split = len(terms) - long_
+        # documents that are not wanted, such as those of the same class, leave the short lists first
+        size = self.length[terms[:split]]
+        docs = self.docs[ranges(self.first[terms[:split]], size)]
+        keep = wanted[docs]
+        docs, home = docs[keep], np.repeat(np.arange(split), size)[keep]
+        x, seen = self._merged(docs, home)
+        more = (seen >= need - long_) & (x != d)
+        x, seen = x[more], seen[more]
+        for left, t in zip(range(long_, 0, -1), terms[split:]):
+            alive = seen + left >= need
+            x, seen = x[alive], seen[alive]
+            if not len(x):
+                return []
+            one = self.docs[self.first[t] : self.first[t] + self.length[t]]
+            spot = np.minimum(np.searchsorted(one, x), len(one) - 1)
+            seen = seen + (one[spot] == x)
+        both = self.n[d] + self.n[x]
+        return x[(seen >= need) & (100 * seen >= self.percent * (both - seen))].tolist()
+
+    @staticmethod
+    def _merged(docs: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of the short lists and in how many each stands: a heap merges few
+        postings, many are counted in one pass."""
+        if len(docs) > HEAPED:
+            count = np.bincount(docs)
+            found = np.flatnonzero(count)
+            return found, count[found]
+        lists = np.split(docs, np.flatnonzero(home[1:] != home[:-1]) + 1) if len(docs) else []
+        merged = np.fromiter(heapq.merge(*(x.tolist() for x in lists)), np.int64, len(docs))
+        first, length = runs_of(merged)
+        return merged[first], length
 
 
 def classes(values: np.ndarray, at: np.ndarray, percent: int = PERCENT, sides: np.ndarray | None = None) -> np.ndarray:
@@ -269,45 +334,40 @@ def classes(values: np.ndarray, at: np.ndarray, percent: int = PERCENT, sides: n
     (0 or 1) only links between the sides are looked for."""
     n = len(at) - 1
     held = Lists(values, at, percent)
-    root = np.arange(n)
+    label = np.arange(n)
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return int(x)
+    def unite(x: int, y: int) -> None:
+        a, b = sorted((int(label[x]), int(label[y])))
+        if a != b:
+            label[label == b] = a
 
-    heads: list[int] = []  # one document of each class so far
     for d in range(n):
-        # first the heads of the classes: most copies link with one of them
-        for h in heads[:8]:
-            if find(h) != find(d) and held.linked(h, d):
-                a, b = sorted((find(h), find(d)))
-                root[b] = a
-        label = np.array([find(x) for x in range(d)]) if len(heads) > 1 or (heads and find(heads[0]) != find(d)) else None
-        if label is not None and len(label):
-            wanted = np.zeros(n, bool)
-            wanted[:d] = label != find(d)
-            if sides is not None:
-                wanted &= sides != sides[d]
-            if wanted.any():
-                for x in held.search(d, wanted):
-                    a, b = sorted((find(x), find(d)))
-                    root[b] = a
-        heads = [h for h in heads if find(h) == h]
-        if find(d) == d:
-            heads.append(d)
-    return np.array([find(x) for x in range(n)], np.int64)
-
-
-def link_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = COUNTER_BITS) -> DataFrame:
+        # a few documents in front are tried first: a copy mostly links with some of them,
+        # and what its class already holds need not be searched
+        heads = np.unique(label[:d])[:TRIED]
+        for x in [*heads.tolist(), *np.unique(np.linspace(0, d - 1, TRIED, dtype=int)).tolist()] if d else []:
+            if label[x] != label[d] and held.linked(x, d):
+                unite(x, d)
+        wanted = np.zeros(n, bool)
+        wanted[:d] = label[:d] != label[d]
+        if sides is not None:
+            wanted &= sides != sides[d]
+        if wanted.any():
+            for x in held.search(d, wanted):
+                unite(x, d)
+    return label
+
+
+def link_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``: the smallest id
     reachable by links. Null and empty texts link with nothing; a row without an id
     has no component; rows of one id are one document in the links."""
     texts = texts_of(docs)
     size = total_bytes(texts)
-    known = written(described(texts, frequencies(texts, words, bits), words, percent, bits), "jaccard-sets")
-    usable = known.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    buckets = parts_for(size, BUCKET_BYTES)
+    parcels = _parcels(texts.where("doc_id IS NOT NULL"), parts_for(size, PART_BYTES))
+    known = written(described(parcels, levels(parcels, words, buckets), words, percent, buckets), "jaccard-sets")
+    usable = known.where("n_shingles > 0")
     # equal sets: the smallest id stands for all; counted before, so copies are one row per task
     same = written(usable.groupBy("same").agg(F.min("doc_id").alias("rep")), "jaccard-same")
     tied = components(ties(usable.select("doc_id", "prefix"), parts_for(size, BUCKET_BYTES)))
@@ -315,15 +375,27 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bi
     candidates = written(
         tied.join(same.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "jaccard-candidates"
     )
-    links = _links(texts, candidates, size, words, percent)
+    links = _links(known.where("set IS NOT NULL").select("doc_id", "set"), candidates, size, percent)
     linked = components(links.unionByName(_repeated_ids(usable, same)))
-    found = known.join(same.select("same", "rep"), "same", "left")
-    found = found.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return found.select(
+    found = known.select("doc_id", "n_shingles", "same").join(same.select("same", "rep"), "same", "left")
+    found = found.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id"))
-        .alias("component_id"),
+        F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id").alias("component_id"),
     )
+    return found.unionByName(_without_id(texts, words))
+
+
+def _without_id(texts: DataFrame, words: int) -> DataFrame:
+    def count(batches):
+        for batch in batches:
+            _, at = shingles(*text_buffer(batch.column(1)), words)
+            n = len(at) - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.nulls(n, pa.int64())],
+                ["doc_id", "n_shingles", "component_id"],
+            )
+
+    return texts.where("doc_id IS NULL").mapInArrow(count, "doc_id long, n_shingles long, component_id long")
 
 
 def _repeated_ids(usable: DataFrame, same: DataFrame) -> DataFrame:
@@ -334,7 +406,7 @@ def _repeated_ids(usable: DataFrame, same: DataFrame) -> DataFrame:
     return rows.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
 
-def _links(texts: DataFrame, candidates: DataFrame, size: int, words: int, percent: int) -> DataFrame:
+def _links(sets: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: links that connect what links connect, from the cells of the classes."""
     members = candidates.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     spot = candidates.join(members, "component").select(
@@ -347,22 +419,8 @@ def _links(texts: DataFrame, candidates: DataFrame, size: int, words: int, perce
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
     ))
-    buckets = parts_for(size, BUCKET_BYTES // 2)
-
-    def sets(batches):
-        for batch in batches:
-            values, at = shingles(*text_buffer(batch.column(batch.schema.get_field_index("text"))), words)
-            data, n = values.tobytes(), len(at) - 1
-            kept = pa.array([data[8 * at[i] : 8 * at[i + 1]] for i in range(n)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "component", "block", "blocks", "cells")),
-                 kept], ["doc_id", "component", "block", "blocks", "cells", "set"],
-            )
-
-    cell_type = "array<struct<i:int,j:int>>"
-    rows = texts.join(spot.withColumn("cells", cells), "doc_id").select(
-        "doc_id", "component", "block", "blocks", "cells", "text"
-    ).mapInArrow(sets, f"doc_id long, component long, block int, blocks int, cells {cell_type}, set binary")
+    buckets = parts_for(size, BUCKET_BYTES)
+    rows = sets.join(broadcast_if_small(written(spot.withColumn("cells", cells), "jaccard-cells")), "doc_id")
     placed = rows.select("doc_id", "component", "block", "blocks", F.explode("cells").alias("c"), "set").select(
         "doc_id", "component", "block", "blocks", "c.i", "c.j", "set"
     ).withColumn("bucket", F.pmod(F.xxhash64("component", "i", "j"), F.lit(buckets)).cast("int"))
