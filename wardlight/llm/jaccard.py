@@ -38,7 +38,8 @@ from wardlight.llm.components import components
 from wardlight.plans.sizing import broadcast_if_small
 
 WORDS, PERCENT = 5, 75
-PART_BYTES, BUCKET_BYTES = 12 << 20, 4 << 20
+PART_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+POSTINGS = 2_000_000  # prefix shingles of a bucket; a document is tied once in each bucket
 KEY_BITS = 24  # of a shingle's hash inside its bucket, which holds some hundred thousand
 CLASS_DOCS = 1_024  # documents of a block; classes up to two blocks are one cell
 HEAPED = 2_000  # postings merged by a heap
@@ -143,9 +144,12 @@ def levels(parcels: DataFrame, words: int, buckets: int) -> DataFrame:
         total = np.zeros(1 << KEY_BITS, np.int32)
         for k, n in zip(keys, table.column("n").to_pylist()):
             total[k] += np.frombuffer(n, np.uint16)  # keys of a part are distinct
-        level = np.ceil(8 * np.log2(np.maximum(total, 1))).clip(0, 255).astype(np.uint8)
+
+        def level(k: np.ndarray) -> np.ndarray:
+            return np.ceil(8 * np.log2(np.maximum(total[k], 1))).clip(0, 255).astype(np.uint8)
+
         return pa.table({"part": table.column("part"), "bucket": table.column("bucket"),
-                         "level": pa.array([blob(level[k]) for k in keys], pa.binary())})
+                         "level": pa.array([blob(level(k)) for k in keys], pa.binary())})
 
     sent = parcels.groupBy("part").applyInArrow(send, "part int, bucket int, keys binary, n binary")
     return sent.groupBy("bucket").applyInArrow(meet, "part int, bucket int, level binary")
@@ -210,6 +214,23 @@ def _tie(h: np.ndarray, doc: np.ndarray):
     return h[first], doc[first], ties
 
 
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """The same components with one pair for each document but the smallest of each."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            return np.stack([nodes[moved], nodes[label[moved]]], axis=1)
+        label = new
+
+
 def ties(prefixes: DataFrame, buckets: int) -> DataFrame:
     """``a, b``: documents tied by a prefix shingle, as stars around the smallest."""
 
@@ -224,6 +245,7 @@ def ties(prefixes: DataFrame, buckets: int) -> DataFrame:
             for f, n in zip(first, length):
                 pick = order[f : f + n]
                 yield int(bucket[pick[0]]), blob(low_h[pick]), blob(low_d[pick]), None
+            pairs = _forest(pairs)
             for b in range(0, len(pairs), 100_000):
                 yield int(b // 100_000 % buckets), None, None, blob(pairs[b : b + 100_000])
 
@@ -250,7 +272,7 @@ def ties(prefixes: DataFrame, buckets: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         _, _, found = _tie(joined(table.column("h"), np.uint32), joined(table.column("doc"), np.int64))
         known = joined(table.column("pairs"), np.int64).reshape(-1, 2)
-        pairs = np.unique(np.concatenate((found, known)), axis=0)
+        pairs = _forest(np.concatenate((found, known)))
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     sent = prefixes.mapInArrow(send, "bucket int, h binary, doc binary, pairs binary")
@@ -370,7 +392,8 @@ def link_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     usable = known.where("n_shingles > 0")
     # equal sets: the smallest id stands for all; counted before, so copies are one row per task
     same = written(usable.groupBy("same").agg(F.min("doc_id").alias("rep")), "jaccard-same")
-    tied = components(ties(usable.select("doc_id", "prefix"), parts_for(size, BUCKET_BYTES)))
+    postings = usable.agg(F.sum(F.size("prefix").cast("long"))).first()[0] or 0
+    tied = components(ties(usable.select("doc_id", "prefix"), parts_for(postings, POSTINGS)))
     # only the one that stands for equal sets goes on
     candidates = written(
         tied.join(same.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "jaccard-candidates"
