@@ -317,3 +317,13 @@ def test_statistics_do_not_cross_texts():
     found = quality.measures(data, off)
     alone = [quality.measures(*buffer([t]))[0] for t in ("a a", "", "a b", "B!! |")]
     assert np.allclose(found, np.stack(alone)) and not found[1].any()
+
+
+def test_windows_hold_every_subword_once():
+    subs = np.arange(1, 200, dtype=np.int32)
+    at = np.array([0, 1, 33, 65, 66, 199])
+    found = language.cut_windows(subs, at, 999)
+    assert found.shape[1] == language.WINDOW + 1
+    assert found[:, 1:][found[:, 1:] >= 0].tolist() == subs.tolist()
+    assert (found[:, 0] == 999).sum() == 5 and found[-1, 0] == subs[at[-2] + 4 * language.WINDOW - 1]
+    assert not len(language.cut_windows(subs[:0], np.zeros(1, np.int64), 999))

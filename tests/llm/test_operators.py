@@ -258,3 +258,18 @@ def test_same_as_sql(llm):
     for name, sql in queries.SQL.items():
         found, n, _ = compare(queries.QUERIES[name](llm, SMALL), con, sql)
         assert not found and n
+
+
+def test_language_trains_on_whole_texts(llm):
+    """What stands anywhere in a long training document is counted, once."""
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(900)) + " zebra") for i in range(20)] + [(None, "zebra " * 50)]
+    df = llm.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    encode = language.subwords()
+    path = language.vocabulary_path()
+    texts = [t for k, t in docs if not language.held_out(k)]
+    expected = np.bincount(np.concatenate([np.concatenate(encode.many(t.split())) for t in texts]), minlength=encode.size + 2)
+    expected[encode.size] += len(texts)
+    expected[encode.size + 1] += len(texts)
+    model = language.train(df, path, rounds=1)
+    for found, table in zip((model.row, model.klass, model.inside), language.tables(expected.astype(float))):
+        assert np.allclose(found, table)
