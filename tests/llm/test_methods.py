@@ -327,3 +327,34 @@ def test_windows_hold_every_subword_once():
     assert found[:, 1:][found[:, 1:] >= 0].tolist() == subs.tolist()
     assert (found[:, 0] == 999).sum() == 5 and found[-1, 0] == subs[at[-2] + 4 * language.WINDOW - 1]
     assert not len(language.cut_windows(subs[:0], np.zeros(1, np.int64), 999))
+
+
+def test_leaks_of_passages_at_every_offset():
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    item = say(80)[:390].strip()
+    held = decontaminate.Segments.of([(7, item)])
+    n, more = decontaminate.SEGMENT, decontaminate.STRIDE - 1
+    exact = [item[a : a + n] for a in range(len(item) - n + 1)]
+    edited = []
+    for a in range(len(item) - n - more + 1):
+        body = list(item[a : a + n + more])
+        for at in rng.choice(len(body), decontaminate.budget(n), replace=False):  # changed, doubled or lost
+            body[at] = ["z", body[at] + "z", ""][int(rng.integers(0, 3))]
+        edited.append("".join(body))
+        assert brute.fewest_edits(edited[-1].encode(), item.encode()) <= decontaminate.budget(n)
+    for passages in (exact, edited):
+        data, off = buffer([f"{say(12)} {p.strip()} {say(12)}" for p in passages])
+        row, found, start, end, _ = decontaminate.leaks(held, data, off)
+        assert row.tolist() == list(range(len(passages))) and set(found.tolist()) == {7}
+        assert (end - start >= n - 2 * decontaminate.budget(n)).all()
+    assert not len(decontaminate.leaks(held, *buffer([say(200)]))[0])
+
+
+def test_short_items_are_matched_whole():
+    held = decontaminate.Segments.of([(1, "Too short, really"), (2, "Éa"), (3, " -- "), (4, "to be or not to be that is it")])
+    texts = ["so: too short (REALLY)", "too short reallyx", "éa", "atoo short really", "x éA.", "To be, or not to be: that is it", "to be or not to be"]
+    row, item, start, end, edits = decontaminate.leaks(held, *buffer(texts))
+    assert list(zip(row.tolist(), item.tolist())) == [(0, 1), (2, 2), (4, 2), (5, 4)] and not edits.any()
+    assert texts[0].encode()[start[0] : end[0]] == b"too short (REALLY"

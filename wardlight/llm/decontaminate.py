@@ -2,11 +2,13 @@
 
 Items and texts are compared in a plain form: lower case, runs of ASCII white space
 and punctuation as one space. An item is looked for in segments of ``SEGMENT`` bytes
-that overlap by half, so a passage of it is found too. A segment of length L that lies
+that start every ``STRIDE`` bytes, so a passage of ``SEGMENT + STRIDE - 1`` bytes holds a
+whole one wherever it starts. A segment of length L that lies
 in a text with at most e edits shares at least L + 1 - q * (e + 1) q-grams with it,
 all in a band of e + 1 diagonals. Texts are looked up q-gram by q-gram in the items'
 q-grams; stretches with enough hits are counted per segment in diagonal bands that
 overlap by half; bands that reach the bound are aligned, and leaks need e edits or less.
+Items too short for that are looked for as they are, as whole words.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from wardlight.llm.common import LOWER, part_of, parts_for, ranges, slices, text
 
 Q = 8
 SEGMENT, BUDGET = 120, 0.075
-SHORTEST = 40  # bytes in plain form; shorter items say nothing about a leak
+STRIDE = 9  # no more than a segment's edits, so an exact passage of SEGMENT bytes is found too
+SHORTEST = 40  # bytes in plain form; shorter items are matched whole and without edits
 SHARD_BYTES = 4 << 20  # item text held by a task at a time
 ALIGNED = 4096  # alignments done at once
 _BITS = 22
+_AHEAD = 1 << 32  # added to diagonals, which are never negative then
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = LOWER.copy()
 _PLAIN[[b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]] = 32
@@ -69,39 +73,60 @@ class Segments:
     """Segments of a shard of items and the index of their q-grams."""
 
     item: np.ndarray
-    text: np.ndarray  # one row a segment, zeros after its end
     length: np.ndarray
+    body: np.ndarray  # plain bytes of all items, SEGMENT zeros at the end
+    start: np.ndarray  # of each segment in ``body``
+    own: np.ndarray  # first segment of each item
+    at: np.ndarray  # where each item's bytes start
     keys: np.ndarray  # distinct q-grams, sorted
     first: np.ndarray  # entries of each q-gram
-    entry: np.ndarray  # segment << 16 | place
+    entry: np.ndarray  # item's number << 32 | place in the item
     seen: np.ndarray  # table by hashed q-gram
+    short: dict[int, tuple[np.ndarray, list[list[tuple[int, bytes]]]]]  # by bytes of the key: keys, short items
+
+    @property
+    def text(self) -> np.ndarray:
+        """One row a segment, zeros after its end."""
+        places = np.arange(SEGMENT)
+        return np.where(places < self.length[:, None], self.body[self.start[:, None] + places], 0).astype(np.uint8)
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Segments:
-        owner, pieces = [], []
+        bodies, owner, length, start, own, at = [], [], [], [], [], []
+        short: dict[int, dict[int, list[tuple[int, bytes]]]] = {}
+        total = 0
         for item, text in items:
             data, off = text_buffer(pa.array([text], pa.string()))
             body = plain(data, off)[0]
             while len(body) and body[-1] == 32:
                 body = body[:-1]
             if len(body) < SHORTEST:
+                if len(body):
+                    key = body.tobytes()[:Q]
+                    short.setdefault(len(key), {}).setdefault(int.from_bytes(key, "little"), []).append((item, body.tobytes()))
                 continue
             last = max(0, len(body) - SEGMENT)
-            for a in sorted({*range(0, last, SEGMENT // 2), last}):
+            own.append(len(start))
+            at.append(total)
+            for a in sorted({*range(0, last, STRIDE), last}):
                 owner.append(item)
-                pieces.append(body[a : a + SEGMENT])
-        rows = np.zeros((len(pieces), SEGMENT), np.uint8)
-        for i, p in enumerate(pieces):
-            rows[i, : len(p)] = p
-        found = [grams(p) for p in pieces]
+                start.append(total + a)
+                length.append(min(len(body), SEGMENT))
+            bodies.append(body)
+            total += len(body)
+        found = [grams(b) for b in bodies]
         gram = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        entry = np.concatenate([(i << 16) + np.arange(len(g)) for i, g in enumerate(found)]) if found else np.zeros(0, np.int64)
+        entry = np.concatenate([(i << 32) + np.arange(len(g)) for i, g in enumerate(found)]) if found else np.zeros(0, np.int64)
         order = np.argsort(gram, kind="stable")
         keys, first = np.unique(gram[order], return_index=True)
         seen = np.zeros(1 << _BITS, bool)
         seen[_slot(keys)] = True
-        return cls(np.array(owner, np.int64), rows, np.array([len(p) for p in pieces], np.int64), keys,
-                   np.append(first, len(gram)), entry[order], seen)
+        whole = lambda x: np.array(x, np.int64)
+        return cls(
+            whole(owner), whole(length), np.concatenate([*bodies, np.zeros(SEGMENT, np.uint8)]), whole(start),
+            np.append(whole(own), len(start)), whole(at), keys, np.append(first, len(gram)), entry[order], seen,
+            {n: (np.array(sorted(x), np.uint64), [x[k] for k in sorted(x)]) for n, x in short.items()},
+        )
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
@@ -133,38 +158,64 @@ def candidates(segments: Segments, text: np.ndarray, off: np.ndarray):
     key = np.minimum(np.searchsorted(segments.keys, gram[at]), len(segments.keys) - 1)
     real = segments.keys[key] == gram[at]
     at, key = at[real], key[real]
+    if not len(at):
+        return none
     count = segments.first[key + 1] - segments.first[key]
     entry = segments.entry[ranges(segments.first[key], count)]
-    segment, place = entry >> 16, entry & 0xFFFF
+    item, place = entry >> 32, entry & 0xFFFFFFFF
     at = np.repeat(at, count)
     row = np.searchsorted(off, at, "right") - 1
     inside = at + Q <= off[row + 1]  # a q-gram over two texts is none
-    segment, place, at, row = segment[inside], place[inside], at[inside], row[inside]
-    step = (BUDGET * segments.length[segment]).astype(np.int64) + 1
-    diagonal = at - place + (1 << 20)  # never negative
-    out = []
+    item, place, at, row = item[inside], place[inside], at[inside], row[inside]
+    length = segments.length[segments.own[:-1]]  # segments of an item have one length
+    step = (BUDGET * length).astype(np.int64) + 1
+    least = length + 1 - Q * step
+    diagonal = at - place + _AHEAD
+    out: list = []
     for turn in (0, 1):  # bands of two steps, one step apart
-        band = diagonal // step - turn
-        code = np.stack([row, segment, band])
-        order = np.lexsort(code[::-1])
-        code = code[:, order]
+        band = (diagonal // step[item] - turn) // 2
+        order = np.lexsort((place, band, item, row))
+        code = np.stack([row, item, band])[:, order]
         new = np.ones(code.shape[1], bool)
         new[1:] = (code[:, 1:] != code[:, :-1]).any(axis=0)
         first = np.flatnonzero(new)
-        out.append((code[:, first], np.diff(np.append(first, code.shape[1]))))
-    code = np.concatenate([c for c, _ in out], axis=1)
-    count = np.concatenate([n for _, n in out])
-    order = np.lexsort(code[::-1])
-    code, count = code[:, order], count[order]
-    new = np.ones(code.shape[1], bool)
-    new[1:] = (code[:, 1:] != code[:, :-1]).any(axis=0)
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(count, first) if len(first) else count
-    row, segment, band = code[:, first]
-    length = segments.length[segment]
-    step = (BUDGET * length).astype(np.int64) + 1
-    good = total >= length + 1 - Q * step
-    return segment[good], (band * step - (1 << 20))[good], row[good]
+        size = np.diff(np.append(first, code.shape[1]))
+        full = np.flatnonzero(size >= least[code[1, first]])  # else none of the item's segments is
+        first, size = first[full], size[full]
+        group = np.repeat(np.arange(len(first)), size)
+        spot = (group << 32) + place[order][ranges(first, size)]  # hits by band and place in the item
+        r, i, b = code[:, first]
+        each = segments.own[i + 1] - segments.own[i]
+        segment, group = ranges(segments.own[i], each), np.repeat(np.arange(len(first)), each)
+        i = i[group]
+        start = segments.start[segment] - segments.at[i]
+        low = (group << 32) + start
+        total = np.searchsorted(spot, low + length[i] - Q + 1) - np.searchsorted(spot, low)
+        good = total >= least[i]
+        segment, group, i, start = segment[good], group[good], i[good], start[good]
+        out.append((segment, (2 * b[group] + turn) * step[i] - _AHEAD + start, r[group]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def whole_items(segments: Segments, text: np.ndarray, off: np.ndarray):
+    """``row, item, start, end`` of the short items that texts hold as whole words."""
+    raw, out = text.tobytes(), []
+    wide = grams(np.append(text, np.zeros(Q, np.uint8)))[: len(text)]
+    opens = np.ones(len(text), bool)
+    opens[1:] = text[:-1] == 32
+    opens[off[:-1][off[:-1] < len(text)]] = True
+    opens = np.flatnonzero(opens)
+    for n, (keys, items) in segments.short.items():
+        gram = wide[opens] & np.uint64((1 << 8 * n) - 1)
+        key = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        hit = np.flatnonzero(keys[key] == gram)
+        rows = np.searchsorted(off, opens[hit], "right") - 1
+        for a, k, row in zip(opens[hit].tolist(), key[hit].tolist(), rows.tolist()):
+            for item, body in items[k]:
+                b = a + len(body)
+                if b <= off[row + 1] and raw.startswith(body, a) and (b == off[row + 1] or raw[b] == 32):
+                    out.append((row, item, a, b))
+    return np.array(out, np.int64).reshape(-1, 4).T
 
 
 def align(segments: Segments, text: np.ndarray, off, segment, diagonal, row):
@@ -183,7 +234,7 @@ def align(segments: Segments, text: np.ndarray, off, segment, diagonal, row):
             spot = origin[:, None] + j + k
             inside = (spot >= low) & (spot < high)
             there = np.where(inside, text[np.clip(spot, 0, len(text) - 1)], 0)
-            new = cost + (there != segments.text[s, j][:, None])
+            new = cost + (there != segments.body[segments.start[s] + j][:, None])
             new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
             new = np.minimum.accumulate(new - k, axis=1) + k
             cost = np.where((j < length)[:, None], new, cost)
@@ -197,18 +248,19 @@ def leaks(segments: Segments, data: np.ndarray, off: np.ndarray):
     """``row, item, start, end, edits`` of the leaks in a run of texts, one for each
     text and item; start and end are bytes of the text, around all its matches."""
     text, at, came = plain(data, off)
-    segment, diagonal, row = candidates(segments, text, at)
-    none = (np.zeros(0, np.int64),) * 5
-    if not len(segment):
-        return none
-    edits, ends = align(segments, text, at, segment, diagonal, row)
-    length = segments.length[segment]
-    good = edits <= (BUDGET * length).astype(np.int64)
-    if not good.any():
-        return none
-    segment, row, edits, ends, length = (x[good] for x in (segment, row, edits, ends, length))
-    starts = np.maximum(ends - length, at[row])
-    item = segments.item[segment]
+    row, item, starts, ends = whole_items(segments, text, at)
+    edits = np.zeros(len(row), np.int64)
+    segment, diagonal, there = candidates(segments, text, at)
+    if len(segment):
+        cost, last = align(segments, text, at, segment, diagonal, there)
+        length = segments.length[segment]
+        good = cost <= (BUDGET * length).astype(np.int64)
+        segment, there, cost, last, length = (x[good] for x in (segment, there, cost, last, length))
+        row, item = np.append(row, there), np.append(item, segments.item[segment])
+        starts, ends = np.append(starts, np.maximum(last - length, at[there])), np.append(ends, last)
+        edits = np.append(edits, cost)
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 5
     order = np.lexsort((item, row))
     code = np.stack([row, item])[:, order]
     new = np.ones(len(order), bool)
