@@ -358,3 +358,13 @@ def test_short_items_are_matched_whole():
     row, item, start, end, edits = decontaminate.leaks(held, *buffer(texts))
     assert list(zip(row.tolist(), item.tolist())) == [(0, 1), (2, 2), (4, 2), (5, 4)] and not edits.any()
     assert texts[0].encode()[start[0] : end[0]] == b"too short (REALLY"
+
+
+def test_markers_in_texts_are_the_librarys_tokens():
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(vocabulary_path())
+    texts = ["end <|endoftext|> next", "<|startoftext|>", "a<|EndOfText|>b", "<|endoftext|", "é<|endoftext|>日", "plain text, 12", ""]
+    for found, text in zip(subwords().many(texts, added=True), texts):
+        assert found.tolist() == untouched.encode(text, add_special_tokens=False).ids, text
+    assert subwords().many(texts[:1], added=True)[0].tolist() == [806, 49407, 1131]

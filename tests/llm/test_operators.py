@@ -273,3 +273,13 @@ def test_language_trains_on_whole_texts(llm):
     model = language.train(df, path, rounds=1)
     for found, table in zip((model.row, model.klass, model.inside), language.tables(expected.astype(float))):
         assert np.allclose(found, table)
+
+
+def test_packing_keeps_markers(llm):
+    from tokenizers import Tokenizer
+
+    text = "one <|endoftext|> two <|startoftext|>"
+    ids = np.array(Tokenizer.from_file(packing.vocabulary_path()).encode(text, add_special_tokens=False).ids + [1], "<u4")
+    got = packing.packed(llm.createDataFrame([(5, text)], "doc_id long, text string")).collect()
+    assert {r.doc_tokens for r in got} == {len(ids)}
+    assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got)

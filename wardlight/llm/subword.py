@@ -5,7 +5,8 @@ here. A text is split into the pieces that library's rules give, and each
 distinct piece is merged once per Python worker by ``tiktoken``'s byte-pair
 merger, which takes the same merges as ranks; the end-of-word mark is the byte
 0xFF, which UTF-8 never holds. Texts outside ASCII and Latin-1 letters go to
-``tokenizers`` itself, since its Unicode rules apply there.
+``tokenizers`` itself, since its Unicode rules apply there; so do, if asked for,
+texts that hold the content of an added token.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ class Subwords:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        added = self.exact.get_added_tokens_decoder()
+        # the library may look for them in lower-cased text
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)", re.I)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = _byte_letters()
@@ -65,7 +68,7 @@ class Subwords:
             if not token.startswith("<|") and raw(token) in ranks:
                 self.number[ranks[raw(token)]] = number
         self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.size = max(model["vocab"].values()) + 3
+        self.size = max([*model["vocab"].values(), *added]) + 3
         self.clear()
 
     def clear(self) -> None:
@@ -85,13 +88,15 @@ class Subwords:
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(lengths))
         self.flat = np.append(self.flat, flat)
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def many(self, texts: list[str], added: bool = False) -> list[np.ndarray]:
+        """Ids of each text. With ``added``, an added token's content in a text is that
+        token, as the library has it by default; without, it is spelled like other text."""
         from wardlight.llm.common import ranges
 
         cut, whole = [], {}
+        self.exact.encode_special_tokens = not added
         for i, text in enumerate(texts):
-            if PLAIN.search(text):
+            if PLAIN.search(text) or (added and self.added.search(text)):
                 whole[i] = np.array(self.exact.encode(text, add_special_tokens=False).ids, np.int32)
                 cut.append([])
             else:
