@@ -283,3 +283,27 @@ def test_packing_keeps_markers(llm):
     got = packing.packed(llm.createDataFrame([(5, text)], "doc_id long, text string")).collect()
     assert {r.doc_tokens for r in got} == {len(ids)}
     assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got)
+
+
+@pytest.mark.parametrize("name", ["language", "packing", "lines", "repeats"])
+def test_rows_without_id_or_of_one_id_spread(llm, name):
+    """No Python task of a group sees all rows without an id, nor, where rows are
+    treated separately, all rows of one id."""
+    from wardlight.llm import common
+
+    docs = [(None if i % 2 else 5, f"text {i} " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(200)]
+    df = llm.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    if name in ("language", "packing"):
+        n = df.groupBy("doc_id", common.part_of_row(8).alias("p")).count().groupBy("doc_id").count().collect()
+        assert [r["count"] for r in n] == [8, 8]
+    made = {
+        "language": lambda: language.scored(df), "packing": lambda: packing.packed(df),
+        "lines": lambda: lines.LineIndex.build(df).clean(df, counts=True),
+        "repeats": lambda: suffix_array.remove_repeats(df),
+    }[name]()
+    assert made.select("doc_id").where("doc_id IS NULL").count() >= 100
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    if name in ("lines", "repeats"):  # by a map, outside the groups
+        assert "MapInArrow uncut" in plan or "MapInArrow untouched" in plan
+    else:
+        assert "xxhash64(doc_id" in plan and "text" in plan.split("xxhash64(doc_id")[1].split("42")[0]

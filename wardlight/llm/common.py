@@ -74,6 +74,12 @@ def part_of(column: str, parts: int):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(parts)).cast("int")
 
 
+def part_of_row(parts: int):
+    """Part of a row by its id and text, for operators that treat rows separately:
+    neither rows without an id nor rows of one id meet in a part."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+
+
 def parts_of_ids(ids: np.ndarray, parts: int) -> np.ndarray:
     """``part_of`` of long values, for rows that are dealt out inside a task: the
     public 64-bit xxHash of eight bytes, with Spark's seed 42."""

@@ -253,7 +253,14 @@ class LineIndex:
                 table = table.append_column("n_dropped", pa.array(n_dropped, pa.int64()))
             return table
 
-        return rows.groupBy("__part").cogroup(gone.groupBy("__part")).applyInArrow(cut, schema)
+        def uncut(batches):
+            none = pa.table({"doc_id": pa.array([], pa.int64()), "key": pa.array([], pa.binary())})
+            for batch in batches:
+                yield from cut(pa.Table.from_batches([batch]), none).to_batches()
+
+        # rows without an id lose no lines; they stay out of the groups, where all would meet in one
+        named = rows.where("doc_id IS NOT NULL").groupBy("__part").cogroup(gone.groupBy("__part"))
+        return named.applyInArrow(cut, schema).unionByName(docs.where("doc_id IS NULL").mapInArrow(uncut, schema))
 
 
 def _blocked(refs: DataFrame, min_docs: int) -> DataFrame:

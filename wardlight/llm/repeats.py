@@ -416,7 +416,12 @@ def with_removals(docs: DataFrame, shape: Shape, find, keep_first: bool, apply,
         columns = list(zip(*rows)) if rows else [()] * len(names)
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types)})
 
-    return (
-        texts.withColumn("__part", part_of("doc_id", parts)).groupBy("__part")
-        .cogroup(gone.groupBy("part")).applyInArrow(run, f"doc_id long, {schema}")
-    )
+    def untouched(batches):
+        empty = pa.table({c: pa.array([], pa.binary()) for c in ("doc", "lo", "hi")})
+        for batch in batches:
+            yield from run(pa.Table.from_batches([batch]), empty).to_batches()
+
+    # rows without an id lose nothing; they stay out of the groups, where all would meet in one
+    named = texts.where("doc_id IS NOT NULL").withColumn("__part", part_of("doc_id", parts)).groupBy("__part")
+    alone = texts.where("doc_id IS NULL").mapInArrow(untouched, f"doc_id long, {schema}")
+    return named.cogroup(gone.groupBy("part")).applyInArrow(run, f"doc_id long, {schema}").unionByName(alone)
