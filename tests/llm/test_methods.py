@@ -368,3 +368,10 @@ def test_markers_in_texts_are_the_librarys_tokens():
     for found, text in zip(subwords().many(texts, added=True), texts):
         assert found.tolist() == untouched.encode(text, add_special_tokens=False).ids, text
     assert subwords().many(texts[:1], added=True)[0].tolist() == [806, 49407, 1131]
+
+
+def test_long_secrets():
+    for key in ("24be64439e3e49cf" * 8, "aB3/" * 500):
+        text = f"secret={key} end"
+        assert pii.more_spans(text, pii.base_spans(text)) == [("secret", 7, 7 + len(key))]
+    assert pii.more_spans("x1-" * 50_000, []) == []  # no context; a long run is passed over once
