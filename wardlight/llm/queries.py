@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import decontaminate, jaccard, language, lines, nearest, packing, pii, quality, suffix_array, suffix_trees
+from wardlight.llm import (
+    alignment, decontaminate, jaccard, language, lines, nearest, packing, periodic, pii, quality, simhash, suffix_array, suffix_trees,
+)
 from wardlight.llm.common import prepared, read, texts_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +101,24 @@ def op9(table):
     docs = texts_of(table("documents"))
     cleaned = lines.LineIndex.build(docs).clean(docs, counts=True)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_periodic_runs")
+def op11(table):
+    found = periodic.find_runs(table("documents"), periodic.planted_order)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_tokenizer_alignment")
+def op12(table):
+    found = alignment.align(table("documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query("op13_simhash_classes")
+def op13(table):
+    return simhash.near_classes(table("documents"))
