@@ -59,3 +59,20 @@ def test_domain(frame):
 
 def test_tokens_split_at_accents(frame):
     assert one(frame, "Ação T1566 e 15/2024", tokens) == ["a", "o", "t1566", "e", "15", "2024"]
+
+
+def test_fold_over_all_of_unicode(spark):
+    """Every assigned letter and mark: canonical decomposition without combining marks."""
+    import unicodedata
+
+    def bare(text):
+        return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+    letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM" and not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c} " for c in letters[i : i + 500]) for i in range(0, len(letters), 500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"), fold(F.col("t")).alias("folded"))
+    found = df.collect()
+    assert len(letters) > 130_000
+    assert [r["folded"] for r in found] == [bare(r["low"]) for r in found]
+    row = spark.createDataFrame([("Ação 한글 がぎ Крёй آب क़लम Ängström Ǘ",)], "t string").select(fold(F.col("t"))).first()
+    assert row[0] == bare("Ação 한글 がぎ Крёй آب क़लम Ängström Ǘ".lower())

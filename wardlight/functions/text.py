@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-
-def _fold_table() -> tuple[str, str]:
-    """Letters that decompose into a plain letter and marks, and those letters, from
-    Unicode's own decomposition; Latin, Greek and Cyrillic letters with marks and the
-    Vietnamese block are in it. What decomposes into several letters is left alone."""
-    marked, bare = [], []
-    for code in (*range(0x00C0, 0x0590), *range(0x1E00, 0x2000)):
-        parts = unicodedata.normalize("NFD", chr(code).lower())
-        kept = "".join(c for c in parts if not unicodedata.combining(c))
-        if len(parts) > 1 and len(kept) == 1 and kept != chr(code):
-            marked.append(chr(code))
-            bare.append(kept)
-    return "".join(marked), "".join(bare)
-
-
-MARKED, PLAIN = _fold_table()
+HANGUL, VOWELS, TAILS = 0xAC00, 21, 28  # first syllable; a syllable is a lead, a vowel and maybe a tail
+LEAD, VOWEL, TAIL = 0x1100, 0x1161, 0x11A7
+
+
+@lru_cache(maxsize=1)
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """What Unicode's own decomposition without combining marks makes of each letter: letters that
+    change followed by the marks, the letters that take their places (none for the marks), and
+    letters that become several. Hangul syllables follow a rule instead."""
+    letters, plain, marks, several = [], [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif (parts := unicodedata.decomposition(c)) and not parts.startswith("<"):
+            kept = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+            if len(kept) > 1:
+                several[c] = kept
+            elif kept:
+                letters.append(c)
+                plain.append(kept)
+            else:
+                marks.append(c)
+    return "".join(letters + marks), "".join(plain), several
+
+
+def _without_syllables(text: Column) -> Column:
+    """Hangul syllables as their letters."""
+    leads = "".join(chr(LEAD + i) for i in range(19))
+    vowels = "".join(chr(VOWEL + i) for i in range(VOWELS))
+    tails = "".join(chr(TAIL + i) for i in range(1, TAILS))
+
+    def pick(letters, place):
+        return F.substr(F.lit(letters), place.cast("int") + 1, F.lit(1))
+
+    def letters_of(c):
+        n = F.ascii(c) - HANGUL
+        tail = n % TAILS
+        syllable = F.concat(
+            pick(leads, F.floor(n / (VOWELS * TAILS))),
+            pick(vowels, F.floor(n / TAILS) % VOWELS),
+            F.when(tail > 0, pick(tails, tail - 1)).otherwise(""),
+        )
+        return F.when(c.between(chr(HANGUL), chr(HANGUL + 19 * VOWELS * TAILS - 1)), syllable).otherwise(c)
+
+    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), letters_of)
+    return F.when(text.rlike("[\uac00-\ud7a3]"), F.array_join(each, "")).otherwise(text)
 
 # fixed values: patterns that decide the flags below; (?U) makes \b and \w see
 # accented letters
@@ -55,8 +87,15 @@ def strip(value: Column) -> Column:
 
 
 def fold(value: Column) -> Column:
-    """Lower case without accents, of any script; combining marks are dropped too."""
-    return F.regexp_replace(F.translate(F.lower(value), MARKED, PLAIN), r"\p{Mn}", "")
+    """Lower case without accents, of any script: Unicode's canonical decomposition without
+    its combining marks."""
+    letters, plain, several = _fold_table()
+    low = F.lower(value)
+    text = low
+    spelled = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(several[c])), several, text)
+    text = F.when(text.rlike(f"[{''.join(several)}]"), spelled).otherwise(text)
+    folded = F.translate(_without_syllables(text), letters, plain)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), folded).otherwise(low)
 
 
 def comparable(value: Column) -> Column:
