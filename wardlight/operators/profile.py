@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from wardlight.plans.skew import salted_join
 
 ENUM_VALUES = 10
+TRACKED = 20  # values a task keeps of a column, for each value allowed
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
@@ -31,48 +32,35 @@ def detect_enums(tables: dict[str, DataFrame], max_values: int = ENUM_VALUES) ->
     """String columns with 1..``max_values`` distinct values, one row per value:
     (table, column, value).
 
-    A sketch pass drops the wide columns, whose values would all have to move;
-    its error is far below the factor of two it is given. The exact distinct
-    pass then moves a few values per column and task. The result is bounded by
-    the schema (``max_values`` per column), so it becomes a literal table that
-    later joins broadcast by its known size.
+    One scan per table. For each text column a task keeps a bounded set of values with their
+    counts, and these merge into one row per table. A set that had to let values go is
+    recognised: its counts no longer add up to the rows of the column, and the column's
+    distinct count, estimated in the same pass, is far above the limit. The result is bounded by the
+    schema (``max_values`` per column), so it becomes a literal table that later joins
+    broadcast by its known size.
     """
     spark = next(iter(tables.values())).sparkSession
-    texts = {
-        name: columns
-        for name, df in tables.items()
-        if (columns := [f.name for f in df.schema if isinstance(f.dataType, StringType)])
-    }
-    sketches = [
-        tables[name].agg(
-            F.map_from_arrays(
-                F.array(*map(F.lit, columns)), F.array(*map(F.approx_count_distinct, columns))
-            ).alias("sketch")
-        ).select(F.lit(name).alias("table"), "sketch")
-        for name, columns in texts.items()
-    ]
-    found = []
-    for name, sketch in _stack(sketches).collect() if sketches else []:
-        narrow = [c for c in texts[name] if 0 < sketch[c] <= 2 * max_values]
-        if narrow:
-            cells = F.array(
-                *[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in narrow]
-            )
-            found.append(
-                tables[name].select(F.explode(cells).alias("cell"))
-                .select(F.lit(name).alias("table"), "cell.column", "cell.value")
-                .where(F.col("value").isNotNull())
-                .distinct()
+    scans = []
+    for name, df in tables.items():
+        columns = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+        sets = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count(c).alias("n"),
+                F.approx_count_distinct(c).alias("about"),
+                F.expr(f"approx_top_k(`{c}`, {max_values + 2}, {TRACKED * max_values})").alias("held"),
             )
+            for c in columns
+        ]
+        if sets:
+            scans.append(df.agg(F.array(*sets).alias("sets")).select(F.lit(name).alias("table"), "sets"))
     listed = []
-    if found:
-        per_column = (
-            _stack(found)
-            .groupBy("table", "column")
-            .agg(F.count("*").alias("n"), F.collect_list("value").alias("values"))
-            .where(F.col("n") <= max_values)
-        )
-        listed = [(r["table"], r["column"], v) for r in per_column.collect() for v in r["values"]]
+    for table, sets in _stack(scans).collect() if scans else []:
+        for column, n, about, held in sets:
+            values = [(x["item"], x["count"]) for x in held or [] if x["item"] is not None]
+            whole = sum(count for _, count in values) == n and about <= 2 * max_values
+            if whole and 0 < len(values) <= max_values:
+                listed += [(table, column, value) for value, _ in values]
     return spark.createDataFrame(listed, "table string, column string, value string")
 
 

@@ -27,7 +27,7 @@ def numbered(
     order: list[str],
     number: str,
     running: dict[str, str] | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Add ``number`` (1-based position inside the group) and, for every
     ``{new column: value column}`` in ``running``, a running sum.
@@ -35,6 +35,7 @@ def numbered(
     ``order`` must be unique inside a group.
     """
     running = running or {}
+    group_rows = GROUP_ROWS if group_rows is None else group_rows
     if at_most(hot_keys(df, group, group_rows), 0):
         return _by_window(df, group, order, number, running)
     return _by_range(df, group, order, number, running)

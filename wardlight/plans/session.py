@@ -92,3 +92,25 @@ def materialise(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on any file system Spark can read."""
+    there, files = _hadoop(spark, path)
+    return files.exists(there)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    there, files = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(there) if s.isDirectory()) if files.exists(there) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there, files = _hadoop(spark, path)
+    files.delete(there, True)
