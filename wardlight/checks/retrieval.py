@@ -63,9 +63,13 @@ def _index(t):
     return lexical.bm25_index(_units(t))
 
 
-def _hybrid(t, index):
+def _vectors(t):
     units = neighbours.embed(_units(t), neighbours.letter_profile)
-    asked = neighbours.embed(_asked(t), neighbours.letter_profile)
+    return neighbours.embed(_asked(t), neighbours.letter_profile), units
+
+
+def _hybrid(t, index):
+    asked, units = _vectors(t)
     return fusion.hybrid_search(asked, units, index, K)
 
 
@@ -146,10 +150,19 @@ def _(t):
     return vectors.select("doc_id", F.posexplode("vector").alias("p", "x")).withColumn("x", F.round("x", 6))
 
 
-@check("ret_12_embed_tfidf")
+@check("ret_12_embed_tfidf", """
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower('passage: ' || text), '[a-z0-9]+')) AS tk FROM documents),
+tf AS (SELECT doc_id, CAST('0x' || substr(md5(tk), 1, 8) AS BIGINT) % 256 AS slot, count(*) AS n FROM tok GROUP BY 1, 2),
+df AS (SELECT slot, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)) AS idf FROM tf GROUP BY 1),
+w AS (SELECT doc_id, slot, n * idf AS w FROM tf JOIN df USING (slot)),
+l AS (SELECT doc_id, sqrt(sum(w * w)) AS len FROM w GROUP BY 1)
+SELECT doc_id, CAST(slot AS INTEGER) AS p, round(w / len, 6) AS x FROM w JOIN l USING (doc_id) WHERE w <> 0""")
 def _(t):
-    docs = t.documents.select("doc_id", "text")
-    return neighbours.embed(docs, prefix="passage: ").select("doc_id", "vector")
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    vectors = neighbours.embed(docs, prefix="passage: ")
+    return vectors.select("doc_id", F.posexplode("vector").alias("p", "x")).where("x <> 0").withColumn(
+        "x", F.round("x", 6)
+    )
 
 
 @check("ret_13_evidence", f"""WITH {_SEARCH}, {_NEAR}, {_FUSED}
@@ -260,9 +273,11 @@ al AS (SELECT 'hybrid' AS model, * FROM cases UNION ALL SELECT 'vectors', * FROM
 SELECT model, (SELECT count(*) FROM documents) AS chunks, count(*) AS cases, round(avg(CASE WHEN hit1 THEN 1 ELSE 0 END), 4) AS hit1, round(avg(CASE WHEN hit3 THEN 1 ELSE 0 END), 4) AS hit3,
  round(avg(reciprocal), 4) AS mrr, round(avg(top1_distance), 3) AS mean_top1_distance FROM al GROUP BY 1""")
 def _(t):
-    gold = _golden(t)
+    gold = materialise(_golden(t))
+    asked, units = _vectors(t)
+    near = materialise(neighbours.knn(asked, units, K))
     both = [
-        relevance.rank_cases(_hits_as_docs(_hybrid(t, index)), gold).withColumn("model", F.lit(model))
+        relevance.rank_cases(_hits_as_docs(fusion.fused(asked, near, index, K)), gold).withColumn("model", F.lit(model))
         for model, index in (("hybrid", _index(t)), ("vectors", None))
     ]
     return relevance.retrieval_report(both[0].unionByName(both[1]), t.documents.count())

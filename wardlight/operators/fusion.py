@@ -52,7 +52,7 @@ def hydrate(hits: DataFrame, distances: DataFrame, chunks: DataFrame) -> DataFra
     The hits are few against the chunks: their ids pick the chunks first, so
     only texts that were hit are moved.
     """
-    hits = materialise(hits)
+    hits = materialise(hits.drop("distance"))
     wanted = broadcast_if_small(hits.select("chunk_id").distinct())
     near = distances.select("query_id", "chunk_id", "distance")
     about = chunks.select("chunk_id", "text", "source", "section").join(
@@ -78,8 +78,18 @@ def hybrid_search(
     ``chunks`` (chunk_id, text, source, section, vector); without a lexical
     index the vector list decides alone."""
     near = materialise(knn(queries, chunks, k))  # read by the fusion and for distances
+    return hydrate(fused(queries, near, index, k), near, chunks)
+
+
+def fused(queries: DataFrame, near: DataFrame, index: LexicalIndex | None, k: int) -> DataFrame:
+    """The best ``k`` chunks of a vector search (``near``) and a lexical one, with the
+    vector distance to 3 decimals (-1 where only the lexical list found it), without texts."""
     lexical = None if index is None else bm25_search(index, queries, k)
-    return hydrate(rrf(near, lexical, k), near, chunks)
+    hits = rrf(near, lexical, k)
+    distances = near.select("query_id", "chunk_id", "distance")
+    return hits.join(distances, ["query_id", "chunk_id"], "left").withColumn(
+        "distance", F.coalesce(F.round("distance", 3), F.lit(-1.0))
+    )
 
 
 def evidence(hits: DataFrame) -> DataFrame:

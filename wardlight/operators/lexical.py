@@ -1,20 +1,36 @@
-"""BM25 index and search over chunks."""
+"""BM25 index and search over chunks.
+
+A search deals the postings of the asked tokens into shards of bounded size by a hash of the
+chunk. Within a shard the postings of a token stand in the order of their *impact* (the part of
+the score that the query does not change), cut into blocks of doubling length whose first impact
+bounds all that follow. The lists are read block by block, only until no chunk outside the ones in
+sight can be among the best. So a task hands on at most n chunks per query, and the postings of a
+frequent token are spread over all shards.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wardlight.functions.text import tokens
 from wardlight.plans.ordering import top_per_group
 from wardlight.plans.session import materialise
-from wardlight.plans.sizing import BROADCAST_ROWS, at_most
+from wardlight.plans.sizing import BROADCAST_ROWS
 
 # fixed values: BM25 parameters
 K1, B, NEGATIVE_IDF_SHARE = 1.5, 0.75, 0.25
-SLICES = 64
+SHARD_CHUNKS = 8_192  # chunks of a shard
+LEAST_CHUNKS = 256  # of a shard in a small corpus, which still gives each core one
+FIRST_BLOCK = 64  # postings in the first block of a list; each next one is twice as long
+DIGITS = 6
 
 
 @dataclass
@@ -32,38 +48,48 @@ def token_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.explode(tokens(F.col(text))).alias("token"))
 
 
+def token_counts(text: Column) -> tuple[Column, Column, Column]:
+    """Expressions of three columns to be made one after the other: the sorted tokens ``_s``,
+    the places ``_b`` where a new token starts, and from both a (token, tf) per distinct token."""
+    found = F.sort_array(tokens(text))
+    place = F.when(F.size("_s") > 0, F.sequence(F.lit(1), F.size("_s"))).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(place, lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2)))
+    counts = F.transform(
+        F.col("_b"),
+        lambda i, k: F.struct(
+            F.get("_s", i - 1).alias("token"),
+            (F.coalesce(F.get("_b", k + 1), F.size("_s") + 1) - i).cast("long").alias("tf"),
+        ),
+    )
+    return found, starts, counts
+
+
 def bm25_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> LexicalIndex:
-    """Count tokens per chunk, chunks per token and the corpus figures.
+    """Count tokens per chunk (ids are unique), chunks per token and the corpus figures.
 
-    The chunks are hashed by id once; counting inside a chunk then needs no
-    further exchange. The postings are written once and all figures come from
-    that copy.
+    Tokens are counted inside the row of their chunk, so neither texts nor tokens move. The
+    postings are written once and all figures come from that copy.
     """
-    listed = (
-        chunks.select(F.col(key).alias("chunk_id"), F.col(text).alias("text"))
-        .repartition("chunk_id")
-        .select("chunk_id", tokens(F.col("text")).alias("tokens"))
-        .withColumn("length", F.size("tokens").cast("long"))
-    )
-    postings = materialise(
-        listed.select("chunk_id", "length", F.explode_outer("tokens").alias("token"))
-        .groupBy("chunk_id", "length", "token")
-        .agg(F.count("token").alias("tf"))
-    )
+    found, starts, counts = token_counts(F.col(text))
+    listed = chunks.select(F.col(key).alias("chunk_id"), found.alias("_s")).withColumn("_b", starts)
+    exploded = listed.select("chunk_id", F.size("_s").cast("long").alias("length"), F.posexplode_outer(counts).alias("_k", "_c"))
+    postings = materialise(exploded.select("chunk_id", "length", "_c.token", "_c.tf", "_k"))
     # a chunk without tokens has one row with a null token: it counts as a chunk
     figures = postings.agg(
-        F.count_distinct("chunk_id").alias("n"), F.sum("tf").alias("total")
+        F.count_if(F.coalesce("_k", F.lit(0)) == 0).alias("n"), F.sum("tf").alias("total")
     ).first()
-    n = figures["n"]
-    held = postings.where(F.col("token").isNotNull())
-    counted = held.groupBy("token").agg(F.count("*").alias("df")).withColumn(
-        "_idf", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    n, mean = figures["n"], (figures["total"] or 0) / figures["n"] if figures["n"] else 0.0
+    held = postings.where(F.col("token").isNotNull()).drop("_k")
+    counted = materialise(
+        held.groupBy("token").agg(F.count("*").alias("df")).withColumn(
+            "_idf", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+        )
     )
     floor = NEGATIVE_IDF_SHARE * (counted.agg(F.avg("_idf")).first()[0] or 0.0)
     terms = counted.select(
         "token", "df", F.when(F.col("_idf") < 0, F.lit(floor)).otherwise(F.col("_idf")).alias("idf")
     )
-    return LexicalIndex(held, terms, n, (figures["total"] or 0) / n if n else 0.0)
+    return LexicalIndex(held, terms, n, mean)
 
 
 def save_index(index: LexicalIndex, path: str) -> None:
@@ -95,41 +121,119 @@ def query_weights(index: LexicalIndex, queries: DataFrame, key: str, text: str)
     )
 
 
-def bm25_scores(
-    index: LexicalIndex,
-    queries: DataFrame,
-    key: str = "query_id",
-    text: str = "text",
+class Lists:
+    """A shard's postings (token, chunk_id, impact) as lists: chunks as places in ``ids`` (sorted), in
+    the order of impact and, for look-ups, in the order of places."""
+
+    def __init__(self, shard: pa.Table):
+        token = shard.column("token").combine_chunks().dictionary_encode()
+        which = token.indices.to_numpy()
+        self.term = {t: i for i, t in enumerate(token.dictionary.to_pylist())}
+        chunk = shard.column("chunk_id")
+        held = np.array(chunk.to_pylist(), str) if pa.types.is_string(chunk.type) else chunk.to_numpy()
+        self.ids, places = np.unique(held, return_inverse=True)
+        impact = shard.column("impact").to_numpy()
+        self.at = np.searchsorted(np.sort(which), np.arange(len(self.term) + 1))
+        by = np.lexsort((-impact, which))
+        self.places, self.impact = places[by], impact[by]
+        by = np.lexsort((places, which))
+        self.sorted_places, self.sorted_impact = places[by], impact[by]
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and scores of the ``n`` best chunks by rounded score (positive), ties to the
+        lower id, and the postings read."""
+        first, last = self.at[terms], self.at[terms + 1]
+        rising = weights > 0  # others can only lower a score: they are looked up at the end
+        upto, close, read = np.zeros(len(self.ids)), 10.0**-DIGITS, 0
+        size = FIRST_BLOCK
+        while True:
+            stop = np.minimum(first + size, last)
+            take = stop - first
+            take[~rising] = 0
+            own = np.repeat(first - np.concatenate(([0], np.cumsum(take)[:-1])), take) + np.arange(int(take.sum()))
+            np.add.at(upto, self.places[own], np.repeat(weights, take) * self.impact[own])
+            read += len(own)
+            first = np.where(rising, stop, first)
+            left = rising & (first < last)
+            # what a chunk can still gain: the next impact of every list
+            rest = float((weights[left] * self.impact[first[left]]).sum())
+            if not left.any():
+                chosen = np.flatnonzero(upto > 0)
+                break
+            if rising.all():
+                seen = np.flatnonzero(upto > 0)
+                if len(seen) > n:
+                    least = np.partition(upto[seen], len(seen) - n)[len(seen) - n]
+                    if rest + close < least:  # no unseen chunk can be among the best
+                        chosen = seen[upto[seen] + rest + close >= least]
+                        if len(chosen) <= max(4 * n, size):
+                            break
+            size *= 2
+        scores = np.zeros(len(chosen))
+        for t, w in zip(terms.tolist(), weights.tolist()):
+            a, b = self.at[t], self.at[t + 1]
+            at = np.minimum(np.searchsorted(self.sorted_places[a:b], chosen), b - a - 1) + a
+            scores += np.where(self.sorted_places[at] == chosen, w * self.sorted_impact[at], 0.0)
+        scores = np.round(scores, DIGITS)
+        keep = np.flatnonzero(scores > 0)
+        keep = keep[np.lexsort((chosen[keep], -scores[keep]))[:n]]
+        return chosen[keep], scores[keep], read
+
+
+def shard_best(
+    index: LexicalIndex, queries: DataFrame, n: int, key: str = "query_id", text: str = "text",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Positive scores (query_id, chunk_id, score).
+    """Each shard's best ``n`` chunks per query: query_id, chunk_id, score (positive).
 
-    Postings of asked tokens are hashed by chunk, so a token held by most chunks
-    is spread over all tasks and the sum per query and chunk needs no further
-    exchange. The query weights are broadcast up to ``broadcast_rows`` rows;
-    beyond that both sides are cut into slices of the chunks and shuffled.
+    The query weights are sent to the tasks in blocks of at most about ``broadcast_rows`` rows,
+    each block a visit of the shards.
     """
     weights = materialise(query_weights(index, queries, key, text))
-    asked = weights.select("token").distinct()
-    gain = (
-        F.col("weight")
-        * (F.col("tf") * (K1 + 1))
-        / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(index.mean_length)))
-    )
-    if at_most(weights, broadcast_rows):
-        held = index.postings.join(F.broadcast(asked), "token", "left_semi").repartition("chunk_id")
-        paired = held.join(F.broadcast(weights), "token")
-    else:
-        cut = F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)).cast("int")
-        held = index.postings.withColumn("_slice", cut)
-        every = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
-        paired = held.join(weights.withColumn("_slice", every), ["token", "_slice"])
-    return (
-        paired.groupBy("query_id", "chunk_id")
-        .agg(F.sum(gain).alias("_score"))
-        .where(F.col("_score") > 0)
-        .select("query_id", "chunk_id", F.round("_score", 6).alias("score"))
+    blocks = max(1, -(-weights.count() // broadcast_rows))
+    cores = weights.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-index.n_chunks // SHARD_CHUNKS), min(cores, -(-index.n_chunks // LEAST_CHUNKS)))
+    length = F.col("length") / F.lit(index.mean_length or 1.0)
+    postings = index.postings.select(
+        F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), "token", "chunk_id",
+        ((F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * length))).alias("impact"),
     )
+    schema = StructType([
+        StructField("query_id", weights.schema["query_id"].dataType), postings.schema["chunk_id"], StructField("score", DoubleType()),
+    ])
+    parts = [
+        _visited(postings, weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else weights, n, schema)
+        for i in range(blocks)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _visited(postings: DataFrame, weights: DataFrame, n: int, schema: StructType) -> DataFrame:
+    rows = weights.orderBy("query_id").toArrow()  # one block
+    sent = weights.sparkSession.sparkContext.broadcast(rows)
+    held = postings.join(F.broadcast(weights.select("token").distinct()), "token", "left_semi")
+
+    def visit(shard: pa.Table) -> pa.Table:
+        asked, own = sent.value, Lists(shard)
+        query = asked.column("query_id").combine_chunks().dictionary_encode()
+        which = query.indices.to_numpy()
+        terms = np.array([own.term.get(t, -1) for t in asked.column("token").to_pylist()], np.int64)
+        weight = asked.column("weight").to_numpy()
+        known = np.flatnonzero(terms >= 0)
+        found_q, found_c, found_s = [which[:0]], [known[:0]], [weight[:0]]
+        cut = np.flatnonzero(np.diff(which[known])) + 1
+        for at in np.split(known, cut) if len(known) else []:
+            places, scores, _ = own.best(terms[at], weight[at], n)
+            found_q.append(np.full(len(places), which[at[0]]))
+            found_c.append(places)
+            found_s.append(scores)
+        return pa.table({
+            "query_id": query.dictionary.take(pa.array(np.concatenate(found_q))),
+            "chunk_id": pa.array(own.ids[np.concatenate(found_c)].tolist(), to_arrow_type(schema["chunk_id"].dataType)),
+            "score": np.concatenate(found_s),
+        })
+
+    return held.groupBy("shard").applyInArrow(visit, schema)
 
 
 def bm25_search(
@@ -137,5 +241,5 @@ def bm25_search(
     **options,
 ) -> DataFrame:
     """Best ``3k`` chunks per query: query_id, chunk_id, score, rank."""
-    scores = bm25_scores(index, queries, key, text, **options)
+    scores = shard_best(index, queries, 3 * k, key, text, **options)
     return top_per_group(scores, ["query_id"], [F.desc("score"), "chunk_id"], 3 * k, "rank")

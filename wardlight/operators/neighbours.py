@@ -3,67 +3,190 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wardlight.functions.text import tokens
 from wardlight.functions.vectors import l2
 from wardlight.plans.ordering import top_per_group
-from wardlight.plans.tiles import tiled
+from wardlight.plans.session import materialise
 
-QUERY_TILE, CORPUS_TILE, QUERY_BLOCK = 20_000, 8_192, 512
+BLOCK_BYTES = 32 << 20  # query vectors sent to the tasks at once
+BLOCK_QUERIES = 20_000
+PIVOTS = 16
+CELL = 1 << 22  # distances computed at once
 DIGITS = 6
+SLOTS = 256  # of the hashed encoder
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64)
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Unit vectors of a list column, one per row; a zero vector stays zero."""
+    width = len(column[0]) if len(column) else 0
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _names(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts like Spark does."""
+    return np.array(column.to_pylist(), str) if pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False)
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+def spread_out(units: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the vectors, each the farthest from the ones before."""
+    held = units[np.abs(units).sum(1) > 0]
+    if not len(held):
+        return held
+    picked, near = [held[0]], held @ held[0]
+    while len(picked) < min(n, len(held)):
+        at = int(np.argmin(near))
+        if near[at] >= 1 - 1e-9:
+            break
+        picked.append(held[at])
+        near = np.maximum(near, held @ held[at])
+    return np.array(picked)
+
+
+class NearestHeap:
+    """The ``k`` nearest rows seen so far for each query of a block, by rounded distance, ties
+    to the lower id.
+
+    Queries stand in groups by their nearest pivot, and so do the rows of a batch. By the triangle inequality of
+    angles a query and a row are at least as far apart as their angles to any pivot differ; where that
+    exceeds what all queries of a group still look for, the cell is skipped.
+    """
+
+    def __init__(self, units: np.ndarray, k: int):
+        self.k, self.n, self.skipped = k, len(units), 0
+        self.pivots = spread_out(units[:: max(1, len(units) // 2048)], PIVOTS)
+        self.units, self.groups = units, self._grouped(units)
+        self.distance = np.full((self.n, k), np.inf)
+        self.place = np.full((self.n, k), -1, np.int64)
+        self.ids: np.ndarray | None = None
+
+    def _grouped(self, units: np.ndarray):
+        """Rows of each group with the least and greatest angle to every pivot."""
+        if not len(self.pivots):
+            return [(np.arange(len(units)), np.zeros(0), np.zeros(0))]
+        angle = _angles(units, self.pivots)
+        # vectors without a direction have no angle: a group of their own that is never skipped
+        nearest = np.where(units.any(axis=1), angle.argmin(axis=1), -1)
+        groups = []
+        for g in np.unique(nearest):
+            own = np.flatnonzero(nearest == g)
+            low, high = (angle[own].min(0), angle[own].max(0)) if g >= 0 else (np.zeros(len(self.pivots)), np.full(len(self.pivots), np.pi))
+            groups.append((own, low, high))
+        return groups
+
+    def add(self, ids: np.ndarray, units: np.ndarray) -> None:
+        base = 0 if self.ids is None else len(self.ids)
+        self.ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        cells = self._grouped(units)
+        for own, low, high in self.groups:
+            for rows, near, far in cells:
+                gap = np.maximum(near - high, low - far).max(initial=0.0)
+                if gap > 0 and 1 - np.cos(gap) > self.distance[own, -1].max() + 10.0**-DIGITS:
+                    self.skipped += len(own) * len(rows)
+                    continue
+                step = max(1, CELL // len(rows))
+                for i in range(0, len(own), step):
+                    self._compare(own[i : i + step], rows, units[rows], base)
+        self._forget()
+
+    def _compare(self, own: np.ndarray, rows: np.ndarray, units: np.ndarray, base: int) -> None:
+        away = np.round(1.0 - self.units[own] @ units.T, DIGITS) + 0.0
+        limit = self.distance[own, -1]
+        if away.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(away, self.k - 1, axis=1)[:, self.k - 1])
+        q, c = np.nonzero(away <= limit[:, None])
+        if not len(q):
+            return
+        changed = np.unique(q)
+        held_q, held_c = np.nonzero(self.place[own[changed]] >= 0)
+        query = np.concatenate([changed[held_q], q])
+        distance = np.concatenate([self.distance[own[changed]][held_q, held_c], away[q, c]])
+        place = np.concatenate([self.place[own[changed]][held_q, held_c], rows[c] + base])
+        order = np.lexsort((self.ids[place], distance, query))
+        query, distance, place = query[order], distance[order], place[order]
+        first = np.searchsorted(query, changed)
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        best = rank < self.k
+        self.distance[own[changed]], self.place[own[changed]] = np.inf, -1
+        self.distance[own[query[best]], rank[best]] = distance[best]
+        self.place[own[query[best]], rank[best]] = place[best]
+
+    def _forget(self) -> None:
+        """Keep the ids of rows in the heap only."""
+        held = self.place >= 0
+        kept, at = np.unique(self.place[held], return_inverse=True)
+        self.ids, self.place[held] = self.ids[kept], at
+
+    def found(self):
+        """Query places, ids and distances."""
+        q, c = np.nonzero(self.place >= 0)
+        return q, self.ids[self.place[q, c]] if len(q) else None, self.distance[q, c]
+
+
 def knn(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    query_tile: int = QUERY_TILE,
-    corpus_tile: int = CORPUS_TILE,
+    queries: DataFrame, corpus: DataFrame, k: int, block_queries: int = BLOCK_QUERIES, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """Nearest ``k`` corpus vectors per query by cosine distance, exactly.
 
-    ``queries`` is (query_id, vector), ``corpus`` (chunk_id, vector). Each cell
-    of query and corpus tiles is one matrix product that keeps its k best per
-    query; the k best of the cells are then ranked. Ties go to the lower id.
+    ``queries`` is (query_id, vector), ``corpus`` (chunk_id, vector), vectors of one length; null
+    vectors take no part. Queries are sent to the tasks in blocks of bounded size; each task
+    scans its part of the corpus where it lies and keeps a heap of k per query, and only the heaps are shuffled.
+    Ties go to the lower id.
     """
-
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "chunk_id": [], "distance": []}
-        if len(q) and len(c):
-            ids, corpus_side = c["chunk_id"].to_numpy(), _unit(c["vector"]).T
-            n = min(k, len(ids))
-            for start in range(0, len(q), QUERY_BLOCK):
-                block = q.iloc[start : start + QUERY_BLOCK]
-                away = np.round(1.0 - _unit(block["vector"]) @ corpus_side, DIGITS) + 0.0
-                for name, row in zip(block["query_id"].to_numpy(), away):
-                    near = np.flatnonzero(row <= np.partition(row, n - 1)[n - 1])
-                    near = near[np.lexsort((ids[near], row[near]))[:n]]
-                    out["query_id"].extend([name] * n)
-                    out["chunk_id"].extend(ids[near])
-                    out["distance"].extend(row[near])
-        return pd.DataFrame(out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *corpus.schema)}
-    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, distance double"
-    found = tiled(
-        queries.select("query_id", "vector"), corpus.select("chunk_id", "vector"),
-        "query_id", "chunk_id", best, schema, query_tile, corpus_tile,
-    )
-    return top_per_group(found, ["query_id"], ["distance", "chunk_id"], k, "rank")
+    queries = materialise(queries.select("query_id", "vector")).where("vector IS NOT NULL")
+    corpus = corpus.select("chunk_id", "vector")
+    size = queries.agg(F.count("*").alias("n"), F.sum(8 * F.size("vector").cast("long")).alias("b")).first()
+    blocks = max(1, -(-size["n"] // block_queries), -(-(size["b"] or 0) // block_bytes))
+    schema = StructType([
+        queries.schema["query_id"], corpus.schema["chunk_id"], StructField("distance", DoubleType()),
+    ])
+    parts = [
+        _scanned(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries, corpus, k, schema)
+        for i in range(blocks)
+    ]
+    return top_per_group(reduce(DataFrame.unionByName, parts), ["query_id"], ["distance", "chunk_id"], k, "rank")
+
+
+def _scanned(block: DataFrame, corpus: DataFrame, k: int, schema: StructType) -> DataFrame:
+    rows = block.toArrow()  # at most a block
+    sent = corpus.sparkSession.sparkContext.broadcast(rows)
+    kind = to_arrow_type(schema["chunk_id"].dataType)
+
+    def scan(batches):
+        asked = sent.value.combine_chunks()
+        if not len(asked):
+            return
+        heap = NearestHeap(_vectors(asked.column("vector").combine_chunks()), k)
+        for batch in batches:
+            # left out here: a filter in the plan would compute the vectors a second time
+            batch = batch.filter(batch.column(1).is_valid())
+            if len(batch):
+                heap.add(_names(batch.column(0)), _vectors(batch.column(1)))
+        q, ids, distance = heap.found()
+        if len(q):
+            yield pa.RecordBatch.from_arrays(
+                [asked.column("query_id").combine_chunks().take(pa.array(q)), pa.array(ids.tolist(), kind), pa.array(distance)],
+                schema.names,
+            )
+
+    return corpus.mapInArrow(scan, schema)
 
 
 def embed(
@@ -87,8 +210,8 @@ def embed(
             .withColumn("vector", l2(F.col("_raw")))
             .drop("_raw")
         )
-    ready = df.withColumn("_tokens", tokens(prefixed))
     fitted = model if model is not None else fit_tfidf(df, prefix, text)
+    ready = df.withColumn("_tokens", token_slots(prefixed, len(fitted.stages[0].vocabulary)))
     return (
         fitted.transform(ready)
         .withColumn("vector", vector_to_array("_unit"))
@@ -96,11 +219,22 @@ def embed(
     )
 
 
-def fit_tfidf(df: DataFrame, prefix: str = "", text: str = "text", size: int = 256):
-    """Hashed TF-IDF encoder fitted on a corpus, to be used for its queries too."""
-    ready = df.withColumn("_tokens", tokens(F.concat(F.lit(prefix), F.col(text))))
+def token_slots(text: Column, size: int) -> Column:
+    """The slot of each token: the first 32 bits of its MD5, modulo ``size``, which any
+    engine can compute."""
+    def slot(token):
+        return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % size).cast("string")
+
+    return F.transform(tokens(text), slot)
+
+
+def fit_tfidf(df: DataFrame, prefix: str = "", text: str = "text", size: int = SLOTS):
+    """Hashed TF-IDF encoder fitted on a corpus, to be used for its queries too: tokens
+    counted by slot, times ln((n + 1) / (texts with the slot + 1)), at unit length."""
+    ready = df.withColumn("_tokens", token_slots(F.concat(F.lit(prefix), F.col(text)), size))
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], "_tokens", "_tf")
     stages = [
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=size),
+        counts,
         IDF(inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="_unit"),
     ]
@@ -109,8 +243,11 @@ def fit_tfidf(df: DataFrame, prefix: str = "", text: str = "text", size: int = 2
 
 def letter_profile(text: Column) -> Column:
     """Counts of the letters a..z: a small built-in encoder."""
-    low = F.lower(text)
-    return F.array(*[
-        (F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))).cast("double")
-        for c in "abcdefghijklmnopqrstuvwxyz"
-    ])
+    def counts(low):
+        return F.array(*[
+            (F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))).cast("double")
+            for c in "abcdefghijklmnopqrstuvwxyz"
+        ])
+
+    # as the variable of a lambda the text is lower-cased once, not once per letter
+    return F.element_at(F.transform(F.array(F.lower(text)), counts), 1)

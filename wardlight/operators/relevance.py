@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.text import tokens
 from wardlight.plans.session import materialise
+from wardlight.plans import automaton
 from wardlight.plans.sizing import broadcast_if_small, spread
-from wardlight.plans.tiles import tiled
 
 GRAM = 4
 
@@ -59,13 +59,37 @@ def _grams(words: Column, n: int) -> Column:
 def containment_gold(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (item_id, doc_id) whose document text contains the passage text.
 
-    The inner words of a passage (all but the first and last, which may be cut
-    in the document) stand next to each other in any document that contains it.
-    So each passage looks up its rarest run of inner words, and only those
-    documents are searched. Passages without inner words are searched in tiles.
-    Equal passages are looked up once.
+    Equal passages are looked up once. Up to ``automaton.SHARDS`` shards of passages are
+    looked for by automata that scan each document where it lies. With more passages than
+    that, scanning for all of them would cost more than preparing the documents: the inner
+    words of a passage (all but the first and last, which may be cut in the document) stand
+    next to each other in any document that contains it, so each passage looks up its rarest
+    run of inner words and only those documents are searched; passages without inner words
+    still go to the automata.
     """
-    texts = passages.groupBy(F.col("text").alias("passage")).agg(F.min("item_id").alias("text_id"))
+    texts = passages.where(F.col("text").isNotNull()).groupBy(F.col("text").alias("passage")).agg(
+        F.min("item_id").alias("text_id")
+    )
+    texts = materialise(texts)
+    shards = automaton.shards_of(texts, "passage")
+    if shards <= automaton.SHARDS:
+        found = _scanned(texts, docs, shards)
+    else:
+        found = _anchored(texts, docs)
+    again = broadcast_if_small(
+        passages.join(texts, passages.text == texts.passage).select("item_id", "text_id")
+    )
+    return found.join(again, "text_id").select("item_id", "doc_id")
+
+
+def _scanned(texts: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
+    """(text_id, doc_id) by automata."""
+    held = spread(docs.select("doc_id", "text"), "doc_id")
+    return automaton.find_strings(texts.select("text_id", F.col("passage").alias("string")), held, shards)
+
+
+def _anchored(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(text_id, doc_id) by the rarest run of inner words."""
     worded = texts.withColumn("_w", tokens(F.col("passage"))).withColumn(
         "_inner",
         F.when(F.size("_w") > 2, F.slice("_w", F.lit(2), F.size("_w") - 2)),
@@ -116,26 +140,7 @@ def containment_gold(passages: DataFrame, docs: DataFrame) -> DataFrame:
         .where(F.contains("text", "passage"))
         .select("text_id", "doc_id")
     )
-    brief = worded.where(F.col("_inner").isNull()).select("text_id", "passage")
+    brief = materialise(worded.where(F.col("_inner").isNull()).select("text_id", "passage"))
     if brief.limit(1).count():
-        found = found.unionByName(_search_tiles(brief, docs))
-    again = passages.join(texts, passages.text == texts.passage).select("item_id", "text_id")
-    return found.join(again, "text_id").select("item_id", "doc_id")
-
-
-def _search_tiles(brief: DataFrame, docs: DataFrame) -> DataFrame:
-    import pandas as pd
-
-    def search(p, d):
-        hits = [
-            (t, doc)
-            for t, passage in zip(p["text_id"], p["passage"])
-            for doc, text in zip(d["doc_id"], d["text"])
-            if passage in text
-        ]
-        return pd.DataFrame(hits, columns=["text_id", "doc_id"])
-
-    return tiled(
-        brief, docs.select("doc_id", "text"), "text_id", "doc_id", search,
-        "text_id long, doc_id long", 10_000, 2_000,
-    )
+        found = found.unionByName(_scanned(brief, docs, automaton.shards_of(brief, "passage")))
+    return found
