@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.checks import check
+from wardlight.checks.model import SAVED, saved_model
 from wardlight.checks.views_sql import over
 from wardlight.operators import fp_model
 from wardlight.plans.session import scratch_path
@@ -28,7 +29,7 @@ def _calls(t):
 def _(t):
     path, mark = scratch_path(t.spark, "windows"), scratch_path(t.spark, "mark")
     finish(stage_metrics.replace_windows(stage_metrics.stage_windows(_calls(t), "1 day"), path, mark))
-    return _naive(t.spark.read.parquet(path))
+    return _naive(stage_metrics.current_windows(t.spark, path))
 
 
 @check("str_01_sliding_windows", over("llm_call", "WITH s AS (SELECT *, date_trunc('day', created_at) + INTERVAL 12 HOUR * k AS st FROM llm_call, (VALUES (-1), (0), (1)) AS o(k) "
@@ -38,7 +39,7 @@ def _(t):
     path, mark = scratch_path(t.spark, "windows"), scratch_path(t.spark, "mark")
     windows = stage_metrics.stage_windows(_calls(t), "1 day", "12 hours")
     finish(stage_metrics.replace_windows(windows, path, mark))
-    return _naive(t.spark.read.parquet(path))
+    return _naive(stage_metrics.current_windows(t.spark, path))
 
 
 @check("str_01_closed_windows", over("llm_call", f"""SELECT * FROM ({_WINDOWS.format(start="date_trunc('day', created_at)", source="llm_call")})
@@ -66,10 +67,10 @@ def _(t):
     return found.select("asset_id", "kind", "incident_id", "opened_on", "previous_on")
 
 
-@check("str_03_stream_score")
+@check("str_03_stream_score", SAVED)
 def _(t):
-    model = fp_model.fit_fp(fp_model.fp_features(t.incident, t.asset))
+    model = fp_model.load_model(t.spark, saved_model(t))
     path, mark = scratch_path(t.spark, "scored"), scratch_path(t.spark, "mark")
     arriving = StreamTables(t.spark, t.directory, ("orders",)).incident
     finish(scoring.stream_score(model, arriving, t.asset, 0.239, path, mark))
-    return t.spark.read.parquet(path)
+    return t.spark.read.parquet(path).drop("batch")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlight.operators.journal import stage_measures
+from wardlight.plans.session import exists, materialise
+
+DAY = "start_day"
 
 
 def stage_windows(
@@ -32,12 +37,30 @@ def append_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def replace_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the whole table, open windows included, up to date under ``path``."""
+    """Keep the whole table, open windows included, up to date under ``path``, one
+    folder per day of window starts. Only windows that a batch changes are handed on, and only
+    the days they start on are written again; a batch that runs twice writes the same. Windows that
+    the watermark has closed leave the state. See :func:`current_windows`."""
+    key = ["window_start", "agent", "stage"]
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        changed = materialise(batch.withColumn(DAY, F.to_date("window_start")))
+        days = [r[0] for r in changed.select(DAY).distinct().collect()]  # within the watermark's reach
+        if not days:
+            return
+        if exists(spark, path):
+            held = spark.read.schema(changed.schema).parquet(path).where(F.col(DAY).isin(days))
+            same = reduce(lambda a, b: a & b, [held[c].eqNullSafe(changed[c]) for c in key])
+            changed = materialise(changed.unionByName(held.join(changed, same, "left_anti")))
+        changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
 
     return (
-        windows.writeStream.outputMode("complete").foreachBatch(save)
+        windows.writeStream.outputMode("update").foreachBatch(save)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def current_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`replace_windows` keeps."""
+    return spark.read.parquet(path).drop(DAY)

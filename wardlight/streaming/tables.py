@@ -10,11 +10,12 @@ from wardlight.sources.views import RAW, Tables
 
 class StreamTables(Tables):
     """Like :class:`Tables`, but the tables named in ``streamed`` are read as
-    they arrive; the others stay static."""
+    they arrive, ``files`` at most in a micro-batch; the others stay static."""
 
-    def __init__(self, spark, directory, streamed: tuple[str, ...]):
+    def __init__(self, spark, directory, streamed: tuple[str, ...], files: int = 64):
         super().__init__(spark, directory)
         self.streamed = streamed
+        self.files = files
 
     def raw(self, name: str) -> DataFrame:
         if name not in RAW:
@@ -24,6 +25,7 @@ class StreamTables(Tables):
         schema = super().raw(name).schema
         return (
             self.spark.readStream.schema(schema)
+            .option("maxFilesPerTrigger", self.files)
             .option("pathGlobFilter", f"{name}.parquet")
             .parquet(self.directory)
         )
