@@ -41,6 +41,8 @@ def test_train_save_load(spark, labelled, tmp_path):
     assert 50.0 < row["auc"] <= row["ceiling_auc"] + 5 and row["accuracy"] <= row["ceiling_accuracy"] + 5
     again, saved = fp_model.load_or_fit(spark, str(tmp_path / "m"), labelled)
     assert saved.first()["threshold"] == row["threshold"]
+    assert row["n_total"] == labelled.count() == row["n_train"] + row["n_test"]
+    assert row["fp_pct"] == pytest.approx(100 * row["threshold"], abs=0.06)
     low = ("calm", "DDoS", "Low", "T1498", "FURNITURE", "Low", "OS-3", "No")
     critical = ("hot", "Phishing", "Critical", "T1566", "AUTOMOBILE", "Medium", "OS-4", "Yes")
     odd = ("odd", "Never Seen", "High", "T0000", "Nowhere", "High", "OS-99", "No")
@@ -106,3 +108,33 @@ def test_kdd_with_unseen_service(spark, tmp_path, model):
     row = intrusion.evaluate_kdd(intrusion.fit_kdd(a, model, trees=3), a, b, model).first()
     assert row["n_train"] == 60 and row["n_test"] == 20 and row["accuracy"] > 80
     assert row["train_attack_pct"] == 50.0
+
+
+def test_exported_model_scores_like_the_fitted_one(spark, labelled, tmp_path):
+    # unknown assets: categories without a value
+    rows = labelled.withColumn("os", F.when(F.col("incident_id") % 9 != 0, F.col("os")))
+    fitted = fp_model.fit_fp(rows)
+    model = fp_model.LinearModel.of(fitted)
+    fp_model.save_model(model, rows.agg(F.count("*").alias("n")), str(tmp_path))
+    again = fp_model.load_model(spark, str(tmp_path))
+    assert sorted(again.rows, key=str) == sorted(model.rows, key=str)
+    odd = rows.limit(50).withColumns({"kind": F.lit("Never Seen"), "environment": F.lit(None).cast("string")})
+    for df in (rows, odd):
+        both = fp_model.probability(fitted.transform(df)).select("incident_id", F.col("p").alias("a")).join(
+            again.transform(df).select("incident_id", F.col("p").alias("b")), "incident_id")
+        assert both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-9
+    assert fp_model.fit_gaps(rows, again).agg(F.max(F.abs("slope"))).first()[0] < 5e-4
+
+
+def test_auc_with_ties(frame, monkeypatch):
+    from wardlight.plans import ordering
+
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(2), rnd.randrange(12) / 10) for _ in range(300)]
+    yes, no = ([p for y, p in rows if y == k] for k in (1, 0))
+    expected = 100 * sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no))
+    df = frame(rows, "label int, p double")
+    assert fp_model.auc(df) == round(expected, 1)
+    monkeypatch.setattr(ordering, "GROUP_ROWS", 3)  # scores in several ranges
+    assert fp_model.auc(df) == round(expected, 1)
+    assert fp_model.auc(df.where("label = 1")) is None

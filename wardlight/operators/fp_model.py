@@ -3,13 +3,14 @@ selection and summary of incidents asked about."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.text import fold, strip
 from wardlight.operators.relevance import containment_gold
-from wardlight.plans.ordering import top_per_group
+from wardlight.plans.ordering import numbered, top_per_group
 from wardlight.plans.session import materialise
 from wardlight.plans.sizing import broadcast_if_small, small_values
 from wardlight.plans.skew import salted_join
@@ -35,6 +36,7 @@ RECENT = 200
 # how Spark says that a path does not exist
 NOTHING_THERE = ("PATH_NOT_FOUND", "Input path does not exist", "Path does not exist")
 LISTED_VALUES = 1_000
+MODEL_ROWS = 100_000  # weights of a model
 
 
 def severity_level(severity: Column) -> Column:
@@ -44,16 +46,13 @@ def severity_level(severity: Column) -> Column:
 
 def fp_features(inc: DataFrame, ast: DataFrame) -> DataFrame:
     """Incidents with the profile of their asset, binary label and ordinal
-    severity; incidents of unknown assets stay."""
+    severity; incidents of unknown assets stay. A stream cannot be looked at ahead for
+    hot assets: it is joined batch by batch (:func:`wardlight.streaming.scoring.stream_score`)."""
+    if inc.isStreaming:
+        raise ValueError("join a stream batch by batch")
     profile = ast.select("asset_id", "environment", "criticality", "os", "internet_exposed")
-    # a stream cannot be counted ahead; its micro-batches are small
-    joined = (
-        inc.join(profile, "asset_id", "left")
-        if inc.isStreaming
-        else salted_join(inc, profile, ["asset_id"], "left")
-    )
     return (
-        joined.withColumn("label", (F.lower(strip(F.col("false_positive"))) == "yes").cast("int"))
+        salted_join(inc, profile, ["asset_id"], "left").withColumn("label", (F.lower(strip(F.col("false_positive"))) == "yes").cast("int"))
         .withColumn("severity_level", severity_level(F.col("severity")))
     )
 
@@ -134,10 +133,86 @@ def fit_fp(train: DataFrame) -> PipelineModel:
     return fp_stages(train.count()).fit(train)
 
 
+@dataclass
+class LinearModel:
+    """A fitted model as a table: (feature, value, weight), with a null value for whatever
+    value of a category the fit did not see, or null; numbers and the intercept have
+    no value either. It scores by a column expression, in any engine that can read the table."""
+
+    rows: list[tuple[str, str | None, float]]
+
+    @classmethod
+    def of(cls, fitted: PipelineModel, categories: list[str] = CATEGORIES, numbers: tuple[str, ...] = ("severity_level",)):
+        index, _, _, regression = fitted.stages
+        weights = iter(regression.coefficients.toArray().tolist())
+        rows = [("intercept", None, float(regression.intercept))]
+        rows += [(n, None, next(weights)) for n in numbers]
+        for category, labels in zip(categories, index.labelsArray):
+            rows += [(category, value, next(weights)) for value in [*labels, None]]
+        return cls(rows)
+
+    @classmethod
+    def read(cls, table: DataFrame) -> LinearModel:
+        found = small_values(table.select("feature", "value", "weight"), MODEL_ROWS)
+        if found is None:
+            raise ValueError(f"a model has at most {MODEL_ROWS} weights")
+        return cls([tuple(r) for r in found])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "feature string, value string, weight double")
+
+    def score(self) -> Column:
+        """The linear predictor."""
+        known: dict[str, list] = {}
+        out = F.lit(0.0)
+        for feature, value, weight in self.rows:
+            if value is not None:
+                known.setdefault(feature, []).extend([F.lit(value), F.lit(weight)])
+        for feature, value, weight in self.rows:
+            if value is not None:
+                continue
+            if feature == "intercept":
+                out += F.lit(weight)
+            elif feature in known:
+                found = F.try_element_at(F.create_map(*known.pop(feature)), F.col(feature))
+                out += F.coalesce(found, F.lit(weight))
+            else:
+                out += F.lit(weight) * F.col(feature)
+        for feature, pairs in known.items():  # without a weight for other values: nothing
+            out += F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(feature)), F.lit(0.0))
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``p``."""
+        return df.withColumn("p", 1.0 / (1.0 + F.exp(-self.score())))
+
+
 def probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("p", vector_to_array("probability").getItem(1))
 
 
+def scored_by(model: PipelineModel | LinearModel, df: DataFrame) -> DataFrame:
+    """``df`` with ``p``, the probability of a false positive."""
+    return model.transform(df) if isinstance(model, LinearModel) else probability(model.transform(df))
+
+
+def fit_gaps(train: DataFrame, model: LinearModel, categories: list[str] = CATEGORIES) -> DataFrame:
+    """Per value of each category: rows, false positives, and how far the fit is from its optimum
+    (the slope of its objective along that value's weight, per row; zero at the optimum)."""
+    n = train.count()
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in categories])
+    sums = (
+        model.transform(train).select(F.explode(cells).alias("_c"), "label", "p")
+        .groupBy("_c.feature", "_c.value")
+        .agg(F.count("*").alias("n_rows"), F.sum("label").alias("n_positive"), F.sum(F.col("p") - F.col("label")).alias("_s"))
+    )
+    weights = F.broadcast(model.table(train.sparkSession).withColumnRenamed("value", "_v"))  # MODEL_ROWS at most
+    same = (sums["feature"] == weights["feature"]) & sums["value"].eqNullSafe(weights["_v"])
+    # the penalty of 1 / n per row on a squared weight
+    slope = (F.col("_s") + F.col("weight")) / n
+    return sums.join(weights, same).select(sums["feature"], "value", "n_rows", "n_positive", slope.alias("slope"))
+
+
 def confusion_metrics(pred: DataFrame) -> DataFrame:
     """Accuracy, precision, recall, F1 (0 when undefined), majority baseline and
     prevalence in percent, from ``label`` and ``prediction`` of 0/1."""
@@ -165,15 +240,37 @@ def confusion_metrics(pred: DataFrame) -> DataFrame:
     return counts.select("n", *[F.round(100 * v, 1).alias(k) for k, v in figures.items()])
 
 
-def auc(pred: DataFrame) -> float:
-    evaluator = BinaryClassificationEvaluator(
-        labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
-    )
-    return round(100 * evaluator.evaluate(pred), 1)
+def auc(pred: DataFrame, score: str = "p") -> float | None:
+    """Area under the curve in percent, from ``label`` and a score: the share of pairs of a positive
+    and a negative row in which the positive one has the higher score, equal scores
+    counting half. None unless both labels occur.
+
+    Rows are counted by score first; the negatives below a score are a running sum over
+    scores, range-partitioned beyond a million of them.
+    """
+    points = pred.groupBy(F.col(score).alias("_at")).agg(
+        F.sum(F.col("label").cast("long")).alias("_yes"), F.sum(1 - F.col("label").cast("long")).alias("_no")
+    ).withColumn("_all", F.lit(0))
+    ordered = numbered(points, ["_all"], ["_at"], "_n", {"_upto": "_no"})
+    won = F.col("_yes") * (F.col("_upto") - F.col("_no") / 2.0)
+    row = ordered.agg(F.sum(won).alias("won"), F.sum("_yes").alias("yes"), F.sum("_no").alias("no")).first()
+    return round(100 * row["won"] / (row["yes"] * row["no"]), 1) if row["yes"] and row["no"] else None
 
 
-def binary_metrics(pred: DataFrame) -> DataFrame:
-    return confusion_metrics(pred).withColumn("auc", F.lit(auc(pred)))
+def binary_metrics(pred: DataFrame, score: str = "p") -> DataFrame:
+    return confusion_metrics(pred).withColumn("auc", F.lit(auc(pred, score)).cast("double"))
+
+
+def fold_f1(pred: DataFrame) -> DataFrame:
+    """Per fold of ``label`` and ``prediction``: rows and F1 of the positive class in percent
+    (0 when undefined)."""
+    yes, said = F.col("label") == 1, F.col("prediction") == 1
+    return pred.groupBy("fold").agg(
+        F.count("*").alias("n"),
+        F.round(
+            100 * F.coalesce(F.try_divide(2.0 * F.count_if(yes & said), F.count_if(yes) + F.count_if(said)), F.lit(0.0)), 1
+        ).alias("f1"),
+    )
 
 
 def stratified_folds(df: DataFrame, label: str, row_id: str, folds: int, seed: int = SEED) -> DataFrame:
@@ -186,7 +283,8 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, folds: int, seed: i
     whole = F.sum("_n").over(Window.partitionBy("_label"))
     placed = counts.select("_label", "_r", F.floor((upto - 1) * folds / whole).cast("int").alias("fold"))
     same = drawn[label].eqNullSafe(placed["_label"]) & (drawn["_range"] == placed["_r"])
-    return drawn.join(placed, same).select(*df.columns, "fold")
+    # 65,536 ranges for each of a few labels
+    return drawn.join(broadcast_if_small(placed), same).select(*df.columns, "fold")
 
 
 def cross_validate(train: DataFrame, row_id: str, folds: int = 5, seed: int = SEED) -> float:
@@ -248,10 +346,12 @@ def scored_columns(p: Column, threshold: float) -> list[Column]:
     ]
 
 
-def score_fp(model: PipelineModel, df: DataFrame, threshold: float, keep: tuple = ()) -> DataFrame:
+def score_fp(
+    model: PipelineModel | LinearModel, df: DataFrame, threshold: float, keep: tuple = ()
+) -> DataFrame:
     """Probability of a false positive per incident, class by the prevalence
     threshold, confidence."""
-    scored = probability(model.transform(df))
+    scored = scored_by(model, df)
     return scored.select("incident_id", *keep, *scored_columns(F.col("p"), threshold))
 
 
@@ -269,11 +369,13 @@ def match_filters(questions: DataFrame, profile: DataFrame) -> DataFrame:
     out = questions.withColumn("_folded", fold(F.col("question")))
     for field in FILTER_FIELDS:
         values = profile.where(F.col(field).isNotNull()).select(field).distinct()
-        listed = small_values(values, LISTED_VALUES)
+        listed = small_values(values.withColumn("_f", fold(F.col(field))), LISTED_VALUES)
         if listed is not None:
-            words = F.array(*[F.lit(r[0]) for r in sorted(listed)]).cast("array<string>")
-            named = F.filter(words, lambda v: F.contains(F.col("_folded"), fold(v)))
-            out = out.withColumn(field, named)
+            words = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(f).alias("f")) for v, f in sorted(listed)]).cast(
+                "array<struct<v: string, f: string>>"
+            )
+            named = F.filter(words, lambda w: F.contains(F.col("_folded"), w["f"]))
+            out = out.withColumn(field, F.transform(named, lambda w: w["v"]))
         else:
             out = _match_many(out, values, field)
     folded = F.col("_folded")
@@ -440,16 +542,21 @@ def best_model(metrics: DataFrame) -> DataFrame:
     ).select("_b.*")
 
 
-def save_model(model: PipelineModel, metrics: DataFrame, path: str) -> None:
-    model.write().overwrite().save(f"{path}/model")
+def save_model(model: LinearModel, metrics: DataFrame, path: str) -> None:
+    """The model's table and its metrics, as Parquet and JSON."""
+    model.table(metrics.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
     metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
 
 
-def load_or_fit(spark: SparkSession, path: str, frame: DataFrame) -> tuple[PipelineModel, DataFrame]:
+def load_model(spark: SparkSession, path: str) -> LinearModel:
+    return LinearModel.read(spark.read.parquet(f"{path}/model"))
+
+
+def load_or_fit(spark: SparkSession, path: str, frame: DataFrame) -> tuple[LinearModel, DataFrame]:
     """The saved model with its metrics; a new one, fitted on ``frame`` and saved, when
     nothing is there. Any other failure to load is the caller's to see."""
     try:
-        return PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/metrics")
+        return load_model(spark, path), spark.read.json(f"{path}/metrics")
     except (PySparkException, Py4JJavaError) as failed:
         if not any(mark in str(failed) for mark in NOTHING_THERE):
             raise
@@ -458,22 +565,27 @@ def load_or_fit(spark: SparkSession, path: str, frame: DataFrame) -> tuple[Pipel
     return model, metrics
 
 
-def train_fp(frame: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    """Split, fit, measure on the held-out part; the ceiling and the threshold
-    (prevalence) come from all rows."""
+def train_fp(frame: DataFrame) -> tuple[LinearModel, DataFrame]:
+    """Split, fit, measure on the held-out part; the ceiling, the threshold
+    (prevalence) and the numbers of rows come from all rows. The features are written once
+    for all passes over them."""
     parts = materialise(stratified_split(frame, "label", "incident_id"))
-    train = parts.where(F.col("part") == "train").cache()
-    test = parts.where(F.col("part") == "test")
-    model = fit_fp(train)
-    whole = frame.agg(F.round(F.avg("label"), 3).alias("threshold")).first()
-    ceiling = bayes_ceiling(frame, "severity").first()
-    metrics = binary_metrics(model.transform(test)).select(
+    train, test = (parts.where(F.col("part") == part) for part in ("train", "test"))
+    fitted = fit_fp(train)
+    whole = parts.agg(
+        F.avg("label").alias("share"), F.count("*").alias("n"), F.count_if(F.col("part") == "train").alias("n_train")
+    ).first()
+    ceiling = bayes_ceiling(parts, "severity").first()
+    metrics = binary_metrics(probability(fitted.transform(test))).select(
         F.lit("LogisticRegression").alias("model"),
+        F.lit(whole["n"]).alias("n_total"),
+        F.lit(whole["n_train"]).alias("n_train"),
+        F.col("n").alias("n_test"),
+        F.lit(round(100 * whole["share"], 1)).alias("fp_pct"),
         "*",
         F.lit(cross_validate(train, "incident_id")).alias("cv_f1"),
-        F.lit(whole["threshold"]).alias("threshold"),
+        F.lit(round(whole["share"], 3)).alias("threshold"),
         F.lit(ceiling["ceiling_accuracy"]).alias("ceiling_accuracy"),
         F.lit(ceiling["ceiling_auc"]).alias("ceiling_auc"),
-    )
-    train.unpersist()
-    return model, metrics
+    ).drop("n")
+    return LinearModel.of(fitted), metrics

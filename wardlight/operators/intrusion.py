@@ -8,7 +8,7 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.operators.fp_model import SEED, binary_metrics
+from wardlight.operators.fp_model import SEED, binary_metrics, probability
 from wardlight.sources.kdd import CATEGORIES, NUMBERS
 
 MODELS = {"logistic": "LogisticRegression", "boosting": "GBTClassifier"}
@@ -46,13 +46,16 @@ def fit_kdd(train: DataFrame, model: str = "logistic", trees: int = 200) -> Pipe
 
 
 def evaluate_kdd(fitted: PipelineModel, train: DataFrame, test: DataFrame, model: str) -> DataFrame:
-    pred = fitted.transform(test).withColumnRenamed("attack", "label_").drop("label").withColumnRenamed(
-        "label_", "label"
-    )
+    return measured_kdd(probability(fitted.transform(test)), train, model)
+
+
+def measured_kdd(pred: DataFrame, train: DataFrame, model: str) -> DataFrame:
+    """The report row of test rows with ``attack``, ``prediction`` and the score ``p``."""
+    pred = pred.drop("label").withColumnRenamed("attack", "label")
     seen = train.agg(F.count("*").alias("n"), F.avg("attack").alias("share")).first()
     return binary_metrics(pred).select(
         F.lit(MODELS[model]).alias("model"),
-        F.lit(seen["n"]).alias("n_train"),
+        F.lit(seen["n"]).cast("long").alias("n_train"),
         F.col("n").alias("n_test"),
         F.lit(round(100 * seen["share"], 1)).alias("train_attack_pct"),
         F.col("prevalence").alias("test_attack_pct"),
