@@ -10,7 +10,7 @@ from wardlight.checks import all_queries, all_sql
 # the optional queries have tests of their own
 OWN = all_queries()
 SQL = all_sql()
-SLOW = {"ml_05_cross_validate", "ml_11_kdd_boosting", "ml_12_load_or_fit"}  # run at the end of test_model
+SLOW = {"ml_05_cross_validate", "ml_11_kdd_boosting", "ml_12_fit_then_load"}  # run at the end of test_model
 
 
 @pytest.fixture(scope="module")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import io
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from wardlight.functions.text import comparable
 from wardlight.operators.audit import OK, clean_statement, read_only_verdict
 
+
 class BlockedSQLError(ValueError):
     """The statement is not a single read-only SELECT."""
 
@@ -32,32 +31,58 @@ def run_select(
     """Run one SELECT/WITH over the given tables; all rows unless ``max_rows`` is given.
 
     Besides the words checked in the text, file paths as tables are switched off for
-    the call, and every relation of the plan must be one of ``tables`` or a name
-    the statement defines itself.
+    the call, and every relation of the analysed plan must be one of ``tables`` or a name
+    the statement defines itself. The session's own views are left as they were.
     """
     text = check_select(spark, sql)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
     before = spark.conf.get("spark.sql.runSQLOnFiles")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        found = spark.sql(text)
-        found.schema  # analysed while files are off
+        with _as_views(spark, tables):
+            found = spark.sql(text)
+            found.schema  # analysed while files are off and the tables are there
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", before)
-    known = {f"view (`{n.lower()}`" for n in tables}.union(*(_relations(df) for df in tables.values()))
-    if unknown := _relations(found) - known:
-        raise BlockedSQLError(f"unknown table {sorted(unknown)[0]}")
+    given = {name.lower() for name in tables}
+    if unknown := sorted(_other_relations(found._jdf.queryExecution().analyzed(), given)):
+        raise BlockedSQLError(f"unknown table {unknown[0]}")
     return found if max_rows is None else found.limit(max_rows)
 
 
-def _relations(df: DataFrame) -> set[str]:
-    """Views and stored relations in the analysed plan, as Spark explains it."""
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain("extended")
-    plan = out.getvalue().partition("== Analyzed Logical Plan ==")[2].partition("== Optimized")[0].lower()
-    return set(re.findall(r"view \(`[^`]+`|relation [\w.`]+(?=\[)", plan))
+@contextlib.contextmanager
+def _as_views(spark: SparkSession, tables: dict[str, DataFrame]):
+    """The tables as session views while a statement is analysed; views of the caller with
+    the same names are there again afterwards, other names are gone."""
+    held = spark._jsparkSession.sessionState().catalog()
+    own = {name: spark.table(name) for name in tables if held.getTempView(name).isDefined()}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        yield
+    finally:
+        for name in tables:
+            if name in own:
+                own[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+# leaves of a plan that read no table
+NO_TABLE = {"OneRowRelation", "LocalRelation", "CTERelationRef", "Range"}
+
+
+def _other_relations(plan, given: set[str]) -> set[str]:
+    """Names of what an analysed plan reads besides the given views, subqueries included."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "View" and plan.isTempView() and plan.desc().identifier().table().lower() in given:
+        return set()
+    below = [seq.apply(i) for seq in (plan.children(), plan.subqueries()) for i in range(seq.size())]
+    if not below and kind not in NO_TABLE:
+        return {plan.simpleString(1).lower()}
+    found = set().union(*(_other_relations(p, given) for p in below))
+    if kind == "View" and found:
+        return {plan.desc().identifier().table().lower()}
+    return found
 
 
 def cells(df: DataFrame) -> DataFrame:
