@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import SMALL
@@ -307,3 +308,30 @@ def test_rows_without_id_or_of_one_id_spread(llm, name):
         assert "MapInArrow uncut" in plan or "MapInArrow untouched" in plan
     else:
         assert "xxhash64(doc_id" in plan and "text" in plan.split("xxhash64(doc_id")[1].split("42")[0]
+
+
+def test_line_index_keeps_columns_of_any_name(llm, odd, odd_rows):
+    rows = odd.withColumns({"__part": F.lit("mine"), "c0": F.lit(7), "key2": F.lit(None).cast("int")})
+    out = lines.LineIndex.build(rows).clean(rows)
+    assert out.columns == rows.columns
+    got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
+    assert got == sorted(((k, t) for k, _, _, t in brute.line_dedup(odd_rows)), key=str)
+    assert {(r["__part"], r.c0, r.key2) for r in out.collect()} == {("mine", 7, None)}
+
+
+def test_nearest_with_a_query_id_given_many_times(llm):
+    """The query's own rows are its closest ones and take no part."""
+    rng = np.random.default_rng(3)
+    own = [(0, [5.0 + 0.01 * i, 5.0]) for i in range(40)]
+    others = [(i, [float(x) for x in rng.normal(size=2)]) for i in range(1, 90)]
+    df = llm.createDataFrame(own + others, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in nearest.top_k(df, 5, 1000).collect()]
+    query = min(np.floor(np.array(v) * 64).astype(int).tolist() for _, v in own)
+    scores = sorted((-int(np.dot(query, np.floor(np.array(v) * 64).astype(int))), i) for i, v in others)[:5]
+    assert sorted(got) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
+def test_quality_fits_the_same_rows_in_both_ways(llm):
+    docs, labels = (llm.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    good = {r.doc_id for r in quality.scored(docs, labels).where("predicted = 1").collect()}
+    assert {r.doc_id for r in quality.accepted(docs, labels).collect()} == good

@@ -141,9 +141,11 @@ def levels(parcels: DataFrame, words: int, buckets: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         planes = [np.frombuffer(k, np.uint8).reshape(3, -1).astype(np.uint32) for k in table.column("keys").to_pylist()]
         keys = [(p[0] << 16) | (p[1] << 8) | p[2] for p in planes]
-        total = np.zeros(1 << KEY_BITS, np.int32)
+        total = np.zeros(1 << KEY_BITS, np.uint32)
         for k, n in zip(keys, table.column("n").to_pylist()):
-            total[k] += np.frombuffer(n, np.uint16)  # keys of a part are distinct
+            more = total[k] + np.frombuffer(n, np.uint16)  # keys of a part are distinct
+            # counts stay at the largest number, which has the highest level, instead of starting afresh
+            total[k] = np.where(more < total[k], np.uint32(0xFFFFFFFF), more)
 
         def level(k: np.ndarray) -> np.ndarray:
             return np.ceil(8 * np.log2(np.maximum(total[k], 1))).clip(0, 255).astype(np.uint8)

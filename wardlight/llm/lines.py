@@ -228,26 +228,27 @@ class LineIndex:
         the columns ``n_lines`` (before) and ``n_dropped`` are added."""
         parts = parts_for(total_bytes(docs), PART_BYTES)
         gone = self.dropped().withColumn("__part", part_of("doc_id", parts))
-        rows = docs.withColumn("__part", part_of("doc_id", parts))
+        # columns by place, so that no name of the table can be one of the names used here
         names, min_length = docs.columns, self.min_length
-        schema = T.StructType(list(docs.schema.fields))
+        key, at = f"c{names.index('doc_id')}", names.index("text")
+        rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+        schema = T.StructType(list(rows.schema.fields))
         if counts:
             schema = schema.add("n_lines", "long").add("n_dropped", "long")
 
         def cut(table: pa.Table, drops: pa.Table) -> pa.Table:
             drop: dict[int, set[bytes]] = {}
-            for doc, key in zip(drops.column("doc_id").to_pylist(), drops.column("key").to_pylist()):
-                drop.setdefault(doc, set()).add(key)
+            for doc, line in zip(drops.column("doc_id").to_pylist(), drops.column("key").to_pylist()):
+                drop.setdefault(doc, set()).add(line)
             out, n_lines, n_dropped = [], [], []
-            for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+            for doc, text in zip(table.column(key).to_pylist(), table.column(at).to_pylist()):
                 lines = (text or "").split("\n")
                 bad = drop.get(doc)
                 kept = [x for x in lines if key_digest(x, min_length) not in bad] if bad else lines
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
                 out.append("\n".join(kept) if len(kept) < len(lines) else text)
-            at = names.index("text")
-            table = table.select(names).set_column(at, "text", pa.array(out, pa.string()))
+            table = table.select(range(len(names))).set_column(at, f"c{at}", pa.array(out, pa.string()))
             if counts:
                 table = table.append_column("n_lines", pa.array(n_lines, pa.int64()))
                 table = table.append_column("n_dropped", pa.array(n_dropped, pa.int64()))
@@ -259,8 +260,11 @@ class LineIndex:
                 yield from cut(pa.Table.from_batches([batch]), none).to_batches()
 
         # rows without an id lose no lines; they stay out of the groups, where all would meet in one
-        named = rows.where("doc_id IS NOT NULL").groupBy("__part").cogroup(gone.groupBy("__part"))
-        return named.applyInArrow(cut, schema).unionByName(docs.where("doc_id IS NULL").mapInArrow(uncut, schema))
+        named = rows.where(f"{key} IS NOT NULL").withColumn("__part", part_of(key, parts))
+        done = named.groupBy("__part").cogroup(gone.groupBy("__part")).applyInArrow(cut, schema).unionByName(
+            rows.where(f"{key} IS NULL").mapInArrow(uncut, schema)
+        )
+        return done.toDF(*names, *schema.names[len(names) :])
 
 
 def _blocked(refs: DataFrame, min_docs: int) -> DataFrame:

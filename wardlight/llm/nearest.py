@@ -72,14 +72,15 @@ def bounds(a: np.ndarray, b: np.ndarray, radius_a: np.ndarray, radius_b: np.ndar
     return dot - slack, dot + slack
 
 
-def needed(q_pivots, q_radius, q_size, pivots, radius, size, k: int) -> list[tuple[int, int]]:
-    """Pairs of a query group and a data group that may hold one of the k best."""
+def needed(q_pivots, q_radius, q_size, pivots, radius, size, k: int, own: int = 1) -> list[tuple[int, int]]:
+    """Pairs of a query group and a data group that may hold one of the k best; up to ``own``
+    vectors may have the query's id, and do not count."""
     low, high = bounds(q_pivots, pivots, q_radius, radius)
     pairs = []
     for a in np.flatnonzero(q_size):
         best = np.argsort(-low[a], kind="stable")
         best = best[size[best] > 0]
-        enough = np.cumsum(size[best]) >= k + 1  # one of them may be the query itself
+        enough = np.cumsum(size[best]) >= k + own
         floor = low[a][best[int(enough.argmax())]] if enough.any() else -np.inf
         # bounds are floats, products integers: half a unit and a relative margin are on the safe side
         margin = 0.5 + 1e-9 * (np.abs(low[a]).max() + np.abs(high[a]).max())
@@ -99,7 +100,9 @@ def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vec_co
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by
     ``every`` the ``k`` other rows with the highest inner product of the scaled
     vectors, ties to the smaller id. Rows of one query id are one query (the
-    smallest vector); candidates are all rows of other ids, repeated ones too."""
+    smallest vector); candidates are all rows of other ids, repeated ones too.
+    Vectors that are shorter than the longest count as filled with zeros. Components and products are 64-bit
+    integers: a component beyond them is held at their end, and inner products must stay within."""
     spark = vectors.sparkSession
     rows = written(scaled(vectors, id_col, vec_col), "nearest-rows")
     shape = rows.agg(F.count("*"), F.max(F.size("v")), F.count(F.when(F.col("id") % every == 0, 1))).first()
@@ -139,15 +142,21 @@ def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vec_co
 
     size, radius = summary(grouped, "g", "far", pivots)
     query_n, query_r = summary(grouped.where(query), "qg", "q_far", q_pivots)
-    pairs = needed(q_pivots, query_r, query_n, pivots, radius, size, k)
-    # groups are cut into slices of bounded size, so that a group with a third of all rows fills many cells
-    cells = [
-        (a, s, b, t)
-        for a, b in pairs
-        for s in range(parts_for(int(query_n[a]), GROUP_QUERIES))
-        for t in range(parts_for(int(size[b]), SLICE_ROWS))
-    ]
-    plan = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "cell int, a int, s int, b int, t int")
+    own = grouped.where(query).groupBy("id").count().agg(F.max("count")).first()[0]
+    pairs = needed(q_pivots, query_r, query_n, pivots, radius, size, k, own)
+    # groups are cut into slices of bounded size, so that a group with a third of all rows fills many cells; the
+    # driver has a row per pair of groups, slices are made from these in Spark
+    cut, base = [], 0
+    for a, b in pairs:
+        n_s, n_t = parts_for(int(query_n[a]), GROUP_QUERIES), parts_for(int(size[b]), SLICE_ROWS)
+        cut.append((a, b, n_s, n_t, base))
+        base += n_s * n_t
+    plan = (
+        spark.createDataFrame(cut, "a int, b int, n_s int, n_t int, base long")
+        .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_s") - 1)))
+        .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_t") - 1)))
+        .select((F.col("base") + F.col("s").cast("long") * F.col("n_t") + F.col("t")).alias("cell"), "a", "s", "b", "t")
+    )
     q_slices = F.lit([parts_for(int(x), GROUP_QUERIES) for x in query_n])[F.col("qg")]
     d_slices = F.lit([parts_for(int(x), SLICE_ROWS) for x in size])[F.col("g")]
     spot = F.xxhash64("id", F.lit(3))
