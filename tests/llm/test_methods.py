@@ -153,29 +153,53 @@ def test_divide_skip(sets):
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     w = {n: x.astype(np.float64) for n, x in language.first_weights().items()}
+    after = rng.normal(size=(language.ROWS, language.CLASSES))
     rows, target = rng.integers(0, 50, (3, 9)), rng.integers(0, language.CLASSES, (3, 9))
     seen = rng.random((3, 9)) < 0.8
-    _, g = language.gradients(w, rows, target, seen)
+    _, g = language.gradients(w, rows, target, seen, after)
     for name in w:
         spot = tuple(rng.integers(0, s) for s in w[name].shape) if name != "e" else (int(rows[0, 0]), 3)
         if name == "p":
             spot = (2, 3)
         keep, step = w[name][spot], 1e-4
         w[name][spot] = keep + step
-        up, _ = language.gradients(w, rows, target, seen)
+        up, _ = language.gradients(w, rows, target, seen, after)
         w[name][spot] = keep - step
-        down, _ = language.gradients(w, rows, target, seen)
+        down, _ = language.gradients(w, rows, target, seen, after)
         w[name][spot] = keep
         assert abs((up - down) / (2 * step) - g[name][spot]) < 1e-3
 
 
+def some_model(rng, size=3000):
+    counts = rng.integers(0, 50, size).astype(np.float32)
+    row, own = language.ranked_rows(counts)
+    klass, inside = language.classes_of(counts, own, rng.integers(0, 9, (size, language.OWN_CLASSES)).astype(float))
+    after = language.following(rng.integers(0, 9, (language.ROWS, language.CLASSES)).astype(float))
+    weights = {n: x + 0.1 * rng.normal(size=x.shape).astype(np.float32) for n, x in language.first_weights().items()}
+    return language.Model(weights, language.Tables(row, klass, inside, after))
+
+
+def test_classes_and_tables_are_distributions():
+    model = some_model(np.random.default_rng(2))
+    t = model.tables
+    assert np.allclose(np.bincount(t.klass, np.exp(t.inside), language.CLASSES)[np.unique(t.klass)], 1, atol=1e-3)
+    assert np.allclose(np.exp(t.after).sum(axis=1), 1, atol=1e-4)
+    assert (np.bincount(t.klass[:], minlength=language.CLASSES)[: language.OWN_CLASSES] == 1).all()
+
+
+def test_companies_part_subwords_of_different_texts():
+    """Subwords that stand among the same frequent ones are in one company."""
+    rng = np.random.default_rng(6)
+    near = np.zeros((400, language.OWN_CLASSES))
+    near[:200, :16] = rng.poisson(30, (200, 16))
+    near[200:, 16:] = rng.poisson(30, (200, 16))
+    group = language.companies(near, np.full(400, 10.0), np.arange(400))
+    assert not {*group[:200]} & {*group[200:]}
+
+
 def test_each_subword_scored_once_and_causally():
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 50, 3000).astype(np.float32)
-    model = language.Model(language.first_weights(), *language.tables(counts))
-    share = np.zeros(3000)
-    np.add.at(share, np.arange(3000), np.exp(model.inside))
-    assert np.allclose(np.bincount(model.klass, np.exp(model.inside)), 1, atol=1e-3)
+    model = some_model(rng)
     ids = rng.integers(0, 3000, 150).astype(np.int32)
     at = np.array([0, 0, 7, 7, 150])
     got = language.score_subwords(model, ids, at, 2998)
@@ -186,6 +210,85 @@ def test_each_subword_scored_once_and_causally():
     assert np.allclose(got[:7], short, atol=1e-5)  # texts do not see each other
 
 
+def plain_scores(model, ids, start):
+    """One place at a time: attention over the subwords from the window's start to this place."""
+    w, t = {n: x.astype(float) for n, x in model.weights.items()}, model.tables
+    before = [start, *ids[:-1]]
+    stride = language.WINDOW - language.OVERLAP
+    out = []
+    for i, x in enumerate(ids):
+        k = 0 if i < language.WINDOW else (i - language.OVERLAP) // stride
+        places = range(k * stride, i + 1)
+        rows = [t.row[before[j]] for j in places]
+        inputs = [w["e"][r] + w["p"][j - k * stride] for r, j in zip(rows, places)]
+        q, keys, values = inputs[-1] @ w["qkv"][:, :16], [y @ w["qkv"][:, 16:32] for y in inputs], [y @ w["qkv"][:, 32:] for y in inputs]
+        a = np.exp([np.clip(q @ y / 4, -30, 30) for y in keys])
+        z = sum(p * v for p, v in zip(a / a.sum(), values)) + inputs[-1]
+        s = z @ w["o"] + w["b"] + t.after[rows[-1]]
+        out.append(s[t.klass[x]] - np.log(np.exp(s).sum()) + t.inside[x])
+    return np.array(out)
+
+
+def test_scores_against_one_place_at_a_time():
+    rng = np.random.default_rng(4)
+    model = some_model(rng)
+    for n in (1, language.WINDOW, language.WINDOW + 1, 200):
+        ids = rng.integers(0, 3000, n).astype(np.int32)
+        got = language.score_subwords(model, ids, np.array([0, n]), 2998)
+        assert np.allclose(got, plain_scores(model, ids, 2998), atol=1e-3)
+
+
+def test_mixture_follows_the_better_side():
+    counts = np.repeat([0, 40], 500)
+    counted = np.where(counts, -2.0, -6.0)
+    weight = language.mixture(counted, np.where(counts, -6.0, -2.0), counts)[language._ranges_of(np.array([0, 40]))]
+    assert weight[0] < 0.05 and weight[1] > 0.95
+    assert np.allclose(language.mixture(counted[:0], counted[:0], counts[:0]), 0.5)
+
+
+def test_scores_of_a_part_against_plain_arithmetic():
+    """Words' own products of subwords, mixture weights by plain steps, sums over each text."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    encode = language.subwords()
+    size = encode.size + 2
+    model = some_model(rng, size)
+    words = [f"word{'abcdefgh'[i % 8]}{i}" for i in range(25)]
+    ids = [i if i else None for i in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in ids]
+    part = language.Part.spelled(ids, pa.array(texts), encode, 1)
+    got = language.score_part(model, part, part.n.astype(np.int64), 500, 26, size)
+    c = {"": sum(not language.held_out(d) for d in ids)}
+    for d, text in zip(ids, texts):
+        for x in text.split():
+            c[x] = c.get(x, 0) + (not language.held_out(d))
+    rows = []
+    for d, text in zip(ids, texts):
+        tokens = [*text.split(), ""]
+        subs = [encode.many([x])[0] if x else np.array([size - 1]) for x in tokens]
+        logs = plain_scores(model, np.concatenate(subs), size - 2) / np.log(10)
+        ends = np.cumsum([len(s) for s in subs])
+        rows.append((d, tokens, [logs[e - len(s) : e].sum() for s, e in zip(subs, ends)]))
+    kind = lambda n: min(max(n, 0).bit_length(), language.MIXED - 1)
+    seen = [
+        (c[x] - tokens.count(x), s) for d, tokens, spell in rows if language.fold(d) == language.KEPT_FOLD
+        for x, s in zip(tokens, spell)
+    ]
+    weight = dict.fromkeys(range(language.MIXED), 0.5)
+    for _ in range(language.MIXED_STEPS):
+        shares = {k: [] for k in weight}
+        for n, s in seen:
+            w, p = weight[kind(n)], (n + 1) / 527
+            shares[kind(n)].append(w * p / (w * p + (1 - w) * 10**s))
+        weight = {k: (sum(v) + 5) / (len(v) + 10) for k, v in shares.items()}
+    expected = [
+        sum(np.log10(weight[kind(c[x])] * (c[x] + 1) / 527 + (1 - weight[kind(c[x])]) * 10**s) for x, s in zip(tokens, spell))
+        for _, tokens, spell in rows
+    ]
+    assert np.allclose(got["score"], expected, atol=1e-2)
+
+
 def test_subword_ids_equal_the_library():
     from tokenizers import Tokenizer
 
@@ -325,7 +428,8 @@ def test_windows_hold_every_subword_once():
     found = language.cut_windows(subs, at, 999)
     assert found.shape[1] == language.WINDOW + 1
     assert found[:, 1:][found[:, 1:] >= 0].tolist() == subs.tolist()
-    assert (found[:, 0] == 999).sum() == 5 and found[-1, 0] == subs[at[-2] + 4 * language.WINDOW - 1]
+    whole = (at[-1] - at[-2] - 1) // language.WINDOW  # windows of the last text before its last one
+    assert (found[:, 0] == 999).sum() == 5 and found[-1, 0] == subs[at[-2] + whole * language.WINDOW - 1]
     assert not len(language.cut_windows(subs[:0], np.zeros(1, np.int64), 999))
 
 

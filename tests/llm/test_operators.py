@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import SMALL
+from wardlight.llm.common import written
 from wardlight.llm import (
     components, decontaminate, jaccard, language, lines, nearest, packing, pii, quality, queries, repeats, suffix_array,
     suffix_trees,
@@ -42,14 +43,28 @@ def test_language(odd, odd_rows, none):
     expected = sorted(brute.language(odd_rows), key=lambda r: (str(r[0]), r[2], r[5]))
     assert [tuple(r[:5]) for r in got] == [r[:5] for r in expected]
     assert np.allclose([r[5] for r in got], [r[5] for r in expected])
-    floor = np.log10(language.COUNTED)
+    floor = np.log10(language.LEAST_WEIGHT)
     assert all(np.isfinite(r[6]) and r[6] >= r[5] + r[2] * floor - 1e-6 for r in got)
     assert language.scored(none).count() == 0
 
 
 def test_language_beats_counts_on_held_out(llm):
-    got = language.scored(llm.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
-    assert got.score.sum() > got.base_score.sum()
+    """By far more than a mixture with the counts could lose; and what attention adds to the table of
+    following classes, alone, beats that table and the subwords' own frequencies."""
+    docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.scored(docs).where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum() + 0.05 * got.n_tokens.sum()
+    encode = language.subwords()
+    size = encode.size + 2
+    spelled = language.spelled_parts(docs.select("doc_id", "text"), language.vocabulary_path(), 1, 1)
+    model = language.train(spelled, size, 1)
+    (_, part), = language.Part.rows(spelled.toArrow())
+    subs, where, at = part.subs(np.flatnonzero(part.folds == language.HELD_FOLD))
+    alone = language.score_subwords(model, subs, where[at], size - 2).sum()
+    still = language.Model({n: 0 * w for n, w in model.weights.items()}, model.tables)
+    counts = np.bincount(part.flat, np.repeat(part.n, part.length), size) + 0.5
+    assert alone > language.score_subwords(still, subs, where[at], size - 2).sum() + 0.02 * len(subs)
+    assert alone > np.log(counts / counts.sum())[subs].sum() + 0.3 * len(subs)
 
 
 def components_of(odd_rows):
@@ -261,19 +276,41 @@ def test_same_as_sql(llm):
         assert not found and n
 
 
-def test_language_trains_on_whole_texts(llm):
-    """What stands anywhere in a long training document is counted, once."""
+def test_language_gathers_from_whole_texts(llm):
+    """What stands anywhere in a long training document is counted, once, however texts are dealt to parts."""
     docs = [(i, " ".join(f"w{i}x{j}" for j in range(900)) + " zebra") for i in range(20)] + [(None, "zebra " * 50)]
-    df = llm.createDataFrame(docs, "doc_id long, text string").repartition(3)
     encode = language.subwords()
-    path = language.vocabulary_path()
-    texts = [t for k, t in docs if not language.held_out(k)]
-    expected = np.bincount(np.concatenate([np.concatenate(encode.many(t.split())) for t in texts]), minlength=encode.size + 2)
-    expected[encode.size] += len(texts)
-    expected[encode.size + 1] += len(texts)
-    model = language.train(df, path, rounds=1)
-    for found, table in zip((model.row, model.klass, model.inside), language.tables(expected.astype(float))):
-        assert np.allclose(found, table)
+    size, begin = encode.size + 2, encode.size
+    sequences = [
+        [x for word in t.split() for x in encode.many([word])[0].tolist()] + [size - 1] for k, t in docs if not language.held_out(k)
+    ]
+    counts = np.bincount(np.concatenate(sequences), minlength=size).astype(float)
+    counts[begin] += len(sequences)
+    row, own = language.ranked_rows(counts)
+    for tasks, part_bytes in ((1, 1 << 20), (3, 20_000)):
+        df = llm.createDataFrame(docs, "doc_id long, text string").repartition(tasks)
+        language_part, language.PART_BYTES = language.PART_BYTES, part_bytes
+        try:
+            spelled = written(language.spelled_parts(df, language.vocabulary_path(), tasks, 3), "spelled")
+        finally:
+            language.PART_BYTES = language_part
+        parts = [p for _, p in language.Part.rows(spelled.toArrow())]
+        assert len(parts) >= (tasks if tasks > 1 else 1) and sum(len(p.ids) for p in parts) == len(docs)
+        found = language.gathered(spelled, size, len(parts))
+        assert (found.row == row).all()
+        near = np.zeros((size, language.OWN_CLASSES))
+        pairs = np.zeros((language.ROWS, language.CLASSES))
+        for s in sequences:
+            for i in range(0, len(s), language.WINDOW):
+                window = np.array(s[i : i + language.WINDOW])
+                near[np.unique(window)] += 0  # every subword of a window gets the window's frequent ones
+                for x in window:
+                    near[x] += np.bincount(own[window][own[window] >= 0], minlength=language.OWN_CLASSES)
+        klass, inside = language.classes_of(counts, own, near)
+        assert (found.klass == klass).all() and np.allclose(found.inside, inside, atol=1e-5)
+        for s in sequences:
+            np.add.at(pairs, (row[[begin, *s[:-1]]], klass[s]), 1)
+        assert np.allclose(found.after, language.following(pairs), atol=1e-4)
 
 
 def test_packing_keeps_markers(llm):
@@ -294,7 +331,7 @@ def test_rows_without_id_or_of_one_id_spread(llm, name):
 
     docs = [(None if i % 2 else 5, f"text {i} " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(200)]
     df = llm.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    if name in ("language", "packing"):
+    if name == "packing":
         n = df.groupBy("doc_id", common.part_of_row(8).alias("p")).count().groupBy("doc_id").count().collect()
         assert [r["count"] for r in n] == [8, 8]
     made = {
@@ -304,7 +341,10 @@ def test_rows_without_id_or_of_one_id_spread(llm, name):
     }[name]()
     assert made.select("doc_id").where("doc_id IS NULL").count() >= 100
     plan = made._jdf.queryExecution().optimizedPlan().toString()
-    if name in ("lines", "repeats"):  # by a map, outside the groups
+    if name == "language":  # parts are made where texts lie, and hold rows of any id
+        parts = language.spelled_parts(df, language.vocabulary_path(), 4, 1).toArrow()
+        assert len({n for n in parts.column("part").to_pylist()}) == 4
+    elif name in ("lines", "repeats"):  # by a map, outside the groups
         assert "MapInArrow uncut" in plan or "MapInArrow untouched" in plan
     else:
         assert "xxhash64(doc_id" in plan and "text" in plan.split("xxhash64(doc_id")[1].split("42")[0]

@@ -59,7 +59,7 @@ def test_registered_once_per_operator():
     from __spark_entry__ import oracle_sql, queries
 
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries() and len(pipeline.STAGES) == 5
     assert {"op5_voronoi_topk", "op9_line_dedup"} <= set(oracle_sql())
 
