@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wardlight.sources.views import KINDS, LOGGED_REQUESTS, SAID_FROM
+from wardlight.sources.views import (
+    COMPOSED_FROM, CONDITION_PIECES, KINDS, LOGGED_REQUESTS, QUESTION_PIECES, SAID_FROM, SOURCE_PIECES, TAIL_PIECES, VERB_PIECES,
+)
 
 
 def _q(text: str) -> str:
@@ -14,6 +16,18 @@ def _slot(which: int) -> str:
     return f"CASE o_orderkey % 8 {arms} ELSE {_q(KINDS[-1][which])} END"
 
 
+def _piece(pieces: list[str], number: str) -> str:
+    """The piece that the number picks, counting from 0."""
+    return f"[{', '.join(map(_q, pieces))}][CAST({number} AS BIGINT) % {len(pieces)} + 1]"
+
+
+_V, _S, _C = len(VERB_PIECES), len(SOURCE_PIECES), len(CONDITION_PIECES)
+_CONDITION = _piece(CONDITION_PIECES, f"event_id // {_V * _S}")
+_COMPOSED = f"""SELECT {COMPOSED_FROM} + event_id, concat_ws(' ', {_piece(QUESTION_PIECES, 'event_id')}, event_type),
+ concat({_piece(VERB_PIECES, 'event_id')}, {_piece(SOURCE_PIECES, f'event_id // {_V}')}, {_CONDITION},
+  CASE WHEN ends_with({_CONDITION}, '= ') THEN concat(chr(39), event_type, chr(39)) ELSE '' END, {_piece(TAIL_PIECES, f'event_id // {_V * _S * _C}')}),
+ CASE WHEN event_id % 3 = 0 THEN 'direto' ELSE 'consultar' END FROM events"""
+
 VIEWS = {
     "asset": """
 SELECT c.c_custkey AS asset_id, c.c_name AS hostname, c.c_mktsegment AS environment, n.n_name AS department,
@@ -91,7 +105,8 @@ FROM events e JOIN (VALUES """
     + f""") AS t(tid, question, sql_text, route) ON e.event_id % {len(LOGGED_REQUESTS)} = t.tid
 UNION ALL SELECT {SAID_FROM} + conv_id * 100 + turn, text,
  concat('SELECT 1 FROM incident i WHERE i.kind = ''', replace(text, '''', ''), ''''),
- CASE WHEN turn % 2 = 0 THEN 'direto' ELSE 'consultar' END FROM conversations""",
+ CASE WHEN turn % 2 = 0 THEN 'direto' ELSE 'consultar' END FROM conversations
+UNION ALL {_COMPOSED}""",
 }
 
 

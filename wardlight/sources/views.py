@@ -64,6 +64,34 @@ LOGGED_REQUESTS = [
     (15, "a script", "SELECT TRANSFORM(kind) USING 'cat' AS kind FROM incident", "consultar"),
 ]
 
+COMPOSED_FROM = 2_000_000_000_000  # query ids of composed requests start here
+
+# Composed requests take one piece of each list, by the digits of the event's number; the last piece of a
+# condition is followed by the event's type as a literal. 11 x 9 x 8 x 7 shapes.
+QUESTION_PIECES = [
+    "qual a taxa de resolvidos", "percentual por ambiente", "show me all", "porcentagem aberta ou fechada",
+    "a proporção de críticos", "how many are open", "chance de falso positivo em phishing", "compare os tipos",
+]
+VERB_PIECES = [
+    "SELECT COUNT(*)", "select severity, count(*) as n", "  SELECT DISTINCT kind",
+    "SELECT 100.0 * SUM(CASE WHEN status = 'Open' AND severity = 'high' THEN 1 ELSE 0 END) / COUNT(*)",
+    "SELECT SUM(CASE WHEN kind = 'ddos' THEN 1 ELSE 0 END) * 1.0 / NULLIF(COUNT(*), 0)",
+    "SELECT SUM(CASE WHEN kind = 'DDoS' AND status = 'open' THEN 1 END) / SUM(CASE WHEN kind = 'DDoS' THEN 1 END)",
+    "WITH late AS (SELECT * FROM incident) SELECT MAX(hours_to_resolve)", "EXPLAIN SELECT 1",
+    "INSERT INTO copied SELECT *", "UPDATE incident SET status = 'open'", "Select avg(cvss), 'drop it'",
+]
+SOURCE_PIECES = [
+    " FROM incident", " FROM incident AS inc", " FROM vulnerability vul", " from asset", " FROM late",
+    " from incident i left join asset a using (asset_id)", " FROM read_csv('calls.csv')", " FROM glob('*') g",
+    " FROM vulnerability LEFT JOIN asset host ON host.asset_id = vulnerability.asset_id",
+]
+CONDITION_PIECES = [
+    "", " WHERE status = 'open'", " WHERE inc.status = 'In Progress' AND inc.kind = ''", " WHERE vul.status = 'Fixd' AND cvss >= 9",
+    " WHERE criticality = 'HIGH' AND internet_exposed = 'Yes'", " WHERE a.environment = 'machinery'",
+    " where host.os = 'os-1' or vulnerability.status = 'In fxi'", " WHERE kind = ",
+]
+TAIL_PIECES = ["", ";", " GROUP BY severity", " ORDER BY 1 DESC LIMIT 10", "; DELETE FROM asset", " ; ", " GROUP BY kind;;"]
+
 
 def _case(column, pairs, otherwise):
     out = None
@@ -276,8 +304,8 @@ class Tables:
     @cached_property
     def query_log(self) -> DataFrame:
         """Logged requests: one per event, a fixed form filled with the event's type and
-        user, and one per turn of the conversations, whose text is the question and a
-        literal of the statement."""
+        user, one per event composed of pieces, and one per turn of the conversations, whose text is the
+        question and a literal of the statement."""
         forms = F.broadcast(  # fixed list above
             self.spark.createDataFrame(
                 LOGGED_REQUESTS, "tid long, question string, sql_text string, route string"
@@ -308,4 +336,23 @@ class Tables:
             ).alias("sql_text"),
             F.when(F.col("turn") % 2 == 0, "direto").otherwise("consultar").alias("route"),
         )
-        return asked.unionByName(said)
+        return asked.unionByName(said).unionByName(self._composed_requests())
+
+    def _composed_requests(self) -> DataFrame:
+        number, left = F.col("event_id"), F.col("event_id")
+        picked = {}
+        for name, pieces in (
+            ("verb", VERB_PIECES), ("source", SOURCE_PIECES), ("condition", CONDITION_PIECES), ("tail", TAIL_PIECES),
+        ):
+            picked[name] = F.get(F.array(*map(F.lit, pieces)), (left % len(pieces)).cast("int"))
+            left = F.floor(left / len(pieces))
+        literal = F.when(
+            picked["condition"].endswith("= "), F.concat(F.lit("'"), "event_type", F.lit("'"))
+        ).otherwise("")
+        question = F.get(F.array(*map(F.lit, QUESTION_PIECES)), (number % len(QUESTION_PIECES)).cast("int"))
+        return self.raw("events").select(
+            (F.lit(COMPOSED_FROM) + number).alias("query_id"),
+            F.concat_ws(" ", question, "event_type").alias("question"),
+            F.concat(picked["verb"], picked["source"], picked["condition"], literal, picked["tail"]).alias("sql_text"),
+            F.when(number % 3 == 0, "direto").otherwise("consultar").alias("route"),
+        )
