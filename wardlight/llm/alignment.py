@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -249,10 +250,10 @@ class PairCounts:
         return pairs[order][first], (np.add.reduceat(counts[order], first) if len(first) else NONE)
 
 
-def alignments(docs: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
-    """``doc_id, n_a, n_b, n_groups, groups, links, pairs, counts``: a row per text with its groups and
-    packed links (first side's id in the upper 16 bits), and rows with a null ``n_a`` that hold the
-    pairs a task has counted."""
+def alignments(docs: DataFrame, first: str | None = None, second: str | None = None, digests: bool = False) -> DataFrame:
+    """``doc_id, n_a, n_b, n_groups, groups, links, pairs, counts``: a row per text with its groups (with
+    ``digests``: their SHA-256) and packed links (first side's id in the upper 16 bits), and rows with a
+    null ``n_a`` that hold the pairs a task has counted."""
     first, second = first or tokenizer_path(FIRST), second or tokenizer_path(SECOND)
 
     def counted(counts: PairCounts) -> pa.RecordBatch:
@@ -270,11 +271,13 @@ def alignments(docs: DataFrame, first: str | None = None, second: str | None = N
             for i, j in slices(off, SLICE):
                 found = Aligned(known, batch.column(1).slice(i, j - i).to_pylist())
                 counts.add(found.pairs)
-                at = found.at.tolist()
+                at, groups = found.at.tolist(), found.groups()
+                if digests:
+                    groups = [sha256(g.encode()).hexdigest() if g else g for g in groups]
                 rows = [
                     batch.column(0).slice(i, j - i),
                     pa.array(np.diff(found.a_at)), pa.array(np.diff(found.b_at)), pa.array(np.diff(found.at)),
-                    pa.array(found.groups(), pa.string()),
+                    pa.array(groups, pa.string()),
                     pa.array([blob(found.pairs[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary()),
                     pa.nulls(j - i, kinds[6]), pa.nulls(j - i, kinds[7]),
                 ]
@@ -298,7 +301,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return sums.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
+def align(docs: DataFrame, first: str | None = None, second: str | None = None, digests: bool = False) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` for each row of ``docs``.
 
     The text after a space is encoded by both tokenizers (paths of the vocabulary files ``first`` and
@@ -307,8 +310,10 @@ def align(docs: DataFrame, first: str | None = None, second: str | None = None)
     second id, ``count_sum`` sums the corpus counts of all links. Null and empty texts, and texts that the
     second tokenizer does not give back byte for byte, have no tokens: zeros and empty ``groups``.
     Rows are taken one by one, with or without an id, repeated or not; other columns are left out.
+    ``groups`` is several times as long as the text; with ``digests`` it is the SHA-256 of that (hexadecimal),
+    so that the long form is neither written nor sent.
     """
-    found = written(alignments(docs, first, second), "alignments")
+    found = written(alignments(docs, first, second, digests), "alignments")
     pairs = written(pair_counts(found), "alignment-pairs")
     texts = found.where("n_a IS NOT NULL").select("doc_id", "n_a", "n_b", "n_groups", "groups", "links")
     shards = parts_for(pairs.count(), SHARD_PAIRS)

@@ -114,9 +114,7 @@ def op11(table):
 
 @query("op12_tokenizer_alignment")
 def op12(table):
-    found = alignment.align(table("documents"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    return alignment.align(table("documents"), digests=True).withColumnRenamed("groups", "groups_sha256")
 
 
 @query("op13_simhash_classes")
