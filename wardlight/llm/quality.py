@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlight.llm.common import WHITE, slices, span_hashes, text_buffer, word_spans, written
+from wardlight.llm.common import WHITE, slices, span_hashes, text_buffer, texts_of, word_spans, written
 
 TRAIN_ROWS = 20_000  # most labelled rows a model is fitted on, chosen by hashed id
 TREES, DEPTH, BINS = 40, 3, 24
@@ -202,13 +202,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
     return RuleModel([rules[k] for k in kept], [float(w[k]) for k in kept], b)
 
 
-def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleModel:
-    """Fitted on at most ``rows`` labelled rows, taken by hashed id. Labels other
-    than 0 and 1 are left out."""
-    known = (
+def _known(labels: DataFrame) -> DataFrame:
+    """``doc_id, __y`` of the labels to learn from."""
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("__y"))
         .where(F.col("__y").isin(0.0, 1.0)).where(learnable())
     )
+
+
+def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleModel:
+    """Fitted on at most ``rows`` labelled rows, taken by hashed id. Labels other
+    than 0 and 1 are left out."""
+    known = _known(labels)
     # sides in this order: the label table is the smaller one
     sample = (
         stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(rows)
@@ -231,8 +236,13 @@ def scored(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFr
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that the model accepts, unchanged. Statistics and score are
-    made beside each row, so no text is shuffled."""
-    score = train(written(statistics(docs), "quality-statistics"), labels).score()
+    made beside each row, so no text is shuffled; before that only the labelled rows that
+    the model is fitted on are measured."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("__id"))
+    sample = ids.join(_known(labels), F.col("__id") == F.col("doc_id")).orderBy(F.xxhash64("__id"), "__id", "__y").limit(TRAIN_ROWS)
+    sample = F.broadcast(sample.select("__id").distinct())  # TRAIN_ROWS at most
+    fitted_on = texts_of(docs).join(sample, F.col("doc_id") == F.col("__id"), "left_semi")
+    score = train(written(statistics(fitted_on), "quality-statistics"), labels).score()
     at, names = docs.columns.index("text"), docs.columns
     row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
     schema = T.StructType([*row.fields, *(T.StructField(s, T.DoubleType()) for s in STATS)])
