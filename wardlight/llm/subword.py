@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -84,36 +85,49 @@ class Subwords:
         found = [merge(p.encode() + b"\xff") for p in new]
         self.index.update(zip(new, range(at, at + len(new))))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = self.number[np.fromiter((i for f in found for i in f), np.int64, int(lengths.sum()))]
+        flat = self.number[np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum()))]
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(lengths))
         self.flat = np.append(self.flat, flat)
 
-    def many(self, texts: list[str], added: bool = False) -> list[np.ndarray]:
-        """Ids of each text. With ``added``, an added token's content in a text is that
-        token, as the library has it by default; without, it is spelled like other text."""
+    def flat_ids(self, texts: list[str], added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has. With ``added``, an added
+        token's content in a text is that token, as the library has it by default; without, it is
+        spelled like other text."""
         from wardlight.llm.common import ranges
 
         cut, whole = [], {}
         self.exact.encode_special_tokens = not added
+        other, pieces = PLAIN.search, PIECES.findall
         for i, text in enumerate(texts):
-            if PLAIN.search(text) or (added and self.added.search(text)):
+            if other(text) or (added and self.added.search(text)):
                 whole[i] = np.array(self.exact.encode(text, add_special_tokens=False).ids, np.int32)
                 cut.append([])
             else:
-                cut.append(PIECES.findall(text.lower()))
+                cut.append(pieces(text.lower()))
         new = set().union(*cut)
         if len(self.index) + len(new) > HELD_PIECES:
             self.clear()
         if missing := [p for p in new if p not in self.index]:
             self._learn(missing)
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        get = self.index.__getitem__
-        at = np.fromiter((k for pieces in cut for k in map(get, pieces)), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         first, length = self.starts[at], self.starts[at + 1] - self.starts[at]
         flat = self.flat[ranges(first, length)]
-        ends = np.concatenate(([0], np.cumsum(length)))[np.cumsum(counts)]
-        pieces = np.split(flat, ends[:-1]) if len(cut) > 1 else [flat]
-        return [whole[i] if i in whole else p for i, p in enumerate(pieces)]
+        sizes = np.diff(np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(counts)))])
+        if not whole:
+            return flat, sizes
+        begin = np.cumsum(sizes) - sizes
+        held, done = [], 0
+        for i, ids in whole.items():
+            held += [flat[done : begin[i]], ids]
+            done = begin[i]
+            sizes[i] = len(ids)
+        return np.concatenate([*held, flat[done:]]), sizes
+
+    def many(self, texts: list[str], added: bool = False) -> list[np.ndarray]:
+        """Ids of each text, as :meth:`flat_ids` finds them."""
+        flat, sizes = self.flat_ids(texts, added)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
 
 
 @lru_cache(maxsize=1)
