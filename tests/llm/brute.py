@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -21,6 +23,12 @@ def keyed(docs):
     return {k: t or "" for k, t in docs if k is not None}
 
 
+def texts_in_order(docs):
+    """The different texts of each id, by id and then by the hash of the text."""
+    place = lambda d: (d[0], xxhash.xxh64(d[1].encode(), 42).intdigest() >> 33)
+    return sorted({(k, t or "") for k, t in docs if k is not None}, key=place)
+
+
 def link_classes(docs):
     sets = {}
     for k, t in keyed(docs).items():
@@ -59,7 +67,7 @@ def language(docs):
 
 def word_dedup(docs):
     seen, out = set(), {}
-    for k, t in sorted(keyed(docs).items()):
+    for k, t in texts_in_order(docs):
         w = WORD.findall(t)
         gone = [False] * len(w)
         for i in range(len(w) - 19):
@@ -67,12 +75,12 @@ def word_dedup(docs):
             if run in seen:
                 gone[i : i + 20] = [True] * 20
             seen.add(run)
-        out[k] = len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)
+        out[k, t] = len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)
     return out
 
 
 def byte_dedup(docs, window=200):
-    texts = {k: t.encode() for k, t in keyed(docs).items()}
+    texts = {d: d[1].encode() for d in texts_in_order(docs)}
     c = Counter(b[i : i + window] for b in texts.values() for i in range(len(b) - window + 1))
     out = {}
     for k, b in texts.items():

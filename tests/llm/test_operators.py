@@ -220,10 +220,10 @@ def fill_hot(shape):
 def test_word_dedup(odd, odd_rows, none, monkeypatch, hot):
     if hot:  # every repeated anchor takes the way of hot ones
         monkeypatch.setattr(suffix_trees, "SHAPE", fill_hot(suffix_trees.SHAPE))
-    expected = brute.word_dedup(odd_rows)
+    found = brute.word_dedup(odd_rows)
     got = [tuple(r) for r in suffix_trees.remove_repeats(odd).collect()]
     assert len(got) == len(odd_rows)
-    assert {r[0]: r[1:] for r in got if r[0] is not None} == expected
+    assert sorted(r for r in got if r[0] is not None) == sorted((k, *found[k, t or ""]) for k, t in odd_rows if k is not None)
     assert all(r[2] == 0 for r in got if r[0] is None)
     assert suffix_trees.remove_repeats(none).count() == 0
 
@@ -232,13 +232,34 @@ def test_word_dedup(odd, odd_rows, none, monkeypatch, hot):
 def test_byte_dedup(odd, odd_rows, none, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(suffix_array, "SHAPE", fill_hot(suffix_array.SHAPE))
-    expected = brute.byte_dedup(odd_rows)
-    got = [tuple(r) for r in suffix_array.remove_repeats(odd).collect()]
-    assert {r[0]: (*r[1:4], bytes(r[4])) for r in got if r[0] is not None} == expected
+    found = brute.byte_dedup(odd_rows)
+    got = [(*r[:4], bytes(r[4])) for r in suffix_array.remove_repeats(odd).collect()]
+    assert sorted(r for r in got if r[0] is not None) == sorted((k, *found[k, t or ""]) for k, t in odd_rows if k is not None)
     assert all(r[2] == 0 for r in got if r[0] is None)
     assert suffix_array.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_texts_of_one_id_are_documents_of_their_own(llm, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(suffix_trees, "SHAPE", fill_hot(suffix_trees.SHAPE))
+        monkeypatch.setattr(suffix_array, "SHAPE", fill_hot(suffix_array.SHAPE))
+    say = lambda name, n: " ".join(f"{name}word{i}" for i in range(n))
+    p, q, r = say("p", 60), say("q", 40), say("r", 45)
+    docs = [
+        (1, p), (1, say("x", 30) + " " + q), (2, q), (2, q), (3, r + " own " + p), (3, r), (3, r + " " + q), (3, None), (4, say("y", 50)),
+        (-5, r), (-5, say("z", 25) + " " + r), (None, r), (None, p),
+    ]
+    words, spans = brute.word_dedup(docs), brute.byte_dedup(docs)
+    assert words[2, q][1] == 40 and spans[2, q][1] == len(q)
+    for turn in (docs, docs[::-1]):
+        table = llm.createDataFrame(turn, "doc_id long, text string").coalesce(1)
+        got = sorted(tuple(x) for x in suffix_trees.remove_repeats(table).collect() if x.doc_id is not None)
+        assert got == sorted((k, *words[k, t or ""]) for k, t in docs if k is not None)
+        got = sorted((*x[:4], bytes(x.kept)) for x in suffix_array.remove_repeats(table).collect() if x.doc_id is not None)
+        assert got == sorted((k, *spans[k, t or ""]) for k, t in docs if k is not None)
+
+
 def test_line_dedup(odd, odd_rows, none):
     index = lines.LineIndex.build(odd)
     got = rows(index.clean(odd, counts=True).select("doc_id", "n_lines", "n_dropped", "text"))

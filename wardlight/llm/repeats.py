@@ -16,8 +16,9 @@ to a repeated window are sorted, and none is lost:
 Anchors found more than ``hot`` times send hashes of single windows instead of
 contexts, dealt out by those hashes, so that no bucket has to hold a hot anchor.
 
-``doc_id`` is the document's key: rows with equal ids are one document given twice,
-rows without an id take no part.
+Rows with equal ids and texts are one document given twice. Rows of one id with different texts are
+documents of their own, in the order of 31 bits of the texts' hash: their places begin at that number
+times 2**32, which no text's length reaches. Rows without an id take no part.
 """
 
 from __future__ import annotations
@@ -131,6 +132,11 @@ def _modulo(values: np.ndarray, n: int) -> np.ndarray:
     return (values % np.uint64(n)).astype(np.int32)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, base``; ``base`` is the number of a text's first place."""
+    return texts_of(docs).withColumn("base", F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), 33), 32))
+
+
 def _shared_anchors(texts: DataFrame, shape: Shape, buckets: int, hot: int) -> DataFrame:
     """``doc_id, marks``: places of the anchors found more than once. Rows without a
     document hold in ``hot`` the hashes of anchors found more than ``hot`` times."""
@@ -144,7 +150,8 @@ def _shared_anchors(texts: DataFrame, shape: Shape, buckets: int, hot: int) -> D
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             row = np.searchsorted(at, place, "right") - 1
-            doc, pos = ids[row].astype(np.int64), (place - at[row]).astype(np.int64)
+            base = batch.column(2).to_numpy(zero_copy_only=False)
+            doc, pos = ids[row].astype(np.int64), place - at[row] + base[row]
             order = np.lexsort((pos, doc, h))
             h, doc, pos = h[order], doc[order], pos[order]
             fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])))
@@ -226,7 +233,7 @@ def covered(docs: DataFrame, shape: Shape, find: Callable[[Contexts], Stretches]
     stays (smaller id, then earlier start), otherwise none. ``find`` gets contexts
     that differ from each other and returns the stretches of their equal windows.
     """
-    texts = texts_of(docs).where(F.col("doc_id").isNotNull())
+    texts = placed(docs).where(F.col("doc_id").isNotNull())
     size = total_bytes(texts)
     parts, buckets = parts_for(size, PART_BYTES), parts_for(size, PART_BYTES)
     limit = max(shape.hot, size // HOT_BYTES)
@@ -245,24 +252,26 @@ def covered(docs: DataFrame, shape: Shape, find: Callable[[Contexts], Stretches]
         ids = table.column("doc_id").to_numpy()
         table = table.filter(pa.array(np.isin(ids, np.fromiter(asked, np.int64, len(asked)))))
         rows: dict[str, list] = {c: [] for c in ["bucket", *_COLUMNS]}
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         for batch in table.to_batches(max_chunksize=500):
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            base = batch.column(batch.schema.get_field_index("base")).to_numpy(zero_copy_only=False)
             data, off = text_buffer(batch.column(batch.schema.get_field_index("text")))
             symbols, at = shape.symbols(data, off)
+            first = at[:-1] - base
             h, place, lo, hi = anchors(shape, symbols, at)
             row = np.searchsorted(at, place, "right") - 1
             found = np.zeros(len(h), bool)
             hot = np.isin(h, hot_hashes)
             edge = np.searchsorted(row, np.arange(len(ids) + 1))
-            for r, doc in enumerate(ids):
+            for r, doc in enumerate(zip(ids.tolist(), base.tolist())):
                 if doc in done:  # the same document once more
                     continue
-                done.add(int(doc))
+                done.add(doc)
                 a, b = edge[r], edge[r + 1]
-                mine = np.concatenate(asked[int(doc)])
-                found[a:b] = np.isin(place[a:b] - at[r], mine)
-            _emit(rows, shape, symbols, at, ids, h[found], place[found], lo[found], hi[found], row[found], hot[found],
+                mine = np.concatenate(asked[doc[0]])
+                found[a:b] = np.isin(place[a:b] - first[r], mine)
+            _emit(rows, shape, symbols, first, ids, h[found], place[found], lo[found], hi[found], row[found], hot[found],
                   buckets, keep_first)
         return pa.table(
             {"bucket": pa.array(rows["bucket"], pa.int32())} | {c: pa.array(rows[c], pa.binary()) for c in _COLUMNS}
@@ -290,9 +299,9 @@ def covered(docs: DataFrame, shape: Shape, find: Callable[[Contexts], Stretches]
     return contexts.groupBy("bucket").applyInArrow(meet, "part int, doc binary, lo binary, hi binary")
 
 
-def _emit(rows, shape, symbols, at, ids, h, place, lo, hi, row, hot, buckets, keep_first) -> None:
+def _emit(rows, shape, symbols, first_place, ids, h, place, lo, hi, row, hot, buckets, keep_first) -> None:
     """Contexts of a batch by bucket; equal ones once, with the stretches that are
-    settled by it."""
+    settled by it. A symbol's place in its document is its index less ``first_place``."""
     if not len(h):
         return
     window = shape.window
@@ -306,7 +315,7 @@ def _emit(rows, shape, symbols, at, ids, h, place, lo, hi, row, hot, buckets, ke
         lo = np.concatenate((lo[~hot], single))
     n, left = hi - lo + 1, place - lo
     whole = context_hashes(symbols, lo, n + window - 1) ^ mix(h + left.astype(np.uint64) * np.uint64(0x10001))
-    doc, start = ids[row].astype(np.int64), lo - at[row]
+    doc, start = ids[row].astype(np.int64), lo - first_place[row]
     order = np.lexsort((start, doc, whole))
     first, length = runs_of(whole[order])
     rest = np.ones(len(order), bool)
@@ -398,7 +407,7 @@ def removals(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def with_removals(docs: DataFrame, shape: Shape, find, keep_first: bool, apply, schema: str) -> DataFrame:
     """``apply(text, starts, ends) -> tuple`` for every row of ``docs``, with the
     stretches to remove; ``schema`` names what it returns, after ``doc_id``."""
-    texts = texts_of(docs)
+    texts = placed(docs)
     size = total_bytes(texts.where(F.col("doc_id").isNotNull()))
     parts = parts_for(size, PART_BYTES)
     gone = covered(docs, shape, find, keep_first)
@@ -406,10 +415,14 @@ def with_removals(docs: DataFrame, shape: Shape, find, keep_first: bool, apply,
 
     def run(table: pa.Table, cover: pa.Table) -> pa.Table:
         stretches = removals(cover)
-        ids = table.column("doc_id").to_pylist()
-        rows = [
-            (doc, *apply(text, *stretches.get(doc, none))) for doc, text in zip(ids, table.column("text").to_pylist())
-        ]
+
+        def own(doc: int | None, base: int) -> tuple[np.ndarray, np.ndarray]:
+            starts, ends = stretches.get(doc, none)
+            a, b = np.searchsorted(starts, [base, base + (1 << 32)])
+            return starts[a:b] - base, ends[a:b] - base
+
+        given = zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "base")))
+        rows = [(doc, *apply(text, *own(doc, base))) for doc, text, base in given]
         names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         types = [pa.int64(), *(kinds[c.split()[1]] for c in schema.split(", "))]

@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for each row of ``docs``: bytes
     covered by a 200-byte string that also starts elsewhere are taken out of ``kept``
     (binary). A null text is empty; a row without an id keeps its text; identical
-    rows are one document."""
+    rows are one document, rows of one id with different texts are documents of their own."""
 
     def apply(text, starts, ends):
         data = text.encode()

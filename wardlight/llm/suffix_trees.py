@@ -107,7 +107,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for each row of ``docs``: words covered by
     a run of 20 words that also starts earlier are taken out; the others are joined by
     one space. A null text has no words; a row without an id keeps all of them;
-    identical rows are one document."""
+    identical rows are one document, rows of one id with different texts are documents of
+    their own, of which the one with the smaller text hash comes first."""
     import pyarrow as pa
 
     def apply(text, starts, ends):
