@@ -2,60 +2,16 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import lru_cache, reduce
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SEVERAL = 32  # different letters that are replaced one after the other
 
-HANGUL, VOWELS, TAILS = 0xAC00, 21, 28  # first syllable; a syllable is a lead, a vowel and maybe a tail
-LEAD, VOWEL, TAIL = 0x1100, 0x1161, 0x11A7
-
-
-@lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str, dict[str, str]]:
-    """What Unicode's own decomposition without combining marks makes of each letter: letters that
-    change followed by the marks, the letters that take their places (none for the marks), and
-    letters that become several. Hangul syllables follow a rule instead."""
-    letters, plain, marks, several = [], [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
-        c = chr(code)
-        if unicodedata.combining(c):
-            marks.append(c)
-        elif (parts := unicodedata.decomposition(c)) and not parts.startswith("<"):
-            kept = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
-            if len(kept) > 1:
-                several[c] = kept
-            elif kept:
-                letters.append(c)
-                plain.append(kept)
-            else:
-                marks.append(c)
-    return "".join(letters + marks), "".join(plain), several
-
-
-def _without_syllables(text: Column) -> Column:
-    """Hangul syllables as their letters."""
-    leads = "".join(chr(LEAD + i) for i in range(19))
-    vowels = "".join(chr(VOWEL + i) for i in range(VOWELS))
-    tails = "".join(chr(TAIL + i) for i in range(1, TAILS))
-
-    def pick(letters, place):
-        return F.substr(F.lit(letters), place.cast("int") + 1, F.lit(1))
-
-    def letters_of(c):
-        n = F.ascii(c) - HANGUL
-        tail = n % TAILS
-        syllable = F.concat(
-            pick(leads, F.floor(n / (VOWELS * TAILS))),
-            pick(vowels, F.floor(n / TAILS) % VOWELS),
-            F.when(tail > 0, pick(tails, tail - 1)).otherwise(""),
-        )
-        return F.when(c.between(chr(HANGUL), chr(HANGUL + 19 * VOWELS * TAILS - 1)), syllable).otherwise(c)
-
-    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), letters_of)
-    return F.when(text.rlike("[\uac00-\ud7a3]"), F.array_join(each, "")).otherwise(text)
 
 # fixed values: patterns that decide the flags below; (?U) makes \b and \w see
 # accented letters
@@ -86,16 +42,33 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITE))
 
 
+@lru_cache(maxsize=1 << 16)
+def _bare_letter(letter: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c))
+
+
+def bare(text: str) -> str:
+    """Unicode's canonical decomposition without its combining marks. What takes a letter's place
+    is decomposed already, so letters can be replaced in any order."""
+    if text.isascii():
+        return text
+    changed = {c: plain for c in set(text) if c > "\x7f" and (plain := _bare_letter(c)) != c}
+    if len(changed) > SEVERAL:
+        return text.translate(str.maketrans(changed))
+    for letter, plain in changed.items():
+        text = text.replace(letter, plain)
+    return text
+
+
 def fold(value: Column) -> Column:
-    """Lower case without accents, of any script: Unicode's canonical decomposition without
-    its combining marks."""
-    letters, plain, several = _fold_table()
-    low = F.lower(value)
-    text = low
-    spelled = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(several[c])), several, text)
-    text = F.when(text.rlike(f"[{''.join(several)}]"), spelled).otherwise(text)
-    folded = F.translate(_without_syllables(text), letters, plain)
-    return F.when(low.rlike(r"[^\x00-\x7f]"), folded).otherwise(low)
+    """Lower case without accents, of any script (see :func:`bare`). Spark lower-cases; the marks
+    go in one pass over each text of an Arrow batch."""
+
+    @F.arrow_udf(T.StringType())
+    def plain(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else bare(x) for x in texts.to_pylist()], pa.string())
+
+    return plain(F.lower(value))
 
 
 def comparable(value: Column) -> Column:
@@ -128,6 +101,16 @@ def prediction_intent(question: Column) -> Column:
     return question.rlike(PREDICTION_TERMS)
 
 
+# what splits tokens becomes a space
+_SPLIT = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def token_list(text: str) -> list[str]:
+    """What :func:`tokens` finds, for use inside a task. Only two letters beyond ASCII have a small
+    form that holds one of ``[a-z]``, the dotted I and the Kelvin sign, and Python's agrees on both."""
+    return text.lower().encode().translate(_SPLIT).decode().split()
+
+
 def tokens(text: Column) -> Column:
     """Runs of ``[a-z0-9]`` in the lower-cased text; other letters split words."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)

@@ -10,9 +10,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wardlight.functions.text import strip
 from wardlight.plans.sizing import spread
@@ -20,25 +24,63 @@ from wardlight.plans.sizing import spread
 HEADING = r"#{2,3} "
 UNTITLED = "Introducao"
 CHUNK_CHARS, OVERLAP, SLACK, MIN_CHARS = 900, 120, 200, 40
-LINE_BREAK = r"\r\n|[\r\x0B\x0C\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = re.compile("\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
+
+
+def sections_of(text: str, heading: str = HEADING) -> list[tuple[str, str]]:
+    """Title and body of the sections of a text. A section starts at a line matching
+    ``heading``; what comes before the first is untitled."""
+    unix = LINE_BREAK.sub("\n", text)
+    starts = [m.start() for m in re.finditer(rf"\n(?={heading})", unix)] if unix else []
+    found = []
+    for a, b in zip([-1, *starts], [*starts, len(unix)] if unix else []):
+        piece = unix[a + 1 : b]
+        titled = re.match(heading, piece)
+        first = piece.partition("\n")[0]
+        found.append((first.lstrip("# ").strip() if titled else UNTITLED, piece.strip()))
+    return found
+
+
+def _lists(rows: list[list[tuple] | None], kind: pa.ListType) -> pa.Array:
+    """Lists of pairs as an Arrow array."""
+    ends = np.cumsum([0, *(len(r or ()) for r in rows)]).astype(np.int32)
+    parts = list(zip(*(x for r in rows if r for x in r))) or [()] * kind.value_type.num_fields
+    pairs = pa.StructArray.from_arrays(
+        [pa.array(v, f.type) for v, f in zip(parts, kind.value_type.fields)], fields=kind.value_type.fields
+    )
+    return pa.ListArray.from_arrays(pa.array(ends), pairs, type=kind)
+
+
+# The functions below are declared as not deterministic for one reason: else Spark computes them a second
+# time in a filter that it moves below them.
+
+
+def _pairs(first: str, second: str) -> tuple[T.ArrayType, pa.ListType]:
+    ours = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in (first, second)]))
+    return ours, to_arrow_type(ours)
 
 
 def section_list(text: Column, heading: str = HEADING) -> Column:
-    """Sections of a text as ``array<struct<section, body>>``. A section starts
-    at a line matching ``heading``; what comes before the first is untitled."""
-    unix = F.regexp_replace(text, LINE_BREAK, "\n")
-    pieces = F.when(unix != "", F.split(unix, rf"\n(?={heading})", -1)).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Sections of a text as ``array<struct<section, body>>`` (see :func:`sections_of`)."""
+    ours, kind = _pairs("section", "body")
 
-    def titled(piece):
-        first = F.substring_index(piece, "\n", 1)
-        title = F.when(piece.rlike(f"^{heading}"), strip(F.regexp_replace(first, "^[# ]+", "")))
-        return F.named_struct(
-            F.lit("section"), F.coalesce(title, F.lit(UNTITLED)), F.lit("body"), strip(piece)
-        )
+    def cut(texts: pa.Array) -> pa.Array:
+        return _lists([sections_of(x or "", heading) for x in texts.to_pylist()], kind)
 
-    return F.transform(pieces, titled)
+    return F.arrow_udf(cut, ours).asNondeterministic()(text)
+
+
+def block_list(text: Column, heading: str, size: int, overlap: int) -> Column:
+    """Blocks of all sections of a text as ``array<struct<section, text>>``."""
+    ours, kind = _pairs("section", "text")
+
+    def cut(texts: pa.Array) -> pa.Array:
+        return _lists([
+            [(title, block) for title, body in sections_of(x or "", heading) for block in blocks_of(body, size, overlap)]
+            for x in texts.to_pylist()
+        ], kind)
+
+    return F.arrow_udf(cut, ours).asNondeterministic()(text)
 
 
 def split_sections(docs: DataFrame, heading: str = HEADING) -> DataFrame:
@@ -102,23 +144,10 @@ def chunks(
     """Chunks of (doc_id, source, text) documents: blocks of at least 40
     characters, numbered per document."""
     listed = spread(docs.select("doc_id", "source", "text"), "doc_id").select(
-        "doc_id", "source", section_list(F.col("text"), heading).alias("_s")
-    )
-    blocks = listed.withColumn(
-        "_b", _block_lists(F.transform("_s", lambda s: s["body"]), size, overlap)
-    )
-    flat = F.flatten(
-        F.zip_with(
-            "_s",
-            "_b",
-            lambda s, many: F.transform(
-                many,
-                lambda b: F.named_struct(F.lit("section"), s["section"], F.lit("text"), b),
-            ),
-        )
+        "doc_id", "source", block_list(F.col("text"), heading, size, overlap).alias("_b")
     )
-    long_enough = F.filter(flat, lambda c: F.char_length(strip(c["text"])) >= MIN_CHARS)
-    return blocks.select(
+    long_enough = F.filter("_b", lambda c: F.char_length(strip(c["text"])) >= MIN_CHARS)
+    return listed.select(
         "doc_id", "source", F.posexplode(long_enough).alias("chunk_no", "_c")
     ).select(
         F.format_string("%s::%03d", F.col("doc_id").cast("string"), "chunk_no").alias("chunk_id"),

@@ -10,6 +10,7 @@ frequent token are spread over all shards.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wardlight.functions.text import tokens
+from wardlight.functions.text import token_list, tokens
 from wardlight.plans.ordering import top_per_group
-from wardlight.plans.session import materialise
+from wardlight.plans.session import stored as materialise
 from wardlight.plans.sizing import BROADCAST_ROWS
 
 # fixed values: BM25 parameters
@@ -35,53 +37,66 @@ DIGITS = 6
 
 @dataclass
 class LexicalIndex:
-    """Postings (chunk_id, length, token, tf), terms (token, df, idf) and the
-    corpus figures the score needs."""
+    """Tokens of each chunk (chunk_id, length, counts: an array of token and tf), terms
+    (token, df, idf) and the corpus figures the score needs."""
 
-    postings: DataFrame
+    counted: DataFrame
     terms: DataFrame
     n_chunks: int
     mean_length: float
 
+    @property
+    def postings(self) -> DataFrame:
+        """One row per chunk and token: chunk_id, length, token, tf."""
+        return self.counted.select("chunk_id", "length", F.explode("counts").alias("_c")).select(
+            "chunk_id", "length", "_c.token", "_c.tf"
+        )
+
 
 def token_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.explode(tokens(F.col(text))).alias("token"))
 
 
-def token_counts(text: Column) -> tuple[Column, Column, Column]:
-    """Expressions of three columns to be made one after the other: the sorted tokens ``_s``,
-    the places ``_b`` where a new token starts, and from both a (token, tf) per distinct token."""
-    found = F.sort_array(tokens(text))
-    place = F.when(F.size("_s") > 0, F.sequence(F.lit(1), F.size("_s"))).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(place, lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2)))
-    counts = F.transform(
-        F.col("_b"),
-        lambda i, k: F.struct(
-            F.get("_s", i - 1).alias("token"),
-            (F.coalesce(F.get("_b", k + 1), F.size("_s") + 1) - i).cast("long").alias("tf"),
-        ),
-    )
-    return found, starts, counts
+COUNTED = T.StructType([
+    T.StructField("length", T.LongType()),
+    T.StructField("counts", T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())]))),
+])
+
+
+def token_counts(text: Column) -> Column:
+    """Per text its number of tokens (``length``) and a (token, tf) per distinct token (``counts``);
+    a null text counts as an empty one."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        length, ends, token, tf = [], [0], [], []
+        for x in texts.to_pylist():
+            found = token_list(x or "")
+            held = Counter(found)
+            length.append(len(found))
+            token.extend(held)
+            tf.extend(held.values())
+            ends.append(len(token))
+        pairs = pa.StructArray.from_arrays([pa.array(token, pa.string()), pa.array(tf, pa.int64())], ["token", "tf"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        return pa.StructArray.from_arrays([pa.array(length, pa.int64()), lists], ["length", "counts"])
+
+    # so declared, it is not computed a second time in a filter that Spark moves below it
+    return F.arrow_udf(count, COUNTED).asNondeterministic()(text)
 
 
 def bm25_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> LexicalIndex:
     """Count tokens per chunk (ids are unique), chunks per token and the corpus figures.
 
     Tokens are counted inside the row of their chunk, so neither texts nor tokens move. The
-    postings are written once and all figures come from that copy.
+    counts are written once, a row per chunk, and all figures come from that copy.
     """
-    found, starts, counts = token_counts(F.col(text))
-    listed = chunks.select(F.col(key).alias("chunk_id"), found.alias("_s")).withColumn("_b", starts)
-    exploded = listed.select("chunk_id", F.size("_s").cast("long").alias("length"), F.posexplode_outer(counts).alias("_k", "_c"))
-    postings = materialise(exploded.select("chunk_id", "length", "_c.token", "_c.tf", "_k"))
-    # a chunk without tokens has one row with a null token: it counts as a chunk
-    figures = postings.agg(
-        F.count_if(F.coalesce("_k", F.lit(0)) == 0).alias("n"), F.sum("tf").alias("total")
-    ).first()
+    listed = materialise(
+        chunks.select(F.col(key).alias("chunk_id"), token_counts(F.col(text)).alias("_t")).select("chunk_id", "_t.*")
+    )
+    figures = listed.agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
     n, mean = figures["n"], (figures["total"] or 0) / figures["n"] if figures["n"] else 0.0
-    held = postings.where(F.col("token").isNotNull()).drop("_k")
     counted = materialise(
-        held.groupBy("token").agg(F.count("*").alias("df")).withColumn(
+        listed.select(F.explode("counts.token").alias("token")).groupBy("token").agg(F.count("*").alias("df")).withColumn(
             "_idf", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
         )
     )
@@ -89,12 +104,12 @@ def bm25_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
     terms = counted.select(
         "token", "df", F.when(F.col("_idf") < 0, F.lit(floor)).otherwise(F.col("_idf")).alias("idf")
     )
-    return LexicalIndex(held, terms, n, mean)
+    return LexicalIndex(listed, terms, n, mean)
 
 
 def save_index(index: LexicalIndex, path: str) -> None:
-    spark = index.postings.sparkSession
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    spark = index.counted.sparkSession
+    index.counted.write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     spark.createDataFrame(
         [(index.n_chunks, index.mean_length)], "n_chunks long, mean_length double"

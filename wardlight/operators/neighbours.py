@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from wardlight.functions.text import tokens
+from wardlight.functions.text import token_list
 from wardlight.functions.vectors import l2
 from wardlight.plans.ordering import top_per_group
 from wardlight.plans.session import materialise
@@ -219,13 +220,28 @@ def embed(
     )
 
 
+def _once(of, kind):
+    """An Arrow function over columns. Declared as it is, it is not computed a second time in a
+    filter that Spark moves below it."""
+    return F.arrow_udf(of, kind).asNondeterministic()
+
+
 def token_slots(text: Column, size: int) -> Column:
     """The slot of each token: the first 32 bits of its MD5, modulo ``size``, which any
-    engine can compute."""
-    def slot(token):
-        return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % size).cast("string")
+    engine can compute. A batch hashes each of its tokens once."""
+
+    def slots(texts: pa.Array) -> pa.Array:
+        at: dict[str, int] = {}
+        ends, found, none = [0], [], []
+        for x in texts.to_pylist():
+            none.append(x is None)
+            found.extend(at.setdefault(t, len(at)) for t in token_list(x or ""))
+            ends.append(len(found))
+        names = [str(int(md5(t.encode()).hexdigest()[:8], 16) % size) for t in at]
+        values = pa.array(names, pa.string()).take(pa.array(found, pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(none, pa.bool_()))
 
-    return F.transform(tokens(text), slot)
+    return _once(slots, ArrayType(StringType()))(text)
 
 
 def fit_tfidf(df: DataFrame, prefix: str = "", text: str = "text", size: int = SLOTS):
@@ -242,12 +258,15 @@ def fit_tfidf(df: DataFrame, prefix: str = "", text: str = "text", size: int = S
 
 
 def letter_profile(text: Column) -> Column:
-    """Counts of the letters a..z: a small built-in encoder."""
-    def counts(low):
-        return F.array(*[
-            (F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))).cast("double")
-            for c in "abcdefghijklmnopqrstuvwxyz"
-        ])
-
-    # as the variable of a lambda the text is lower-cased once, not once per letter
-    return F.element_at(F.transform(F.array(F.lower(text)), counts), 1)
+    """Counts of the letters a..z in any case: a small built-in encoder. Null texts have null counts."""
+
+    def counts(texts: pa.Array) -> pa.Array:
+        rows = texts.to_pylist()
+        out = np.zeros((len(rows), 26))
+        for i, x in enumerate(rows):
+            if x:
+                out[i] = np.bincount(np.frombuffer(x.lower().encode(), np.uint8), minlength=128)[97:123]
+        none = np.repeat([x is None for x in rows], 26).astype(bool)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 26), pa.array(out.ravel(), mask=none))
+
+    return _once(counts, ArrayType(DoubleType()))(text)
