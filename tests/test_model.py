@@ -138,3 +138,16 @@ def test_auc_with_ties(frame, monkeypatch):
     monkeypatch.setattr(ordering, "GROUP_ROWS", 3)  # scores in several ranges
     assert fp_model.auc(df) == round(expected, 1)
     assert fp_model.auc(df.where("label = 1")) is None
+
+
+def test_fits_read_cells_instead_of_rows(spark):
+    """A hundred times the rows are the same cells, and the weighted fit is at the rows' optimum."""
+    few = [("a" if i % 3 else "b", "t", "e" if i % 2 else None, "c", "o", "Yes", i % 4, int(i % 5 == 0), i) for i in range(60)]
+    names = ", ".join(f"{c} string" for c in fp_model.CATEGORIES)
+    rows = spark.createDataFrame(few, f"{names}, severity_level int, label int, incident_id long")
+    many = rows.crossJoin(spark.range(100).withColumnRenamed("id", "again"))
+    cells = fp_model.fitting_cells(many)
+    assert cells.count() == fp_model.fitting_cells(rows).count() <= 60
+    assert cells.agg({fp_model.CELL_ROWS: "sum"}).first()[0] == 6000
+    gaps = fp_model.fit_gaps(many, fp_model.LinearModel.of(fp_model.fit_fp(many))).collect()
+    assert gaps and all(abs(g["slope"]) < 1e-4 for g in gaps)
