@@ -86,6 +86,49 @@ def test_filters(frame):
     assert {r["question_id"]: r["incident_id"] for r in recent.collect()} == {0: 3, 2: 3, 3: 3, 4: 3}
 
 
+def _recent_by_hand(cells, held, n):
+    """Question -> its n latest incidents, rows of one id taken together."""
+    asked = {}
+    for question, cell in cells:
+        asked.setdefault(question, []).extend(held.get(cell, []))
+    return {q: sorted(rows, reverse=True)[:n] for q, rows in asked.items() if rows}
+
+
+@pytest.mark.parametrize("lists", [0, 1_000])
+def test_recent_of_repeated_and_missing_question_ids(frame, monkeypatch, lists):
+    monkeypatch.setattr(fp_model, "BROADCAST_LISTS", lists)
+    profile = frame(
+        [(i, f"2024-01-{1 + i % 9:02d}", "ab"[i % 2], "Low", "T1", "prod", "Yes") for i in range(40)],
+        "incident_id long, opened_on string, kind string, severity string, technique string, environment string, internet_exposed string",
+    )
+    named = [(1, ["a"]), (1, ["a"]), (2, ["a", "b"]), (3, []), (None, ["b"]), (None, ["a"]), (4, ["b"]), (5, ["c"]), (6, ["b"])]
+    filters = frame(
+        [(q, kinds, [], [], [], False) for q, kinds in named],
+        "question_id long, kind array<string>, severity array<string>, environment array<string>, technique array<string>, exposed_only boolean",
+    )
+    got = {}
+    for r in fp_model.select_recent(filters, profile, 7).orderBy("recency").collect():
+        got.setdefault(r["question_id"], []).append((r["opened_on"], r["incident_id"]))
+    rows = [(r["opened_on"], r["incident_id"], r["kind"]) for r in profile.collect()]
+    held = {k: [r[:2] for r in rows if r[2] == k] for k in "ab"} | {"*": [r[:2] for r in rows]}
+    assert got == _recent_by_hand([(q, c) for q, kinds in named for c in (kinds or ["*"])], held, 7)
+
+
+def test_recent_rows_are_not_made_or_sorted_in_one_task(frame, monkeypatch):
+    """Each question's rows come from the ranked list of its selection, over tasks of bounded size."""
+    monkeypatch.setattr(fp_model, "TASK_ROWS", 100)
+    profile = frame([(i, "2024-01-01", "a", "Low", "T1", "prod", "Yes") for i in range(20)],
+                    "incident_id long, opened_on string, kind string, severity string, technique string, environment string, internet_exposed string")
+    filters = frame([(q, ["a"], [], [], [], False) for q in range(300)],
+                    "question_id long, kind array<string>, severity array<string>, environment array<string>, technique array<string>, exposed_only boolean")
+    recent = fp_model.select_recent(filters, profile, 20)
+    assert recent.count() == 6000
+    assert recent.rdd.getNumPartitions() == 60
+    assert max(len(p) for p in recent.rdd.glom().collect()) <= 400
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+
+
 def test_best_model(frame):
     m = frame([("b", 80.0, 1.0), ("a", 80.0, 2.0), ("c", 79.0, 3.0)], "model string, auc double, f1 double")
     assert fp_model.best_model(m).first()["model"] == "a"

@@ -21,7 +21,7 @@ from wardlight.functions.text import fold, strip
 from wardlight.operators.relevance import containment_gold
 from wardlight.plans.ordering import numbered, top_per_group
 from wardlight.plans.session import materialise
-from wardlight.plans.sizing import broadcast_if_small, small_values
+from wardlight.plans.sizing import at_most, broadcast_if_small, small_values
 from wardlight.plans.skew import salted_join
 
 SEED = 42
@@ -33,6 +33,8 @@ FALSE_ALARM, REAL = "falso positivo", "incidente real"
 CATEGORIES = ["kind", "technique", "environment", "criticality", "os", "internet_exposed"]
 FILTER_FIELDS = ["kind", "severity", "environment", "technique"]
 RECENT = 200
+TASK_ROWS = 1_000_000  # rows that a task makes for its questions
+BROADCAST_LISTS = 1_000
 # how Spark says that a path does not exist
 NOTHING_THERE = ("PATH_NOT_FOUND", "Input path does not exist", "Path does not exist")
 LISTED_VALUES = 1_000
@@ -470,14 +472,31 @@ def selection_counts(filters: DataFrame, profile: DataFrame) -> DataFrame:
 
 def select_recent(filters: DataFrame, profile: DataFrame, n: int = RECENT) -> DataFrame:
     """The ``n`` most recent matching incidents of each question. A question's
-    cells do not overlap, so the n latest of each cell are enough."""
+    cells do not overlap, so the n latest of each cell are enough. Questions that ask for
+    the same cells get the same incidents, which are ranked once for all of them; no task
+    sorts the rows per question, and none makes many more than ``TASK_ROWS`` of them."""
     cells = materialise(asked_cells(filters))
     order = [F.desc("opened_on"), F.desc("incident_id")]
     latest = top_per_group(_profile_cells(profile, cells), ["cell"], order, n, "_r").drop(
         "_r", "pattern"
     )
-    per_question = cells.select("question_id", "cell").join(latest, "cell")
-    return most_recent(per_question, "question_id", n)
+    # rows of one question id are one question; n rows of a cell fill the answer, however often it is asked for
+    times = cells.groupBy("question_id", "cell").agg(F.least(F.count("*"), F.lit(n)).cast("int").alias("times"))
+    listed = times.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("cell", "times"))).alias("_cells"))
+    asked = materialise(listed.withColumn("_selection", F.sha2(F.to_json("_cells"), 256)))
+    selections = asked.groupBy("_selection").agg(F.first("_cells").alias("_cells"))
+    found = selections.select("_selection", F.inline("_cells")).join(latest, "cell")
+    repeated = found.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
+    picked = most_recent(repeated, "_selection", n)
+    rows = F.collect_list(F.struct(*[c for c in picked.columns if c != "_selection"])).alias("_rows")
+    lists = materialise(picked.groupBy("_selection").agg(rows))
+    asked = asked.select("question_id", "_selection")
+    if at_most(lists, BROADCAST_LISTS):  # of n rows each
+        parts = max(asked.sparkSession.sparkContext.defaultParallelism, -(-asked.count() * n // TASK_ROWS))
+        answered = asked.repartition(parts, "question_id").join(F.broadcast(lists), "_selection")
+    else:
+        answered = salted_join(asked, lists, ["_selection"], hot_rows=max(1, TASK_ROWS // n))
+    return answered.select("question_id", F.inline("_rows"))
 
 
 def most_recent(df: DataFrame, by: str, n: int = RECENT) -> DataFrame:
