@@ -1,6 +1,7 @@
 """The methods inside the tasks against plain versions."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -362,6 +363,21 @@ def test_leaks_against_alignment():
             assert leak_bodies(raw[off[r] + a : off[r] + b].decode(errors="replace")) in leak_bodies(items[i][1]) or b - a >= 120
 
 
+def test_a_search_holds_little_whatever_the_batch():
+    rng = np.random.default_rng(3)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (2000, 6))]
+    item = " ".join(words[:40])
+    texts = [" ".join(rng.choice(words, 1500)) for _ in range(800)]  # 8 MB, a batch
+    texts[5], texts[700] = texts[5] + " " + item, item + " " + texts[700]
+    segments, column = decontaminate.Segments.of([(1, item)]), pa.array(texts)
+    tracemalloc.start()
+    found = [(i + r).tolist() for i, _, _, (r, *_) in decontaminate.searched(segments, column)]
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(found, []) == [5, 700]
+    assert held < 80 << 20
+
+
 def test_leaks_ignore_case_and_marks():
     item = "Éâtre ou la vérité, dit-il; et puis rien de plus que cela pour aujourd'hui, mes amis de toujours et d'ici."
     held = decontaminate.Segments.of([(4, item), (5, "too short")])

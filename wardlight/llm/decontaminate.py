@@ -29,6 +29,7 @@ STRIDE = 9  # no more than a segment's edits, so an exact passage of SEGMENT byt
 SHORTEST = 40  # bytes in plain form; shorter items are matched whole and without edits
 SHARD_BYTES = 4 << 20  # item text held by a task at a time
 ALIGNED = 4096  # alignments done at once
+RUN_BYTES = 512 << 10  # text searched at once; a search holds some sixty bytes for each byte of it
 _BITS = 22
 _AHEAD = 1 << 32  # added to diagonals, which are never negative then
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -273,6 +274,15 @@ def leaks(segments: Segments, data: np.ndarray, off: np.ndarray):
             np.minimum.reduceat(edits[order], first))
 
 
+def searched(segments: Segments, column):
+    """Runs of the texts of a column with their leaks: number of the first text, bytes, offsets,
+    :func:`leaks`."""
+    data, off = text_buffer(column)
+    for i, j in slices(off, RUN_BYTES):
+        mine, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        yield i, mine, cut, leaks(segments, mine, cut)
+
+
 def _shards(benchmark: DataFrame) -> list[DataFrame]:
     """Items with a text and an id, in shards of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
@@ -299,10 +309,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def search(batches, held=held):
             for batch in batches:
-                data, off = text_buffer(batch.column(1))
-                for i, j in slices(off, 4 << 20):
-                    mine, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                    row, item, start, end, edits = leaks(held.value, mine, cut)
+                for i, mine, cut, (row, item, start, end, edits) in searched(held.value, batch.column(1)):
                     if not len(row):
                         continue
                     points = lambda upto: [
@@ -327,10 +334,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def keep(batches, held=held):
             for batch in batches:
-                data, off = text_buffer(batch.column(at))
                 clean = np.ones(batch.num_rows, bool)
-                for i, j in slices(off, 4 << 20):
-                    row = leaks(held.value, data[off[i] : off[j]], off[i : j + 1] - off[i])[0]
+                for i, _, _, (row, *_) in searched(held.value, batch.column(at)):
                     clean[row + i] = False
                 yield batch.filter(pa.array(clean))
 
