@@ -109,6 +109,19 @@ def test_literal_findings(frame, enums, sql, expected):
     assert findings(frame, enums, sql) == expected
 
 
+def test_literals_are_found_in_one_search(frame, enums):
+    sql = "SELECT 1 FROM incident i WHERE i.kind   =\t'tailgating' OR (severity='GRAVE') OR x.status = 'a = b' OR i.status='parkeR' OR i.kind = ''"
+    found = audit.literal_findings(frame([(1, sql)], "query_id long, sql_text string"), enums)
+    got = {(r["pos"], r["table"], r["column"], r["literal"], r["finding"], r["suggestion"]) for r in found.collect()}
+    assert got == {
+        (0, "incident", "kind", "tailgating", "case", "Tailgating"), (1, None, "severity", "GRAVE", "case", "Grave"),
+        (3, "incident", "status", "parkeR", "near", "Parked"),
+    }
+    # the statement is searched for comparisons once; the other searches are for tables
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(sql_text") - plan.count(audit.SOURCE + ", ") == 1
+
+
 def test_canonicalise_and_near_misses(frame, enums):
     df = frame([("done",), ("Done",), ("Dome",), ("unheard of",), (None,)], "status string")
     got = [r[0] for r in canonicalise(df, "incident", "status", enums).collect()]

@@ -105,17 +105,13 @@ def literal_findings(df: DataFrame, enums: DataFrame) -> DataFrame:
     Aliases are resolved inside the row of each statement; only the dictionary
     is joined.
     """
-    literals = F.arrays_zip(
-        *[
-            F.regexp_extract_all("sql_text", F.lit(EQUALS_TEXT), i).alias(name)
-            for i, name in ((1, "prefix"), (2, "column"), (3, "literal"))
-        ]
-    )
+    # the statement is searched once; a comparison found is taken apart by itself
+    compared = F.regexp_extract_all("sql_text", F.lit(EQUALS_TEXT), 0)
+    part = lambda i, name: F.regexp_extract("found", EQUALS_TEXT, i).alias(name)
     used = (
         df.where(F.col("sql_text").contains("'"))
-        .select("query_id", _sources(F.col("sql_text")).alias("names"),
-                  F.posexplode(literals).alias("pos", "found"))
-        .select("query_id", "pos", "names", "found.*")
+        .select("query_id", _sources(F.col("sql_text")).alias("names"), F.posexplode(compared).alias("pos", "found"))
+        .select("query_id", "pos", "names", part(1, "prefix"), part(2, "column"), part(3, "literal"))
         .withColumn("qualifier", F.regexp_replace("prefix", r"\.$", ""))
         .withColumn(
             "_name", F.when(F.col("qualifier") != "", F.col("qualifier")).otherwise(F.col("column"))
@@ -132,12 +128,13 @@ def literal_findings(df: DataFrame, enums: DataFrame) -> DataFrame:
     used = dictionary_beside(
         used, scope_dictionary(enums).select("column", "allowed"), ["column"], "any"
     )
-    literal = F.col("literal")
-    fixed = same_ignoring_case(F.coalesce("own", "any"), literal)
-    near = one_edit_away(F.col("own"), literal)
+    literal, low = F.col("literal"), F.col("_low")
+    # lower case of a literal, which may be a long text, is made once for all values
     return (
-        used.withColumn("_fixed", F.when(fixed != literal, fixed))
-        .withColumn("_near", near)
+        used.withColumn("_low", F.lower("literal"))
+        .withColumn("_same", same_ignoring_case(F.coalesce("own", "any"), low))
+        .withColumn("_fixed", F.when(F.col("_same") != literal, F.col("_same")))
+        .withColumn("_near", F.when(F.col("_same").isNull(), one_edit_away(F.col("own"), low)))
         .withColumn(
             "finding",
             F.when(F.col("_fixed").isNotNull(), "case").when(F.col("_near").isNotNull(), "near"),
