@@ -328,6 +328,26 @@ def test_packing_prefers_neighbours():
     assert all(len(v) == 1 for v in first.values())
 
 
+def test_packing_scores_all_shared_terms():
+    """Document 1 shares one of the seed's twelve rarest terms, document 2 forty others."""
+    seed, fill = np.arange(60), lambda a: np.arange(1000 * a, 1000 * a + 100)
+    docs = [seed, np.append(seed[:1], fill(1)), np.append(seed[20:], fill(2)), *[np.append(seed[k:12], fill(3 + k)) for k in range(1, 12)],
+            *[np.append(seed[12:], fill(20 + k)) for k in range(12)]]
+    index = packing.Postings([d.astype(np.int32) for d in docs])
+    bm25 = np.zeros(len(docs))
+    mean = np.mean([len(d) for d in docs])
+    for t in seed:
+        df = sum(t in d for d in docs)
+        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+        bm25 += [idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / mean)) if df > 1 and t in d else 0 for d in docs]
+    used = np.arange(len(docs)) == 0
+    got = index.neighbours(0, used, len(docs))
+    assert sorted(got) == sorted(np.flatnonzero((bm25 > 0) & ~used))
+    assert np.all(np.diff(bm25[got]) <= 1e-5) and bm25[2] > bm25[1] and list(got).index(2) < list(got).index(1)
+    few = index.neighbours(0, used, 3)
+    assert len(few) >= 3 and np.array_equal(few, got[: len(few)])
+
+
 def leak_bodies(item):
     data, off = buffer([item])
     return decontaminate.plain(data, off)[0].tobytes().rstrip(b" ")

@@ -3,8 +3,8 @@
 Documents are spread over shards of bounded size by their ids and texts. A shard tokenises
 its texts, cuts whole windows off long documents and keeps the rest as leftovers
 in a BM25 inverted index. The first unused leftover seeds a window; the index
-returns unused neighbours by score, which fill the window greedily; the one that
-no longer fits is cut and its tail stays in the index. Only a shard's last window
+returns unused neighbours by their score over all shared terms, which fill the window
+greedily; the one that no longer fits is cut and its tail stays in the index. Only a shard's last window
 runs short, and it is cut into powers of two, which need no padding.
 """
 
@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import part_of_row, parts_for, texts_of, total_bytes
+from wardlight.llm.common import part_of_row, parts_for, ranges, texts_of, total_bytes
 from wardlight.llm.subword import subwords, vocabulary_path
 
 WINDOW = 2048
 END_ID = 1
 SHARD_BYTES = 4 << 20
-QUERY_TERMS = 12  # rarest shared terms of a seed
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -48,20 +47,28 @@ class Postings:
         self.slot = np.repeat(np.arange(len(self.terms)), df)[by_doc]
         self.doc_first = np.searchsorted(self.doc[by_doc], np.arange(len(leftovers) + 1))
         self.df, self.n = df, len(leftovers)
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Leftovers that share one of the seed's rarest terms, best first."""
+        # a term in a sixteenth of the leftovers has a row of weights; the rows have at most 16 places a posting
+        hot = np.flatnonzero(df * 16 > n)
+        self.row = np.full(len(df), -1)
+        self.row[hot] = np.arange(len(hot))
+        self.dense = np.zeros((len(hot), self.n), np.float32)
+        row = np.repeat(self.row, df)
+        self.dense[row[row >= 0], self.doc[row >= 0]] = self.weight[row >= 0]
+
+    def neighbours(self, seed: int, used: np.ndarray, most: int) -> np.ndarray:
+        """At least ``most`` unused leftovers that share a term with the seed (all, if fewer), best first by
+        the score over all shared terms."""
         own = self.slot[self.doc_first[seed] : self.doc_first[seed + 1]]
         own = own[self.df[own] > 1]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argsort(self.df[own], kind="stable")[:QUERY_TERMS]]
-        if not len(own):
-            return own
-        spans = [slice(self.first[t], self.end[t]) for t in own]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        scores = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.n)
+        rare = own[self.row[own] < 0]
+        at = ranges(self.first[rare], self.df[rare])
+        scores = np.bincount(self.doc[at], self.weight[at], self.n)
+        scores = scores + self.dense[self.row[own][self.row[own] >= 0]].sum(axis=0)
+        scores[used] = 0
         found = np.flatnonzero(scores)
-        return found[np.lexsort((found, -scores[found]))]
+        if len(found) > most:
+            found = found[scores[found] >= np.partition(scores[found], -most)[-most]]
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 def powers(n: int) -> list[int]:
@@ -101,11 +108,10 @@ def pack(tokens: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int,
             seed += 1
         filled = place(seed, room, 0)
         if filled < room:
-            for k in index.neighbours(seed):
-                if not used[k]:
-                    filled = place(int(k), room, filled)
-                    if filled == room:
-                        break
+            for k in index.neighbours(seed, used, room - filled):  # each brings a token at least
+                filled = place(int(k), room, filled)
+                if filled == room:
+                    break
         walk = max(walk, seed)
         while filled < room:  # no neighbour is left: the next unused ones in order
             if used[walk]:
