@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.operators import corpus, fusion, lexical, neighbours
-from wardlight.sources.files import read_corpus, read_golden, read_history
+from wardlight.sources.files import read_corpus, read_golden, read_history, write_corpus
 
 THREE = {
     "a.md": "Preamble line\n\n## One\nfirst body\r\n### Two ##\nsecond body\n",
@@ -29,6 +29,19 @@ def test_read_corpus(spark, folder, tmp_path):
         read_corpus(spark, str(tmp_path / "missing"))
 
 
+def test_write_corpus(spark, frame, tmp_path):
+    """A folder per task, not one per document; copies of an id share a file, a missing text is an empty line."""
+    rows = [(i, f"text {i}\nü") for i in range(300)] + [(7, "again"), (400, None), (401, ""), (None, "no id")]
+    docs = frame(rows, "doc_id long, value string").repartition(3, "doc_id")
+    for directory in (str(tmp_path / "plain"), f"file://{tmp_path}/with%20space"):
+        got = {r["doc_id"]: r["text"] for r in read_corpus(spark, write_corpus(docs, directory), "*.txt").collect()}
+        assert len(got) == 303
+        assert all(got[f"doc_id={i}"] == f"text {i}\nü\n" for i in range(300) if i != 7)
+        assert sorted(got["doc_id=7"].splitlines()) == ["again", "text 7", "ü"]
+        assert (got["doc_id=400"], got["doc_id=401"], got["doc_id=None"]) == ("\n", "\n", "no id\n")
+    assert sorted(p.name for p in (tmp_path / "plain").iterdir()) == ["part-00000", "part-00001", "part-00002"]
+
+
 def test_sections(spark, folder):
     docs = read_corpus(spark, folder)
     got = [(r["section"], r["body"]) for r in corpus.split_sections(docs).where("doc_id = 'a'").orderBy("section_no").collect()]

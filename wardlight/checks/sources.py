@@ -45,13 +45,11 @@ for _name in ("asset", "incident", "vulnerability"):
 
 @check("src_03_read_corpus", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text || chr(10)) AS text_md5 FROM documents")
 def _(t):
-    """Documents written as one file per folder, read back as a corpus."""
-    path = scratch_path(t.spark, "docs")
+    """Documents written as one file each, read back as a corpus."""
     docs = t.documents.select("doc_id", F.col("text").alias("value"))
-    spread(docs, "doc_id").write.partitionBy("doc_id").text(path)
-    # Spark names the part files, so the id is read from the folder
-    return files.read_corpus(t.spark, f"{path}/*", "*.txt").select(
-        F.regexp_extract("path", r"doc_id=(\d+)/", 1).alias("doc_id"), F.md5("text").alias("text_md5")
+    folders = files.write_corpus(spread(docs, "doc_id"), scratch_path(t.spark, "docs"))
+    return files.read_corpus(t.spark, folders, "*.txt").select(
+        F.regexp_extract("path", r"doc_id=(\d+)[/.]", 1).alias("doc_id"), F.md5("text").alias("text_md5")
     )
 
 
