@@ -348,6 +348,20 @@ def test_packing_scores_all_shared_terms():
     assert len(few) >= 3 and np.array_equal(few, got[: len(few)])
 
 
+def test_release_gives_memory_back():
+    """Small freed arrays below one that is still in use."""
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon"))
+
+    before = held()
+    many = [np.ones(8_000) for _ in range(3_000)]  # 192 MB in pieces that stay in the heap
+    last = np.ones(8_000)
+    many.clear()
+    common.release()
+    assert held() - before < 60_000 and len(last)
+
+
 def leak_bodies(item):
     data, off = buffer([item])
     return decontaminate.plain(data, off)[0].tobytes().rstrip(b" ")
