@@ -194,3 +194,81 @@ def test_fits_read_cells_instead_of_rows(spark):
     assert cells.agg({fp_model.CELL_ROWS: "sum"}).first()[0] == 6000
     gaps = fp_model.fit_gaps(many, fp_model.LinearModel.of(fp_model.fit_fp(many))).collect()
     assert gaps and all(abs(g["slope"]) < 1e-4 for g in gaps)
+
+
+def _records(spark, n, parts=1):
+    """Connection records: three numbers differ, one does not follow the label, the others are constant."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(n):
+        a, b = rnd.gauss(0, 2), rnd.random() * 1e6
+        attack = int(a + b / 1e6 + rnd.gauss(0, 1) + (i % 3 == 0) > 1)
+        rows.append((*([a, b, a + 1e-3 * b] + [7.0] * (len(kdd.NUMBERS) - 3)), "tcp", "http" if i % 3 else "ftp", None if i % 50 == 0 else "SF", attack))
+    ddl = ", ".join([f"{c} double" for c in kdd.NUMBERS] + [f"{c} string" for c in kdd.CATEGORIES] + ["attack int"])
+    return spark.createDataFrame(rows, ddl).coalesce(1).repartition(parts)
+
+
+@pytest.mark.parametrize("start", [1_000_000, 100])
+def test_kdd_logistic_is_at_its_optimum_over_all_rows(spark, monkeypatch, start):
+    """Newton's steps hold a few sums, no copy of the rows, and end where the penalised loss has no slope."""
+    monkeypatch.setattr(intrusion, "START_ROWS", start)
+    monkeypatch.setattr(intrusion, "START_SHARE", 4)
+    rows = _records(spark, 2000, 3)
+    model = intrusion.fit_kdd(rows, "logistic")
+    assert isinstance(model, fp_model.LinearModel)
+    kept = [c for c in kdd.NUMBERS[:3]]
+    got = model.transform(rows).select(*kept, *kdd.CATEGORIES, "attack", "p").collect()
+    weight = {(f, v): w for f, v, w in model.rows}
+    gap = [r["p"] - r["attack"] for r in got]
+    assert abs(sum(gap)) < 1e-3
+    for c in kept:
+        mean = sum(r[c] for r in got) / len(got)
+        scale = (sum((r[c] - mean) ** 2 for r in got) / (len(got) - 1)) ** 0.5
+        assert abs(sum(g * (r[c] - mean) / scale for g, r in zip(gap, got)) + weight[c, None] * scale) < 1e-3
+    for c, v in (("service", "ftp"), ("service", "http"), ("flag", "SF"), ("flag", None)):
+        assert abs(sum(g for g, r in zip(gap, got) if r[c] == v) + weight[c, v]) < 1e-3
+    assert all(weight[c, None] == 0 for c in kdd.NUMBERS[3:])  # constant ones
+
+
+def test_kdd_logistic_of_one_class_and_of_bad_numbers(spark):
+    rows = _records(spark, 60)
+    train = rows.where("attack = 0")
+    row = intrusion.evaluate_kdd(intrusion.fit_kdd(train, "logistic"), train, rows, "logistic").first()
+    assert row["recall"] == 0.0 and row["train_attack_pct"] == 0.0
+    model = intrusion.fit_kdd(rows, "logistic")
+    for bad in (None, float("nan")):
+        odd = rows.withColumn("hot", F.lit(bad).cast("double"))
+        with pytest.raises(Exception, match="null or not a number"):
+            intrusion.fit_kdd(odd, "logistic")
+        with pytest.raises(Exception, match="null or not a number"):
+            intrusion.evaluate_kdd(model, rows, odd, "logistic")
+
+
+def test_kdd_scores_rows_once(spark, frame):
+    scored = spark.sparkContext.accumulator(0)
+
+    def score(v):
+        scored.add(1)
+        return float(v)
+
+    pred = frame([(i % 2, float(i % 2), i % 7) for i in range(70)], "attack int, prediction double, v int")
+    pred = pred.withColumn("p", F.udf(score, "double")("v"))
+    row = intrusion.measured_kdd(pred, pred, "boosting").first()
+    assert row["n_test"] == 70 and row["accuracy"] == 100.0
+    assert scored.value == 70
+
+
+def test_boosting_reads_rows_from_all_cores(spark, monkeypatch):
+    """Rows that few tasks read are dealt out before trees are grown; even ones stay where they are."""
+    rows = _records(spark, 400)
+    cores = spark.sparkContext.defaultParallelism
+    dealt = intrusion.dealt(rows)
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) == cores and max(sizes) <= 1.25 * 400 / cores
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, rows.collect()))
+    even = rows.repartition(2 * cores)
+    assert intrusion.dealt(even) is even
+    seen = []
+    monkeypatch.setattr(intrusion, "dealt", lambda df, real=intrusion.dealt: seen.append(real(df)) or seen[-1])
+    intrusion.fit_kdd(rows, "boosting", trees=2)
+    assert [df.rdd.getNumPartitions() for df in seen] == [cores]
