@@ -261,6 +261,8 @@ def test_kdd_scores_rows_once(spark, frame):
 def test_boosting_reads_rows_from_all_cores(spark, monkeypatch):
     """Rows that few tasks read are dealt out before trees are grown; even ones stay where they are."""
     rows = _records(spark, 400)
+    assert intrusion.dealt(rows) is rows
+    monkeypatch.setattr(intrusion, "LEAST_ROWS", 10)
     cores = spark.sparkContext.defaultParallelism
     dealt = intrusion.dealt(rows)
     sizes = [len(p) for p in dealt.rdd.glom().collect()]

@@ -20,7 +20,7 @@ WIDEST = 1_000  # weights whose products of two fit a task many times over
 START_ROWS, START_SHARE = 1_000_000, 64  # from so many rows on, one in so many gives the weights to start from
 STEPS, SETTLED = 100, 1e-9
 UNEVEN = 1.25  # a task's rows to those of an even share
-TASK_ROWS = 1_000_000
+LEAST_ROWS, TASK_ROWS = 100_000, 1_000_000  # a task with fewer is soon done; most in a task of dealt rows
 BAD_NUMBER = "a record has a number that is null or not a number"
 
 
@@ -53,10 +53,11 @@ def _one_hot() -> list:
 
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows in tasks of like size. Files of few row groups are read by as few tasks, and every
-    level of every tree would wait for them; only such rows are dealt out, and written once."""
+    level of every tree would wait for them; only such rows are dealt out, and written once. (Spark's trees
+    draw their thresholds from a sample that depends on where rows lie: small tables are left alone.)"""
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     cores, n = rows.sparkSession.sparkContext.defaultParallelism, sum(sizes)
-    if max(sizes, default=0) <= max(UNEVEN * n / cores, 1.0):
+    if max(sizes, default=0) <= max(UNEVEN * n / cores, LEAST_ROWS):
         return rows
     return materialise(rows.repartition(max(cores, n // TASK_ROWS)))
 
