@@ -529,3 +529,31 @@ def test_long_secrets():
         text = f"secret={key} end"
         assert pii.more_spans(text, pii.base_spans(text)) == [("secret", 7, 7 + len(key))]
     assert pii.more_spans("x1-" * 50_000, []) == []  # no context; a long run is passed over once
+
+
+def test_overlapping_windows_score_their_new_places_only(monkeypatch):
+    rng = np.random.default_rng(14)
+    model, asked = some_model(rng), []
+    attend = language.attend
+    monkeypatch.setattr(language, "attend", lambda *a: (asked.append(found := attend(*a)), found)[1])
+    ids = rng.integers(0, 3000, 40_040 + 9).astype(np.int32)
+    got = language.score_subwords(model, ids, np.array([0, 40_040, len(ids)]), 2998)
+    assert sum(s.shape[0] * s.shape[1] for s, _ in asked) < 1.01 * len(ids)
+    assert np.allclose(got[:200], plain_scores(model, ids[:200], 2998), atol=1e-3)
+    assert np.allclose(got[-9:], plain_scores(model, ids[-9:], 2998), atol=1e-3)
+
+
+def test_words_spelled_at_once():
+    """Ids of many words from their bytes, also of words outside the plain characters."""
+    import random
+
+    pick, letters = random.Random(3), "abcABC0129'.,<|>\u00e9\u00c0\u00ff\u00df\u00d7\x85\u4e2d\u0130\u017f\U0001f600\u0301\x00\x7f"
+    words = ["", "", "it's9", "<|endoftext|>x", "ABC'LL", *("".join(pick.choices(letters, k=pick.randint(0, 9))) for _ in range(3000)), ""]
+    encode = subwords()
+    for some in (words, words[:2], words[:1], []):
+        raw = [w.encode() for w in some]
+        ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
+        starts = ends - np.array([len(w) for w in raw], np.int64)
+        ids, sizes = encode.word_ids(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
+        expected = [encode.many([w])[0].tolist() for w in some]
+        assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
