@@ -274,3 +274,69 @@ def test_boosting_reads_rows_from_all_cores(spark, monkeypatch):
     monkeypatch.setattr(intrusion, "dealt", lambda df, real=intrusion.dealt: seen.append(real(df)) or seen[-1])
     intrusion.fit_kdd(rows, "boosting", trees=2)
     assert [df.rdd.getNumPartitions() for df in seen] == [cores]
+
+
+def _spark_trees(rows, trees):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    stages = [
+        VectorAssembler(inputCols=[*kdd.NUMBERS, *intrusion.HOT], outputCol="features"),
+        GBTClassifier(labelCol="attack", maxIter=trees, maxDepth=5, seed=fp_model.SEED),
+    ]
+    return Pipeline(stages=[*intrusion._one_hot(), *stages]).fit(rows)
+
+
+def _trial_records(spark, n, seed):
+    """Labels that hang on numbers and categories, with ties, zeros, a constant column and null categories."""
+    rnd, rows = random.Random(seed), []
+    for i in range(n):
+        numbers = [rnd.choice([0, 0, 1, 2, 5]) if k % 4 else rnd.random() * (k + 1) for k in range(len(kdd.NUMBERS) - 1)] + [3]
+        kinds = [rnd.choice(["tcp", "udp"]), rnd.choice(["http", "ftp", "smtp", None]), rnd.choice(["SF", "S0"])]
+        odds = 0.1 + 0.5 * (numbers[0] > 0.6) + 0.3 * (kinds[1] == "ftp" and numbers[1] < 2)
+        rows.append((*map(float, numbers), *kinds, int(rnd.random() < odds)))
+    ddl = ", ".join([*(f"`{c}` double" for c in kdd.NUMBERS), *(f"{c} string" for c in kdd.CATEGORIES), "attack int"])
+    return spark.createDataFrame(rows, ddl).repartition(3).cache()
+
+
+@pytest.mark.parametrize("n", [4_000, 11_000])
+def test_boosted_trees_are_sparks(spark, n):
+    """The same scores as Spark's trees, also for values the fit did not see; from 10,000 rows on with sampled thresholds.
+    Two splits may part a node's rows alike, and rounding decides which one other rows meet."""
+    rows, other = _trial_records(spark, n, 5), _trial_records(spark, 300, 6)
+    other = other.withColumn("service", F.when(F.col("src_bytes") < 1, F.lit("new")).otherwise(F.col("service")))
+    fitted, plain = intrusion.fit_kdd(rows, "boosting", trees=4), _spark_trees(rows, 4)
+    assert not hasattr(fitted, "stages")
+    for data, share in ((rows, 1), (other, 0.98)):
+        expected = [(r["attack"], r["p"], r["prediction"]) for r in fp_model.scored_by(plain, data).collect()]
+        got = [(r["attack"], r["p"], r["prediction"]) for r in fitted.transform(data).collect()]
+        same = [a[0] == b[0] and a[2] == b[2] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, expected)]
+        assert len(got) == len(expected) and sum(same) >= share * len(same)
+
+
+def test_boosting_of_one_class_and_of_bad_numbers(spark):
+    rows = _trial_records(spark, 60, 7)
+    train = rows.where("attack = 0")
+    row = intrusion.evaluate_kdd(intrusion.fit_kdd(train, "boosting", trees=3), train, rows, "boosting").first()
+    assert row["recall"] == 0.0 and row["train_attack_pct"] == 0.0
+    model = intrusion.fit_kdd(rows, "boosting", trees=2)
+    for bad in (None, float("nan")):
+        odd = rows.withColumn("hot", F.lit(bad).cast("double"))
+        with pytest.raises(Exception, match="null or not a number"):
+            intrusion.fit_kdd(odd, "boosting", trees=2)
+        with pytest.raises(Exception, match="null or not a number"):
+            intrusion.evaluate_kdd(model, rows, odd, "boosting").first()
+
+
+def test_boosting_keeps_scores_across_written_ones(spark, monkeypatch):
+    """Scores that were written and read again are the same; no scores or blocks stay held."""
+    from wardlight.operators import boosting
+
+    rows, held = _trial_records(spark, 300, 8), spark.sparkContext._jsc.getPersistentRDDs().size()
+    expected = [r["p"] for r in intrusion.fit_kdd(rows, "boosting", trees=6).transform(rows).collect()]
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    got = [r["p"] for r in intrusion.fit_kdd(rows, "boosting", trees=6).transform(rows).collect()]
+    assert got == pytest.approx(expected, abs=1e-12)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= held

@@ -11,6 +11,7 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.operators.boosting import DEPTH, MOST_VALUES, BoostedModel, fit_trees
 from wardlight.operators.fp_model import SEED, LinearModel, binary_metrics, scored_by
 from wardlight.plans.session import materialise, stored
 from wardlight.sources.kdd import CATEGORIES, NUMBERS
@@ -24,18 +25,14 @@ LEAST_ROWS, TASK_ROWS = 100_000, 1_000_000  # a task with fewer is soon done; mo
 BAD_NUMBER = "a record has a number that is null or not a number"
 
 
-def fit_kdd(train: DataFrame, model: str = "logistic", trees: int = 200) -> PipelineModel | LinearModel:
+def fit_kdd(train: DataFrame, model: str = "logistic", trees: int = 200) -> PipelineModel | LinearModel | BoostedModel:
     """Logistic regression on standardised numbers, or boosted trees on plain
     ones; categories are one-hot and unseen ones become zeros."""
     if model == "logistic":
         return fit_logistic(train)
     if model != "boosting":
         raise ValueError(f"unknown model {model}")
-    stages = [
-        VectorAssembler(inputCols=[*NUMBERS, *HOT], outputCol="features"),
-        GBTClassifier(labelCol="attack", maxIter=trees, maxDepth=5, seed=SEED),
-    ]
-    return Pipeline(stages=[*_one_hot(), *stages]).fit(dealt(train.select(*NUMBERS, *CATEGORIES, "attack")))
+    return fit_boosting(train, trees)
 
 
 INDEXED, HOT = [f"_{c}_i" for c in CATEGORIES], [f"_{c}_v" for c in CATEGORIES]
@@ -62,6 +59,25 @@ def dealt(rows: DataFrame) -> DataFrame:
     return materialise(rows.repartition(max(cores, n // TASK_ROWS)))
 
 
+# ---- boosted trees
+
+
+def fit_boosting(train: DataFrame, trees: int) -> PipelineModel | BoostedModel:
+    """Boosted trees of depth 5. Categories of very many values are left to Spark's trees."""
+    rows = dealt(train.select(*NUMBERS, *CATEGORIES, "attack"))
+    seen = rows.agg(F.count("*").alias("n"), *(F.sort_array(F.collect_set(c)).alias(c) for c in CATEGORIES)).first()
+    n, labels = seen["n"], [seen[c] for c in CATEGORIES]
+    if not n:
+        raise ValueError("no records")
+    if max(len(v) for v in labels) > MOST_VALUES:
+        stages = [
+            VectorAssembler(inputCols=[*NUMBERS, *HOT], outputCol="features"),
+            GBTClassifier(labelCol="attack", maxIter=trees, maxDepth=DEPTH, seed=SEED),
+        ]
+        return Pipeline(stages=[*_one_hot(), *stages]).fit(rows)
+    return fit_trees(rows, n, NUMBERS, dict(zip(CATEGORIES, labels)), "attack", trees)
+
+
 # ---- logistic regression
 
 
@@ -200,8 +216,8 @@ def _optimum(rows: DataFrame, design, weights: np.ndarray) -> np.ndarray:
 # ---- evaluation
 
 
-def evaluate_kdd(fitted: PipelineModel | LinearModel, train: DataFrame, test: DataFrame, model: str) -> DataFrame:
-    pred = scored_by(fitted, test)
+def evaluate_kdd(fitted: PipelineModel | LinearModel | BoostedModel, train: DataFrame, test: DataFrame, model: str) -> DataFrame:
+    pred = fitted.transform(test) if isinstance(fitted, BoostedModel) else scored_by(fitted, test)
     if isinstance(fitted, LinearModel):
         fine = F.col("p").isNotNull() & ~F.isnan("p")
         pred = pred.withColumn("p", F.when(fine, F.col("p")).otherwise(F.raise_error(F.lit(BAD_NUMBER))))
